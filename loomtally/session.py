@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,17 +29,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.loomtally.shared", None)
+    if named:
+        return named
+    made = "file://" + tempfile.mkdtemp(prefix="loomtally-")
+    spark.conf.set("spark.loomtally.shared", made)
+    return made
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
+    """Write ``df`` as a table in the shared folder and continue from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary one is made, so lost executors never lose the cut.
+    The plan is computed once and its lineage ends here, so a lost executor never loses the cut. The
+    table goes when the session ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomtally-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.option("compression", "zstd").parquet(path)
+    if spark.sparkContext.applicationId not in _CUTS:
+        atexit.register(_drop_cuts, spark.sparkContext.applicationId, spark)
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+_CUTS: dict[str, list[str]] = {}
+
+
+def _drop_cuts(app: str, spark: SparkSession) -> None:
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _CUTS.pop(app, []):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already; the folder is temporary then
+        pass
 
 
 def row_estimate(df: DataFrame) -> int:
