@@ -62,7 +62,7 @@ def plain_decimal(col: Column) -> Column:
     return text
 
 
-def reliability(labels: DataFrame, item: str, rater: str, label: str, steps: int = 25, tolerance: float = 1e-4) -> DataFrame:
+def reliability(labels: DataFrame, item: str, rater: str, label: str, steps: int = 15, tolerance: float = 1e-3) -> DataFrame:
     """(rater, labels, reliability, weight) from binary ``label``; one row per rater.
 
     ``reliability`` is 2 x accuracy - 1 as far as agreement tells; raters who share no item with
@@ -108,7 +108,6 @@ def reliability(labels: DataFrame, item: str, rater: str, label: str, steps: int
         scale = (lam * total / norm) ** 0.5
         bound = F.least(F.lit(0.999), F.greatest(F.lit(-0.999), F.coalesce(F.col("raw") * F.lit(scale), F.lit(lam**0.5))))
         new = step.select("rater", bound.alias("q"), F.col("q").alias("was"))
-        new = cut(new)
         moved = new.agg(F.max(F.abs(F.col("q") - F.col("was")))).first()[0]
         q = new.select("rater", "q")
         if moved is None or moved < tolerance:
