@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtally.llm import encodings, forms, grouping, raters
+from loomtally.llm import cutoff, encodings, forms, grouping, mixing, raters
 from loomtally.session import table
 
 
@@ -51,7 +51,28 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encodings.restored(table(spark, sf_dir, "disputes"), table(spark, sf_dir, "statcheck_repaired"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_uniform, p4_found, p4_raters, p4_agreement, p5_found, p5_restored)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.report(mixing.mix(table(spark, sf_dir, "documents"), targets), targets)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.inspect(table(spark, sf_dir, "documents")).where("reason IS NOT NULL").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.rates(cutoff.inspect(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_uniform, p4_found, p4_raters, p4_agreement, p5_found, p5_restored, p7_found, p7_mix, p7_shares, p8_found, p8_rates)}
 
 SQL = {
     "p4_agreement": """

@@ -1,11 +1,12 @@
 """Consensus from several raters' labels (problem 4).
 
 Labels are centred on chance (the share of each answer). With X the raters-by-items matrix of
-centred labels, the agreement matrix is B = X W X' without its diagonal, W dividing each item by its
-number of labels less one, so that crowded items do not count by the square; D holds what B would be
-on the diagonal of full agreement. D^-1/2 B D^-1/2 is then corrected for how much raters overlap, and
-its leading eigenvector gives each rater's reliability. B is never formed and no pairs of labels are
-emitted: one step of the power iteration is two joins and two sums over the labels themselves.
+centred labels, the agreement matrix is B = X W X' off its diagonal, W dividing each item by its
+number of labels less one, so that crowded items do not count by the square. Its leading eigenvector
+q over the pairs of raters that overlap, each pair counted by its overlap, gives the reliabilities:
+q_i = sum_j B_ij q_j / sum_j O_ij q_j^2 with O the overlap counts. Neither matrix is formed and no
+pairs of labels are emitted: one step of the power iteration is two joins and two sums over the
+labels themselves, a rater's own share taken out of its items' sums.
 
 A rater's vote weighs log((1+q)/(1-q)), q the reliability within (-1, 1). Rows without a rater, an
 item or a label do not count. An empty table gives empty results. Ties of weighted votes go to the
@@ -62,52 +63,35 @@ def plain_decimal(col: Column) -> Column:
     return text
 
 
-def reliability(labels: DataFrame, item: str, rater: str, label: str, steps: int = 15, tolerance: float = 1e-3) -> DataFrame:
+def reliability(labels: DataFrame, item: str, rater: str, label: str, steps: int = 15, tolerance: float = 1e-3, bound: float = 0.98) -> DataFrame:
     """(rater, labels, reliability, weight) from binary ``label``; one row per rater.
 
-    ``reliability`` is 2 x accuracy - 1 as far as agreement tells; raters who share no item with
-    another get the mean, as nothing is known of them.
+    ``reliability`` is 2 x accuracy - 1 as far as agreement tells, kept within ``bound``; raters who
+    share no item with another get 0.5.
     """
     base = labels.select(F.col(item).alias("item"), F.col(rater).alias("rater"), F.col(label).cast("double").alias("y"))
-    share = F.broadcast(base.agg(F.avg("y").alias("mu")))  # one row
-    x = base.crossJoin(share).select("item", "rater", (F.when(F.col("y") > 0, 1.0).otherwise(-1.0) - (2 * F.col("mu") - 1)).alias("x"))
+    share = base.agg(F.avg("y")).first()[0]
+    if share is None:
+        return base.select("rater", F.lit(0).cast("long").alias("labels"), "y", F.col("y").alias("weight")).withColumnRenamed("y", "reliability")
+    centre = 2 * share - 1
+    x = base.select("item", "rater", (F.when(F.col("y") > 0, 1.0).otherwise(-1.0) - F.lit(centre)).alias("x"))
     n = x.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     x = cut(x.join(n, "item", "left").select("item", "rater", "x", F.coalesce(1 / (F.col("n") - 1), F.lit(0.0)).alias("w")))
-    raters = cut(
-        x.groupBy("rater").agg(
-            F.count(F.lit(1)).alias("labels"),
-            F.sum(F.when(F.col("w") > 0, 1.0).otherwise(0.0)).alias("overlap"),
-            F.sum(F.col("w") * F.col("x") * F.col("x")).alias("own"),
-        )
-    )
-    many, total = raters.agg(F.count(F.lit(1)), F.sum("overlap")).first()
-    if not total:
-        return raters.select("rater", "labels", F.lit(0.0).alias("reliability"), F.lit(1.0).alias("weight"))
-    # q: reliabilities so far; sqrt(D) q is the vector that the iteration turns
-    q = raters.select("rater", F.lit(0.5).alias("q"))
+    raters = cut(x.groupBy("rater").agg(F.count(F.lit(1)).alias("labels")))
+    many = raters.count()
     spread = x.agg(F.avg(F.col("x") * F.col("x"))).first()[0] or 1.0  # variance of a centred label
-    raters = cut(raters.withColumn("own", F.col("own") / F.lit(spread)).withColumn("d", F.col("overlap") + F.col("own")))
-    total = raters.agg(F.sum("d")).first()[0]
+    shared = x.where("w > 0")
+    q = raters.select("rater", F.lit(0.5).alias("q"))
     for _ in range(steps):
-        side = small_side(q, many, BROADCAST_RATERS)
-        voted = x.join(side, "rater")
-        sums = voted.groupBy("item").agg(F.sum(F.col("x") * F.col("q")).alias("s"))
-        got = voted.where("w > 0").join(sums, "item").groupBy("rater").agg(F.sum(F.col("x") * F.col("w") * F.col("s")).alias("b"))
-        # the item's sum holds the rater itself: what it adds is taken out and replaced by q squared,
-        # the agreement that the model expects of a rater with a second one just as good
-        q2 = F.pow("q", F.lit(2))
-        b = F.coalesce("b", F.lit(0.0)) / F.lit(spread) - F.col("own") * F.col("q") + F.col("own") * F.pow("q", F.lit(3))
-        step = cut(
-            raters.join(got, "rater", "left").join(q, "rater")
-            .select("rater", "d", "q", F.when(F.col("d") > 0, b / F.col("d")).alias("raw"))
+        voted = shared.join(small_side(q, many, BROADCAST_RATERS), "rater")
+        sums = voted.groupBy("item").agg(F.sum(F.col("x") * F.col("q")).alias("s"), F.sum(F.col("q") * F.col("q")).alias("qq"))
+        others = voted.join(sums, "item").groupBy("rater").agg(
+            F.sum(F.col("w") * F.col("x") * (F.col("s") - F.col("x") * F.col("q"))).alias("b"),
+            F.sum(F.col("w") * (F.col("qq") - F.col("q") * F.col("q"))).alias("d"),
         )
-        norm, power, size = step.agg(F.sum(F.col("d") * F.pow("raw", F.lit(2))), F.sum(F.col("d") * F.col("raw") * F.col("q")), F.sum(F.col("d") * q2)).first()
-        if not norm or not size:
-            break
-        lam = max((power or 0.0) / size, 0.0)  # leading eigenvalue, the mean square of q
-        scale = (lam * total / norm) ** 0.5
-        bound = F.least(F.lit(0.999), F.greatest(F.lit(-0.999), F.coalesce(F.col("raw") * F.lit(scale), F.lit(lam**0.5))))
-        new = step.select("rater", bound.alias("q"), F.col("q").alias("was"))
+        # half a step: the scale of q then settles as Newton's square root does
+        step = F.when(F.col("d") > 0, (F.col("q") + F.col("b") / F.lit(spread) / F.col("d")) / 2).otherwise(F.col("q"))
+        new = cut(q.join(others, "rater", "left").select("rater", F.greatest(F.lit(-bound), F.least(F.lit(bound), step)).alias("q"), F.col("q").alias("was")))
         moved = new.agg(F.max(F.abs(F.col("q") - F.col("was")))).first()[0]
         q = new.select("rater", "q")
         if moved is None or moved < tolerance:
