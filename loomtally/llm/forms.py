@@ -101,18 +101,6 @@ TRIGGER = re.compile(f"[{_TRIGGERS}]")
 RUN = re.compile(f"[^\\W\\d_{_TRIGGERS}]*[{_TRIGGERS}](?:[{_TRIGGERS}]|[^\\W\\d_])*")
 
 
-def trigger_class() -> str:
-    """The triggers as a Java character class, for a native guard on columns."""
-    codes = sorted({*map(ord, SINGLE), *map(ord, _ALIKE), *range(0x300, 0x370), *range(0x1AB0, 0x1B00), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x2100), *range(0xFE20, 0xFE30)})
-    out, start, prev = [], codes[0], codes[0]
-    for o in [*codes[1:], -1]:
-        if o != prev + 1:
-            out.append(f"\\x{{{start:x}}}-\\x{{{prev:x}}}")
-            start = o
-        prev = o
-    return f"[{''.join(out)}]"
-
-
 def _is_latin(ch: str) -> bool:
     return "a" <= ch.lower() <= "z" or (ch > "\x7f" and unicodedata.name(ch, "").startswith("LATIN"))
 
@@ -193,9 +181,22 @@ def differs_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([t is not None and uniform(t) != t for t in texts.where(texts.notna(), None)], dtype=bool)
 
 
+# Regular characters beyond ASCII that need no look (keys and look-alikes are not here).
+REGULAR = "".join(chr(o) for o in (*range(0xA1, 0xAD), *range(0xAE, 0x180), *range(0x2010, 0x2028)) if chr(o) not in SINGLE and chr(o) not in _ALIKE) + "−≤≥≠≈√∞βδεζηθλμξπστφψωΓΔΘΛΠΣΦΨΩ"
+#: Greek symbols that are regular unless they touch a Latin letter.
+SYMBOLS = "χα"
+
+
 def may_differ(col: Column) -> Column:
-    """Native guard: texts without any trigger are in their one form already."""
-    return F.coalesce(col.rlike(trigger_class()), F.lit(False))
+    """Native guard: false only for texts that are in their one form already.
+
+    ASCII texts are told by their length in bytes; of the others the regular characters are taken out
+    before the lengths are compared again, which is far cheaper than a class of all triggers.
+    """
+    rest = F.translate(col, REGULAR + SYMBOLS, "")
+    touch = col.rlike(f"[A-Za-z\\x{{c0}}-\\x{{24f}}][{SYMBOLS}]|[{SYMBOLS}][A-Za-z\\x{{c0}}-\\x{{24f}}]")
+    odd = (F.octet_length(rest) != F.length(rest)) | touch
+    return F.coalesce(F.when(F.octet_length(col) == F.length(col), F.lit(False)).otherwise(odd), F.lit(False))
 
 
 def found(holdout: DataFrame, disputes: DataFrame) -> DataFrame:
