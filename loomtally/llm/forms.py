@@ -97,7 +97,6 @@ def _ranges(chars) -> str:
 _ALIKE = "".join([*CYRILLIC, *GREEK])
 _TRIGGERS = _ranges(SINGLE) + MARK + _ranges(_ALIKE)
 #: A word or symbol group that holds a trigger, with the letters and marks around it.
-TRIGGER = re.compile(f"[{_TRIGGERS}]")
 RUN = re.compile(f"[^\\W\\d_{_TRIGGERS}]*[{_TRIGGERS}](?:[{_TRIGGERS}]|[^\\W\\d_])*")
 
 
@@ -154,10 +153,20 @@ def _garbled(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+# Regular characters beyond ASCII that need no look (keys and look-alikes are not here).
+REGULAR = "".join(chr(o) for o in (*range(0xA1, 0xAD), *range(0xAE, 0x180), *range(0x2010, 0x2028)) if chr(o) not in SINGLE and chr(o) not in _ALIKE) + "−≤≥≠≈√∞βδεζηθλμξπστφψωΓΔΘΛΠΣΦΨΩ"
+#: Greek symbols that are regular unless they touch a Latin letter.
+SYMBOLS = "χα"
+
+
+#: What makes a text worth walking: a trigger other than those symbols, or one of them at a Latin letter.
+LOOK = re.compile(f"[{_ranges([*SINGLE, *(c for c in _ALIKE if c not in SYMBOLS)])}{MARK}]|[A-Za-z\u00c0-\u024f][{SYMBOLS}]|[{SYMBOLS}][A-Za-z\u00c0-\u024f]")
+
+
 @lru_cache(maxsize=20_000)
 def uniform(text: str | None) -> str | None:
     """``text`` in its one form; runs of a wrong decoding stay as they are."""
-    if text is None or text.isascii() or not TRIGGER.search(text):
+    if text is None or text.isascii() or not LOOK.search(text):
         return text
     spans = _garbled(text)
 
@@ -181,12 +190,6 @@ def differs_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([t is not None and uniform(t) != t for t in texts.where(texts.notna(), None)], dtype=bool)
 
 
-# Regular characters beyond ASCII that need no look (keys and look-alikes are not here).
-REGULAR = "".join(chr(o) for o in (*range(0xA1, 0xAD), *range(0xAE, 0x180), *range(0x2010, 0x2028)) if chr(o) not in SINGLE and chr(o) not in _ALIKE) + "−≤≥≠≈√∞βδεζηθλμξπστφψωΓΔΘΛΠΣΦΨΩ"
-#: Greek symbols that are regular unless they touch a Latin letter.
-SYMBOLS = "χα"
-
-
 def may_differ(col: Column) -> Column:
     """Native guard: false only for texts that are in their one form already.
 

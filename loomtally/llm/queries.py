@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtally.llm import cutoff, encodings, forms, grouping, mixing, raters
+from loomtally.llm import cutoff, encodings, forms, grouping, mixing, overlap, raters
 from loomtally.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.found(table(spark, sf_dir, "holdout"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.report(table(spark, sf_dir, "holdout"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.broken(table(spark, sf_dir, "holdout"))
 
@@ -72,7 +80,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.rates(cutoff.inspect(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_uniform, p4_found, p4_raters, p4_agreement, p5_found, p5_restored, p7_found, p7_mix, p7_shares, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_uniform, p4_found, p4_raters, p4_agreement, p5_found, p5_restored, p7_found, p7_mix, p7_shares, p8_found, p8_rates)}
 
 SQL = {
     "p4_agreement": """
