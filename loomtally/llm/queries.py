@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtally.llm import cutoff, encodings, forms, grouping, mixing, overlap, raters
+from loomtally.llm import cutoff, encodings, forms, grouping, leakage, mixing, overlap, raters
 from loomtally.session import table
 
 
@@ -59,6 +59,14 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encodings.restored(table(spark, sf_dir, "disputes"), table(spark, sf_dir, "statcheck_repaired"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -80,7 +88,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.rates(cutoff.inspect(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_uniform, p4_found, p4_raters, p4_agreement, p5_found, p5_restored, p7_found, p7_mix, p7_shares, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_uniform, p4_found, p4_raters, p4_agreement, p5_found, p5_restored, p6_found, p6_report, p7_found, p7_mix, p7_shares, p8_found, p8_rates)}
 
 SQL = {
     "p4_agreement": """
