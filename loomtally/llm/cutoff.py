@@ -16,63 +16,67 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomtally.session import cut, small_side
+
 # The ways of counting, plainest first; equal piles go to the first.
 WAYS = ("chars", "utf8", "utf16", "html_chars", "html_utf8", "json_chars", "json_utf8", "crlf_chars", "crlf_utf8")
 #: Rows this much below the limit count as at it: a trimmed blank, or a character that would not fit.
 SLACK = {"chars": 1, "utf8": 4, "utf16": 1, "html_chars": 6, "html_utf8": 8, "json_chars": 6, "json_utf8": 6, "crlf_chars": 2, "crlf_utf8": 4}
 LEAST_PILE = 4
+BROADCAST_SOURCES = 100_000
 #: A pile must be this many times what the lengths below it would give in the same room.
 STEEP = 8.0
 
 
-def lengths(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one column per way of counting, all JVM-side."""
+def ways(text: str = "text") -> dict[str, Column]:
+    """The length of a text in every way of counting, as native expressions."""
     t = F.col(text)
     chars, utf8 = F.length(t), F.octet_length(t)
+    ascii_only = utf8 == chars
 
-    def times(of: str):
-        return chars - F.length(F.translate(t, of, ""))
-
-    astral = F.length(F.regexp_replace(t, r"[^\x{10000}-\x{10FFFF}]+", ""))
-    astral = F.when(utf8 == chars, F.lit(0)).otherwise(astral)
-    html = 4 * times("&") + 3 * times("<>") + 5 * times("\"'")
-    esc = times("\"\\\n\r\t\b\f")
-    return (
-        docs.withColumn("chars", chars).withColumn("utf8", utf8).withColumn("utf16", chars + astral)
-        .withColumn("_h", html).withColumn("_j", esc).withColumn("_n", times("\n"))
-        .withColumn("html_chars", chars + F.col("_h")).withColumn("html_utf8", utf8 + F.col("_h"))
-        # outside ASCII, JSON may write six characters for each UTF-16 unit
-        .withColumn("json_chars", chars + F.col("_j") + F.when(utf8 == chars, 0).otherwise(5 * F.length(F.regexp_replace(t, r"[\x00-\x7f]+", "")) + 6 * astral))
-        .withColumn("json_utf8", utf8 + F.col("_j"))
-        .withColumn("crlf_chars", chars + F.col("_n")).withColumn("crlf_utf8", utf8 + F.col("_n"))
-        .drop("_h", "_j", "_n")
-    )
+    def times(of: str) -> Column:
+        return F.regexp_count(t, F.lit(of))
+
+    astral = F.when(ascii_only, F.lit(0)).otherwise(times(r"[\x{10000}-\x{10FFFF}]"))
+    html = F.when(t.rlike("[&<>\"']"), 4 * times("&") + 3 * times("[<>]") + 5 * times("[\"']")).otherwise(F.lit(0))
+    lines = times("\n")
+    json = lines + times(r'["\\\r\t\x08\f]')
+    # outside ASCII, JSON may write six characters for each UTF-16 unit
+    escaped = F.when(ascii_only, F.lit(0)).otherwise(5 * times(r"[^\x00-\x7f]") + 6 * astral)
+    return {
+        "chars": chars, "utf8": utf8, "utf16": chars + astral, "html_chars": chars + html, "html_utf8": utf8 + html,
+        "json_chars": chars + json + escaped, "json_utf8": utf8 + json, "crlf_chars": chars + lines, "crlf_utf8": utf8 + lines,
+    }
 
 
-def limits(measured: DataFrame, source: str = "source") -> DataFrame:
-    """(source, way, limit, at_limit): each source's hidden limit, for sources that show one.
+def limits(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
+    """(source, way, limit, slack, at_limit): each source's hidden limit, for sources that show one.
 
-    One row per source, way and length after a partial sum; the windows then hold distinct lengths
-    only, as many as a text may be long.
+    Rows are counted per source, way and length with a partial sum first; what is left holds distinct
+    lengths only, as many as texts may be long.
     """
-    ways = F.array(*(F.struct(F.lit(w).alias("way"), F.lit(i).alias("rank"), F.lit(SLACK[w]).alias("slack"), F.col(w).alias("len")) for i, w in enumerate(WAYS)))
-    per = measured.where("chars > 0").select(F.col(source).alias("source"), F.explode(ways).alias("m"))
-    per = per.groupBy("source", "m.way", "m.rank", "m.slack", "m.len").agg(F.count(F.lit(1)).alias("n"))
-    top = per.groupBy("source", "way", "rank", "slack").agg(F.max("len").alias("limit"), F.sum("n").alias("rows"))
-    near = per.join(top.select("source", "way", "limit"), ["source", "way"])
+    w = ways(text)
+    each = F.array(*(F.struct(F.lit(i).alias("rank"), w[n].alias("len")) for i, n in enumerate(WAYS)))
+    per = docs.where(f"{text} IS NOT NULL AND {text} <> ''").select(F.col(source).alias("source"), F.explode(each).alias("m"))
+    per = cut(per.groupBy("source", "m.rank", "m.len").agg(F.count(F.lit(1)).alias("n")))
+    top = per.groupBy("source", "rank").agg(F.max("len").alias("limit"))
+    near = per.join(top.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")) & (per["rank"] == top["rank"])).drop("_s").drop(top["rank"])
+    slack = F.element_at(F.array(*(F.lit(SLACK[n]) for n in WAYS)), F.col("rank") + 1)
+    edge = F.col("limit") - slack
     # room below the pile, a tenth of the limit wide, says how many rows chance would put there
-    near = near.groupBy("source", "way", "rank", "slack", "limit").agg(
-        F.sum(F.when(F.col("len") >= F.col("limit") - F.col("slack"), F.col("n")).otherwise(0)).alias("at_limit"),
-        F.sum(F.when((F.col("len") < F.col("limit") - F.col("slack")) & (F.col("len") >= 0.9 * F.col("limit")), F.col("n")).otherwise(0)).alias("below"),
+    near = near.groupBy("source", "rank", "limit").agg(
+        F.sum(F.when(F.col("len") >= edge, F.col("n")).otherwise(0)).alias("at_limit"),
+        F.sum(F.when((F.col("len") < edge) & (F.col("len") >= 0.9 * F.col("limit")), F.col("n")).otherwise(0)).alias("below"),
     )
-    usual = F.col("below") * (F.col("slack") + 1) / F.greatest(F.lit(1.0), 0.1 * F.col("limit"))
+    usual = F.col("below") * (slack + 1) / F.greatest(F.lit(1.0), 0.1 * F.col("limit"))
     kept = near.where((F.col("at_limit") >= LEAST_PILE) & (F.col("at_limit") >= STEEP * usual))
-    best = Window.partitionBy("source").orderBy(F.desc("at_limit"), "rank")  # at most one row per way
-    return kept.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("source", "way", "limit", "slack", "at_limit")
+    best = kept.groupBy("source").agg(F.max(F.struct("at_limit", (-F.col("rank")).alias("_r"), "limit", slack.alias("slack"))).alias("b"))
+    way = F.element_at(F.array(*map(F.lit, WAYS)), 1 - F.col("b._r"))
+    return best.select("source", way.alias("way"), F.col("b.limit").alias("limit"), F.col("b.slack").alias("slack"), F.col("b.at_limit").alias("at_limit"))
 
 
 CLOSERS = "\"'”’»)]›"
@@ -180,18 +184,16 @@ def ending_udf(texts: pd.Series, at_limit: pd.Series) -> pd.Series:
 def inspect(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """(key, source, way, at_limit, reason): every document; ``reason`` is null where it is whole.
 
-    The table of limits has one row per source that shows a limit. Its join is a broadcast only while
-    those rows are few, which is Spark's own size check.
+    The table of limits has one row per source that shows a limit; it is broadcast only while its
+    counted rows stay within ``BROADCAST_SOURCES``.
     """
     slim = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text"))
-    measured = lengths(slim, "_text")
-    found = limits(measured.drop("_text").withColumnRenamed("_source", "source"))
-    joined = measured.join(found.withColumnRenamed("source", "_source"), "_source", "left")
-    own = F.coalesce(*(F.when(F.col("way") == w, F.col(w)) for w in WAYS))
+    found = cut(limits(slim, "_source", "_text").drop("at_limit"))
+    joined = slim.join(small_side(found, found.count(), BROADCAST_SOURCES), F.col("_source").eqNullSafe(F.col("source")), "left")
+    w = ways("_text")
+    own = F.coalesce(*(F.when(F.col("way") == n, w[n]) for n in WAYS))  # only the source's own way is counted again
     at = F.coalesce(own >= F.col("limit") - F.col("slack"), F.lit(False))
-    # an ending never reaches back over more than its paragraph, or its reference list
-    out = joined.select("_key", "_source", "way", "limit", at.alias("at_limit"), ending_udf("_text", at).alias("reason"))
-    return out.withColumnsRenamed({"_key": key, "_source": "source"})
+    return joined.select(F.col("_key").alias(key), F.col("_source").alias("source"), "way", "limit", at.alias("at_limit"), ending_udf("_text", at).alias("reason"))
 
 
 def rates(inspected: DataFrame) -> DataFrame:
