@@ -95,11 +95,11 @@ SQL = {
 WITH named AS (
   SELECT decision_id, dispute_id, decision.keep AS keep,
     regexp_replace(regexp_replace(lower(trim(decision.provenance.rater)), '[\\s_.\\-]+', '_', 'g'), '_?0*(\\d+)$', '_\\1') AS rater,
-    CAST(decision.provenance.collected_at AS TIMESTAMPTZ) AS at
+    CAST(decision.provenance.collected_at AS TIMESTAMPTZ) AS ts
   FROM disputes),
 last AS (
   SELECT dispute_id, rater, keep FROM named WHERE dispute_id IS NOT NULL AND rater IS NOT NULL AND keep IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY dispute_id, rater ORDER BY at DESC NULLS LAST, decision_id DESC) = 1),
+  QUALIFY row_number() OVER (PARTITION BY dispute_id, rater ORDER BY ts DESC NULLS LAST, decision_id DESC) = 1),
 c AS (SELECT dispute_id, keep, count(*) AS k FROM last GROUP BY ALL),
 m AS (SELECT dispute_id, sum(k) AS m, sum(k*(k-1)) AS same FROM c GROUP BY 1 HAVING sum(k) > 1),
 o AS (SELECT count(*) AS items, sum(m) AS n, sum(same/(m-1)) AS agree, sum(same) AS s, sum(m*(m-1)) AS p FROM m),
