@@ -39,7 +39,7 @@ def as_number(text: Column) -> Column:
     """
     t = F.regexp_replace(text, _ENDS, "")
     bare = F.regexp_replace(F.regexp_replace(t, r"^[\x00-\x1f]|[\x00-\x1f]$", ""), _ENDS, "")
-    return F.round(F.coalesce(_clean(t), F.when(bare != t, F.abs(_clean(bare)))), 4)
+    return F.round(F.coalesce(_clean(t), F.when(bare != t, F.abs(_clean(bare)))), 4) + F.lit(0.0)  # no negative zero
 
 
 def leading_operator_removed(text: Column) -> Column:

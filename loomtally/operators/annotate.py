@@ -187,21 +187,34 @@ CONSENSUS = T.StructType([T.StructField("kept", T.ArrayType(KEPT)), T.StructFiel
 
 
 def per_window(results: DataFrame, raters: list[str]) -> DataFrame:
-    """(window_id, by_rater): each window's results as one array per rater, in the order of ``raters``.
+    """(window_id, by_rater): each window's results as a struct of one array per rater.
 
     ``results`` is (window_id, rater, seq, result struct). A window holds few results by nature.
     """
     item = F.struct("seq", "result")
     cols = [F.transform(F.array_sort(F.collect_list(F.when(F.col("rater") == r, item))), lambda x: x["result"]) for r in raters]
-    return results.groupBy("window_id").agg(F.array(*cols).alias("by_rater"))
+    return results.groupBy("window_id").agg(F.struct(*(c.alias(f"_{i}") for i, c in enumerate(cols))).alias("by_rater"))
+
+
+def _rows(by_rater: pd.DataFrame, raters: list[str]):
+    """Each window's results as rater -> list of dicts."""
+    for row in by_rater.itertuples(index=False):
+        yield {r: [_plain(x) for x in (xs if xs is not None else [])] for r, xs in zip(raters, row)}
+
+
+def _plain(x: dict) -> dict:
+    out = dict(x)
+    if out.get("span") is not None:
+        out["span"] = [int(v) for v in out["span"]]
+    return out
 
 
 def consensus(results: DataFrame, raters: list[str]) -> DataFrame:
     """(window_id, kept, disputes) by majority of the raters."""
 
     @F.pandas_udf(CONSENSUS)
-    def run(by_rater: pd.Series) -> pd.DataFrame:
-        rows = [consensus_window({r: [dict(x) for x in xs] for r, xs in zip(raters, w)}) for w in by_rater]
+    def run(by_rater: pd.DataFrame) -> pd.DataFrame:
+        rows = [consensus_window(w) for w in _rows(by_rater, raters)]
         return pd.DataFrame({"kept": [k for k, _ in rows], "disputes": [d for _, d in rows]})
 
     w = per_window(results, raters).withColumn("c", run("by_rater"))
@@ -224,16 +237,15 @@ def result_f1(results: DataFrame, raters: list[str], strict: bool = False) -> Da
     schema = T.ArrayType(T.StructType([T.StructField("rater_a", T.StringType()), T.StructField("rater_b", T.StringType()), T.StructField("tp", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("fn", T.LongType())]))
 
     @F.pandas_udf(schema)
-    def run(by_rater: pd.Series) -> pd.Series:
-        def pairs(w):
-            rs = {r: [dict(x) for x in xs] for r, xs in zip(raters, w)}
+    def run(by_rater: pd.DataFrame) -> pd.Series:
+        def pairs(rs):
             out = []
             for a, b in combinations(raters, 2):
                 n = len(match(rs[a], rs[b], strict))
                 out.append({"rater_a": a, "rater_b": b, "tp": n, "fp": len(rs[a]) - n, "fn": len(rs[b]) - n})
             return out
 
-        return by_rater.map(pairs)
+        return pd.Series([pairs(w) for w in _rows(by_rater, raters)])
 
     t = per_window(results, raters).select(F.explode(run("by_rater")).alias("m")).select("m.*").groupBy("rater_a", "rater_b").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
     return t.withColumn("f1", F.when(F.col("tp") + F.col("fp") + F.col("fn") == 0, F.lit(1.0)).otherwise(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))))

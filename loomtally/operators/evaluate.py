@@ -17,13 +17,13 @@ from loomtally.functions import numbers, tails, text
 Z95 = 1.959963984540054
 
 
-def gold(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def gold(rows: DataFrame, order: str = "record_id") -> tuple[DataFrame, DataFrame]:
     """(gold, unreadable) of dataset rows: gold is one row per window and value, the first one's
     attributes kept; unreadable holds results whose statistic is no number."""
-    r = rows.select("window_id", "source_doc", F.posexplode("results").alias("seq", "r"))
+    r = rows.select("window_id", "source_doc", F.col(order).alias("_o"), F.posexplode("results").alias("seq", "r"))
     r = r.withColumn("value", numbers.as_number(F.col("r.statistic")))
     lost = r.where("value IS NULL").select("window_id", F.col("r.statistic").alias("statistic"))
-    first = Window.partitionBy("window_id", "value").orderBy("seq")  # a window's results are few
+    first = Window.partitionBy("window_id", "value").orderBy("_o", "seq")  # a window's results are few
     g = r.where("value IS NOT NULL").withColumn("_n", F.row_number().over(first)).where("_n = 1")
     damaged = F.coalesce(F.col("r.damaged"), F.lit(False))
     return g.select(

@@ -17,6 +17,7 @@ from loomtally.functions import rules as R
 from loomtally.functions import text as X
 from loomtally.operators.extract import tags_of_spans
 
+#: Buckets of three hexadecimal digits.
 BUCKETS = 4096
 
 
@@ -33,7 +34,13 @@ def candidate_windows(docs: DataFrame, key: str = "doc", body: str = "text") ->
 
 
 def _shuffled(seed: int, *cols: str) -> Column:
-    return F.xxhash64(F.lit(seed), *(F.col(c) for c in cols))
+    """A hash that orders rows at random, as 32 hexadecimal digits: any engine gives the same."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols)))
+
+
+def _bucket(h: str) -> Column:
+    """The first three digits of such a hash: equal-sized buckets in its order."""
+    return F.conv(F.substring(h, 1, 3), 16, 10).cast("int")
 
 
 def stratified(windows: DataFrame, total: int, per_doc: int = 3, seed: int = 29, weights: dict[str, float] | None = None) -> DataFrame:
@@ -47,7 +54,7 @@ def stratified(windows: DataFrame, total: int, per_doc: int = 3, seed: int = 29,
     w = windows.withColumn("_h", _shuffled(seed, "doc", "line"))
     w = w.withColumn("_n", F.row_number().over(Window.partitionBy("pool", "doc").orderBy("_h", "line"))).where(F.col("_n") <= per_doc)
     # the smallest hashes of a pool lie in its first buckets: those that hold the target in sum
-    w = w.withColumn("_b", F.floor((F.col("_h").cast("double") / 2**64 + 0.5) * BUCKETS).cast("int"))
+    w = w.withColumn("_b", _bucket("_h"))
     per = w.groupBy("pool", "_b").agg(F.count(F.lit(1)).alias("k"))
     before = F.coalesce(F.sum("k").over(Window.partitionBy("pool").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     need = per.withColumn("_before", before).where(F.col("_before") < target).select("pool", "_b", "_before")
@@ -67,8 +74,7 @@ def split_documents(docs: DataFrame, dev_share: float = 0.15, seed: int = 0, key
 
     The cut is a rank found by bucket counts, so no single task ever orders all documents.
     """
-    d = docs.select(key).distinct().withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
-    d = d.withColumn("_b", F.floor((F.col("_h").cast("double") / 2**64 + 0.5) * BUCKETS).cast("int"))
+    d = docs.select(key).distinct().withColumn("_h", _shuffled(seed, key)).withColumn("_b", _bucket("_h"))
     counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("k"))  # at most BUCKETS rows
     n_dev = F.round(F.sum("k").over(Window.partitionBy()) * dev_share).cast("long")
     before = F.coalesce(F.sum("k").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
