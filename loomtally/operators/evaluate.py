@@ -139,11 +139,11 @@ def replicates(df: DataFrame, unit: str, columns: list[str], n: int, seed: int =
                 yield pd.DataFrame(rows, columns=["rep", *columns])
 
         return spark.range(n).select(F.col("id").cast("int").alias("rep")).mapInPandas(draw, schema)
-    rep = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    u = (F.pmod(F.xxhash64(F.col(unit), "rep", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    rep = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))  # ints
+    u = (F.pmod(F.xxhash64(F.col(unit), F.col("rep"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
     limits = np.cumsum([np.exp(-1.0) / m for m in np.cumprod([1, *range(1, 13)])])
     weight = sum((F.when(u > float(x), 1).otherwise(0) for x in limits), F.lit(0))
-    return sums.withColumn("rep", rep.cast("int")).withColumn("w", weight).where("w > 0").groupBy("rep").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in columns))
+    return sums.withColumn("rep", rep).withColumn("w", weight).where("w > 0").groupBy("rep").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in columns))
 
 
 #: Units whose sums are broadcast to the drawing tasks (24 bytes a unit and column).

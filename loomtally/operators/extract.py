@@ -74,7 +74,7 @@ def iter_extractions(df: DataFrame, text: str = "text") -> DataFrame:
 
 def _java(pattern: str) -> str:
     p = re.sub(r"\(\?P<\w+>", "(", pattern)
-    p = p.replace(r"\b", r"(?<![\p{L}\p{N}_])").replace(r"\s", f"[{R.SPACE}]").replace(f"[[{R.SPACE}]]", f"[{R.SPACE}]")
+    p = p.replace(r"\b", r"(?<![\p{L}\p{N}_])").replace(r"\s", f"[{R.SPACE}]").replace(r"\d", r"\p{Nd}")
     return "(?iu)" + p
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-NUM = r"-?[0-9]*\.?[0-9]+"
+NUM = r"-?\p{Nd}*\.?\p{Nd}+"
 TAIL = rf"{WS}*([=<>]){WS}*({NUM}){WS}*,{WS}*p{WS}*([=<>]){WS}*({NUM})"
 
 LINES = """
@@ -50,7 +50,7 @@ FAMILY_HEADS = {
     "f": (rf"F{WS}*\({WS}*({NUM}){WS}*,{WS}*({NUM}){WS}*\)", ("df1", "df2")),
     "r": (rf"r{WS}*\({WS}*({NUM}){WS}*\)", ("df1",)),
     "z": ("z", ()),
-    "chi2": (rf"(?:[χΧ]{WS}*2|chi2|X2|c2){WS}*\({WS}*({NUM})(?:{WS}*,{WS}*N{WS}*[=<>]{WS}*([0-9,]+))?{WS}*\)", ("df1", "n")),
+    "chi2": (rf"(?:[χΧ]{WS}*2|chi2|X2|c2){WS}*\({WS}*({NUM})(?:{WS}*,{WS}*N{WS}*[=<>]{WS}*([\p{{Nd}},]+))?{WS}*\)", ("df1", "n")),
     "q": (rf"Q(?:w|b)?{WS}*\({WS}*({NUM}){WS}*\)", ("df1",)),
 }
 

@@ -37,7 +37,7 @@ def write_batches(batched: DataFrame, path: str) -> None:
 def content_hash(path: Column, content: Column) -> Column:
     """SHA-256 of a file's bytes; CRLF counts as LF in text files."""
     text = F.lower(F.regexp_extract(path, r"\.([^.]+)$", 1)).isin(*TEXT_SUFFIXES)
-    return F.when(text, F.sha2(F.encode(F.regexp_replace(F.decode(content, F.lit("ISO-8859-1")), "\r\n", "\n"), F.lit("ISO-8859-1")), 256)).otherwise(F.sha2(content, 256))
+    return F.when(text, F.sha2(F.encode(F.regexp_replace(F.decode(content, "ISO-8859-1"), "\r\n", "\n"), "ISO-8859-1"), 256)).otherwise(F.sha2(content, 256))
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
