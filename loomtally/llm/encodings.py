@@ -95,11 +95,17 @@ def char_cost(ch: str) -> float:
 
 
 def cost(text: str) -> float:
-    """Plausibility cost: characters, and letters of several alphabets side by side."""
+    """Plausibility cost: rare characters, capitals inside words, escapes that no writer leaves."""
     total = 0.0
+    before = " "
     for ch in text:
         if ch > "\x7f":
             total += char_cost(ch)
+            if before.islower() and ch.isupper():
+                total += 1.0
+        before = ch
+    if "&" in text:
+        total += len(ESCAPE.findall(text))
     return total
 
 
