@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtally.llm import cutoff, encodings, forms, grouping, leakage, mixing, overlap, raters
-from loomtally.session import table
+from loomtally.session import spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.found(table(spark, sf_dir, "holdout"))
+    return overlap.found(spread(table(spark, sf_dir, "holdout")))
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.report(table(spark, sf_dir, "holdout"))
+    return overlap.report(spread(table(spark, sf_dir, "holdout")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forms.found(table(spark, sf_dir, "holdout"), table(spark, sf_dir, "disputes"))
+    return forms.found(spread(table(spark, sf_dir, "holdout")), table(spark, sf_dir, "disputes"))
 
 
 def p3_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encodings.found(table(spark, sf_dir, "disputes"), table(spark, sf_dir, "statcheck_repaired"))
+    return encodings.found(spread(table(spark, sf_dir, "disputes")), table(spark, sf_dir, "statcheck_repaired"))
 
 
 def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,32 +60,32 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.found(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "eval_items"))
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.report(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "eval_items"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixing.found(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "mix_targets")
-    return mixing.report(mixing.mix(table(spark, sf_dir, "documents"), targets), targets)
+    return mixing.report(mixing.mix(spread(table(spark, sf_dir, "documents")), targets), targets)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cutoff.inspect(table(spark, sf_dir, "documents")).where("reason IS NOT NULL").select("doc_id")
+    return cutoff.inspect(spread(table(spark, sf_dir, "documents"))).where("reason IS NOT NULL").select("doc_id")
 
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cutoff.rates(cutoff.inspect(table(spark, sf_dir, "documents")))
+    return cutoff.rates(cutoff.inspect(spread(table(spark, sf_dir, "documents"))))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_uniform, p4_found, p4_raters, p4_agreement, p5_found, p5_restored, p6_found, p6_report, p7_found, p7_mix, p7_shares, p8_found, p8_rates)}
