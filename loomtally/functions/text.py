@@ -60,7 +60,8 @@ def with_normalised(df: DataFrame, body: str, into: str, renamed: str = "_rename
     Steps are columns of their own, as each is used several times by the next.
     """
     df = hold(df, _flow=reflow(F.col(body)))
-    df = hold(df, _odd=damaged_operators(F.col("_flow")))
+    plain = ~F.col("_flow").rlike(r"[^\x20-\x7e\n\t\r]")  # such texts hold known characters only
+    df = hold(df, _odd=F.when(plain, F.array().cast("array<string>")).otherwise(damaged_operators(F.col("_flow"))))
     free = F.filter(F.array(*map(F.lit, R.SLOTS)), lambda s: ~F.contains(F.col("_flow"), s))
     df = hold(df, _free=F.when(F.size("_odd") > 0, free).otherwise(F.array().cast("array<string>")))
     n = F.least(F.size("_odd"), F.size("_free"))

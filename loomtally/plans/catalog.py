@@ -10,7 +10,7 @@ from loomtally.functions import rules as R
 from loomtally.operators import annotate, evaluate, extract, repair, sample
 from loomtally.plans import online
 from loomtally.plans.oracle import SQL  # noqa: F401 - part of this module's interface
-from loomtally.session import table
+from loomtally.session import spread, table
 from loomtally.sources import readers, writers
 
 QUERIES: dict = {}
@@ -25,18 +25,18 @@ def query(f):
 
 @query
 def online_results(spark: SparkSession, d: str) -> DataFrame:
-    r = online.results(table(spark, d, "documents"))
+    r = online.results(spread(table(spark, d, "documents")))
     return r.select("doc_id", "line", "source", "test_type", "statistic_text", "df1", "df2", "p_operator", "p_text", "verdict", F.round("computed_p", 8).alias("computed_p"), "reason", F.array_join("missing", ",").alias("missing"), "quote")
 
 
 @query
 def online_stages(spark: SparkSession, d: str) -> DataFrame:
-    return online.stages(table(spark, d, "documents"))
+    return online.stages(spread(table(spark, d, "documents")))
 
 
 @query
 def verdict_counts(spark: SparkSession, d: str) -> DataFrame:
-    return online.verdict_counts(online.results(table(spark, d, "documents")))
+    return online.verdict_counts(online.results(spread(table(spark, d, "documents"))))
 
 
 @query
@@ -75,7 +75,7 @@ def reference_strip(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def windows_grown(spark: SparkSession, d: str) -> DataFrame:
-    w = text.with_grown_windows(table(spark, d, "documents").select("doc_id", "text"), "text")
+    w = text.with_grown_windows(spread(table(spark, d, "documents")).select("doc_id", "text"), "text")
     return w.select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.line", "w.start_line", "w.end_line", F.length("w.text").alias("chars"))
 
 
@@ -94,7 +94,7 @@ def windows_by_frame(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def normalised_texts(spark: SparkSession, d: str) -> DataFrame:
-    n = text.with_normalised(table(spark, d, "documents").select("doc_id", "text"), "text", "fixed")
+    n = text.with_normalised(spread(table(spark, d, "documents")).select("doc_id", "text"), "text", "fixed")
     return n.select("doc_id", F.sha2("fixed", 256).alias("sha256"), F.size(text.lines(F.col("fixed"))).alias("lines"), F.size("_renamed").alias("renamed"))
 
 
@@ -127,7 +127,7 @@ def character_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def repaired_documents(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "documents").select("doc_id", repair.repair_udf("text").alias("r"))
+    r = spread(table(spark, d, "documents")).select("doc_id", repair.repair_udf("text").alias("r"))
     return r.select("doc_id", F.sha2("r.text", 256).alias("sha256"), "r.replacements", "r.rule", F.size("r.mapping").alias("mapped"))
 
 
@@ -237,13 +237,13 @@ def p_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def baseline_check(spark: SparkSession, d: str) -> DataFrame:
-    c = evaluate.baseline_verdicts(table(spark, d, "statcheck_repaired"))
+    c = evaluate.baseline_verdicts(spread(table(spark, d, "statcheck_repaired")))
     return c.select("row_id", "check.verdict", F.round("check.computed_p", 9).alias("p"), "error", "decision_error")
 
 
 @query
 def verdict_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.verdict_agreement(table(spark, d, "statcheck_repaired"))
+    return evaluate.verdict_agreement(spread(table(spark, d, "statcheck_repaired")))
 
 
 @query
@@ -254,7 +254,7 @@ def printed_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 def _chi(spark: SparkSession, d: str) -> DataFrame:
     """Chi-square reports with even degrees of freedom, derived from whole numbers of line items."""
-    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (2 * (1 + F.col("l_partkey") % 20)).cast("int").alias("df"), (50 + (F.col("l_orderkey") * 37 + F.col("l_linenumber") * 11) % 2500).cast("int").alias("s100"), ((F.col("l_suppkey") * 13) % 1000).cast("int").alias("p1000"))
+    x = spread(table(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", (2 * (1 + F.col("l_partkey") % 20)).cast("int").alias("df"), (50 + (F.col("l_orderkey") * 37 + F.col("l_linenumber") * 11) % 2500).cast("int").alias("s100"), ((F.col("l_suppkey") * 13) % 1000).cast("int").alias("p1000"))
     return x.withColumn("stat", F.col("s100") / 100).withColumn("p", F.col("p1000") / 1000)
 
 
@@ -567,6 +567,6 @@ def seed_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def report_rows(spark: SparkSession, d: str) -> DataFrame:
-    r = online.results(table(spark, d, "documents")).select("doc_id", "line", "test_type", "statistic", "verdict")
+    r = online.results(spread(table(spark, d, "documents"))).select("doc_id", "line", "test_type", "statistic", "verdict")
     return writers.report_json(r)
 

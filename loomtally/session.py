@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,10 +27,35 @@ def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "8g") ->
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package where their path lacks it, once per application."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if sc.applicationId in _SHIPPED or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _SHIPPED.add(sc.applicationId)
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "loomtally"), "zip", root, "loomtally"))
+
+
+_SHIPPED: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in at least as many partitions as the cluster has cores.
+
+    Tables below a few megabytes a core come in fewer; only those are dealt out anew, as Python stages
+    would leave most cores idle. Larger tables stay as they are read. For scans only: a plan with a
+    shuffle would run to be counted.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.loomtally.shared", None)
