@@ -312,3 +312,49 @@ def collected(batch: DataFrame, output: DataFrame, provenance: dict[str, str]) -
         return F.struct(*(fixed.get(f, x[f]).alias(f) for f in R.RESULT_FIELDS), at.alias("span"), at.isNotNull().alias("aligned"))
 
     return j.withColumn("results", F.transform("results", one)).withColumn("provenance", stamp).drop("_a")
+
+
+# ---- fields, final records ----------------------------------------------------------------------
+
+def shared_groups(results: DataFrame, raters: list[str]) -> DataFrame:
+    """(item, rater, result) of results that every rater found, linked through lenient matches."""
+    schema = T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("rater", T.StringType()), T.StructField("result", RESULT)]))
+
+    @F.pandas_udf(schema)
+    def run(by_rater: pd.DataFrame) -> pd.Series:
+        def rows(rs: dict) -> list[dict]:
+            full = [g for g in clusters(rs, one_each=False) if len(g) == len(raters) == len({n for n, _ in g})]
+            return [{"k": k, "rater": n, "result": rs[n][i]} for k, g in enumerate(full) for n, i in g]
+
+        return pd.Series([rows(w) for w in _rows(by_rater, raters)])
+
+    g = per_window(results, raters).select("window_id", F.explode(run("by_rater")).alias("g"))
+    return g.select(F.concat_ws("#", "window_id", F.col("g.k").cast("string")).alias("item"), "g.rater", "g.result")
+
+
+def field_agreement(results: DataFrame, raters: list[str]) -> DataFrame:
+    """(field, groups, agreement) over results every rater found: nominal alpha for categories, the
+    share on which all say the same number for numbers."""
+    g = shared_groups(results, raters)
+    out = None
+    for f in CATEGORICAL:
+        a = krippendorff_alpha(g.select("item", "rater", F.col(f"result.{f}").cast("string").alias("label")))
+        part = a.select(F.lit(f).alias("field"), F.lit(None).cast("long").alias("groups"), F.col("alpha").alias("agreement"))
+        out = part if out is None else out.unionByName(part)
+    for f in NUMERIC:
+        same = raw_agreement(g.select("item", "rater", numbers.as_number(F.col(f"result.{f}")).alias("label")))
+        out = out.unionByName(same.select(F.lit(f).alias("field"), F.col("items").alias("groups"), F.col("raw").alias("agreement")))
+    return out
+
+
+def settled(agreed: DataFrame, decisions: DataFrame, part: str) -> DataFrame:
+    """(window_id, tier, result, raters): what was kept without a dispute, what a decision settled, and
+    single findings that a decision kept; kept records whose dispute is open stay out."""
+    d = disputes(agreed, part).join(decisions.select("dispute_id", "decision"), "dispute_id", "left")
+    fields = [F.col(f"r.{f}").alias(f) for f in R.RESULT_FIELDS]
+    kept = agreed.select("window_id", F.explode("kept").alias("r")).where("r.pending_field IS NULL")
+    plain = kept.select("window_id", F.col("r.tier").alias("tier"), F.struct(*fields).alias("result"), "r.raters")
+    ruled = d.where("decision.keep").select("window_id", F.lit("adjudicated").alias("tier"), F.col("decision.result").alias("r"), "raters").where("r IS NOT NULL")
+    forms = {"test_type": numbers.test_type(F.col("r.test_type")), "p_operator": numbers.operator(F.col("r.p_operator"))}
+    clean = [forms.get(f, F.col(f"r.{f}")).alias(f) for f in R.RESULT_FIELDS]
+    return plain.unionByName(ruled.select("window_id", "tier", F.struct(*clean).alias("result"), "raters"))

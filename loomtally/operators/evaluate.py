@@ -196,3 +196,19 @@ def verdict_agreement(rows: DataFrame) -> DataFrame:
     undecidable = verdict == "undecidable"
     same = ((verdict != "consistent") == F.col("error")) & ((verdict == "decision_error") == F.col("decision_error"))
     return c.agg(F.count_if(~undecidable & same).alias("agree"), F.count_if(~undecidable & ~same).alias("disagree"), F.count_if(undecidable).alias("undecidable"))
+
+
+def parity(fact: DataFrame) -> DataFrame:
+    """(both, missed, only, recall, damaged_missed): a checker's results against annotations."""
+    both, missed = F.col("in_gold") & F.col("in_found"), F.col("in_gold") & ~F.col("in_found")
+    t = fact.agg(F.count_if(both).alias("both"), F.count_if(missed).alias("missed"), F.count_if(~F.col("in_gold")).alias("only"), F.count_if(missed & F.col("damaged")).alias("damaged_missed"))
+    return t.select("both", "missed", "only", (F.col("both") / F.greatest(F.lit(1), F.col("both") + F.col("missed"))).alias("recall"), "damaged_missed")
+
+
+def engine_gate(held: DataFrame, most: float = 0.06) -> DataFrame:
+    """(engine, results, in_text, kept, rate, spread, passes) from (engine, read, in_text, kept) per
+    result: the rate is over results whose document the engine read; the gate is on the rates' spread."""
+    per = held.groupBy("engine").agg(F.count_if("read").alias("results"), F.count_if(F.col("read") & F.col("in_text")).alias("in_text"), F.count_if(F.col("read") & F.col("kept")).alias("kept"))
+    per = per.withColumn("rate", F.when(F.col("results") > 0, F.col("kept") / F.col("results")).otherwise(F.lit(0.0)))
+    ends = per.agg((F.max("rate") - F.min("rate")).alias("spread"))
+    return per.crossJoin(F.broadcast(ends)).withColumn("passes", F.col("spread") <= most)  # one row per engine

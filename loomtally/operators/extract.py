@@ -219,3 +219,17 @@ ALIGNED = T.StructType([T.StructField("block_span", T.ArrayType(T.IntegerType())
 def align_udf(texts: pd.Series, results: pd.Series) -> pd.Series:
     """Alignment of every result of a text; null where its quote is not found."""
     return pd.Series([None if r is None else [aligned(t, dict(x)) for x in r] for t, r in zip(texts, results)])
+
+
+def holds_numbers(flat: Column, result: Column, reach: int = 160) -> Column:
+    """Whether all numbers of a result stand within ``reach`` characters after one place of the first.
+
+    ``flat`` is text with white space folded. Native: the text is cut at the first number's places.
+    """
+    parts = F.filter(F.array(*(F.trim(F.regexp_replace(result[f], "^[<>=]+", "")) for f in ("df1", "df2", "statistic", "p_value"))), lambda x: x.isNotNull() & (x != ""))
+    first = F.try_element_at(parts, F.lit(1))
+    # starts of the first number, found by the lengths of the pieces between them
+    pieces = F.split(flat, F.concat(F.lit("\\Q"), first, F.lit("\\E")), -1)
+    ends = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(0), lambda a, p: a + F.length(p)) + (k - 1) * F.length(first))
+    hit = F.exists(ends, lambda at: F.forall(parts, lambda p: F.contains(F.substring(flat, at + F.lit(1), F.lit(reach)), p)))
+    return F.coalesce(F.when(F.size(parts) == 0, F.lit(False)).when(F.size(pieces) < 2, F.lit(False)).otherwise(hit), F.lit(False))

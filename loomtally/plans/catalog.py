@@ -570,3 +570,55 @@ def report_rows(spark: SparkSession, d: str) -> DataFrame:
     r = online.results(spread(table(spark, d, "documents"))).select("doc_id", "line", "test_type", "statistic", "verdict")
     return writers.report_json(r)
 
+
+# ---- composites ---------------------------------------------------------------------------------
+
+@query
+def field_agreement(spark: SparkSession, d: str) -> DataFrame:
+    a = annotate.field_agreement(_by_rater(spark, d), ["r0", "r1", "r2"])
+    return a.select("field", "groups", F.round("agreement", 6).alias("agreement"))
+
+
+@query
+def settled_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records after decisions, per tier: consensus by place of candidates, the latest decisions on top."""
+    x = table(spark, d, "disputes").where("decision IS NOT NULL")
+    latest = x.groupBy("dispute_id").agg(F.max_by("decision", F.struct("ingested_at", "decision_id")).alias("decision"))
+    c = annotate.consensus(_by_rater(spark, d), ["r0", "r1", "r2"])
+    named = latest.withColumn("dispute_id", F.concat(F.lit("x-"), "dispute_id", F.lit("-0")))
+    return annotate.settled(c, named, "x").groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("window_id").alias("windows"))
+
+
+@query
+def checker_parity(spark: SparkSession, d: str) -> DataFrame:
+    p = evaluate.parity(evaluate.facts(_gold(spark, d), _found(spark, d)))
+    return p.select("both", "missed", "only", F.round("recall", 6).alias("recall"), "damaged_missed")
+
+
+@query
+def numbers_held(spark: SparkSession, d: str) -> DataFrame:
+    """Results whose numbers all stand within one stretch of their window."""
+    h = table(spark, d, "holdout").select("record_id", F.posexplode("results").alias("seq", "r"), text.flatten(F.col("text")).alias("flat"))
+    return h.select("record_id", "seq", extract.holds_numbers(F.col("flat"), F.col("r")).alias("held"))
+
+
+@query
+def engine_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Sampling pools as engines: results in the text, and in a window the prefilter keeps."""
+    h = table(spark, d, "holdout").select("record_id", F.col("pool").alias("engine"), "text", "results")
+    w = text.with_grown_windows(h, "text").select("engine", "text", "windows", F.explode("results").alias("r"))
+    w = text.hold(w, flats=F.transform("windows", lambda x: text.flatten(x["text"])), flat=text.flatten(F.col("text")))
+    held = w.select("engine", F.lit(True).alias("read"), extract.holds_numbers(F.col("flat"), F.col("r")).alias("in_text"), F.exists("flats", lambda f: extract.holds_numbers(f, F.col("r"))).alias("kept"))
+    return evaluate.engine_gate(held).select("engine", "results", "in_text", "kept", F.round("rate", 6).alias("rate"), F.round("spread", 6).alias("spread"), "passes")
+
+
+@query
+def repair_report(spark: SparkSession, d: str) -> DataFrame:
+    r = repair.report(spread(table(spark, d, "holdout")), "record_id")
+    return r.select("record_id", F.size("mapping").alias("mapped"), "replacements", "suspects_before", "suspects_after")
+
+
+@query
+def result_lines(spark: SparkSession, d: str) -> DataFrame:
+    r = online.results(spread(table(spark, d, "documents")))
+    return r.select("doc_id", "line", writers.result_line().alias("text"))

@@ -311,4 +311,13 @@ SELECT hex(ch) AS code, n, row_number() OVER (ORDER BY ch) + 1 AS id FROM k""",
 SELECT run, min(epoch) AS epoch FROM e WHERE loss > 100 AND loss > 10 * b GROUP BY run""",
     "ranked_runs": "SELECT event_type AS name, round(avg(value), 6) AS dev_f1 FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3",
     "seed_summary": "SELECT event_type AS config, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(quantile_cont(value, 0.5), 6) AS latency, count(*) AS seeds FROM events GROUP BY 1",
+    "checker_parity": f"""WITH {GOLD}, t AS (SELECT count(*) FILTER (in_gold AND in_found) AS "both", count(*) FILTER (in_gold AND NOT in_found) AS missed, count(*) FILTER (NOT in_gold) AS "only",
+  count(*) FILTER (in_gold AND NOT in_found AND damaged) AS damaged_missed FROM fact)
+SELECT "both", missed, "only", round("both" / greatest(1, "both" + missed)::DOUBLE, 6) AS recall, damaged_missed FROM t""",
+    "numbers_held": f"""WITH h AS (
+  SELECT record_id, seq, regexp_replace(regexp_replace(text, '{WS}+', ' ', 'g'), '^ | $', '', 'g') AS flat,
+    list_filter([trim(regexp_replace(x, '^[<>=]+', '')) FOR x IN [r.df1, r.df2, r.statistic, r.p_value]], lambda x: x IS NOT NULL AND x <> '') AS parts
+  FROM (SELECT record_id, text, unnest(results) AS r, generate_subscripts(results, 1) - 1 AS seq FROM holdout))
+SELECT record_id, seq, coalesce(len(parts) > 0 AND len(list_filter(range(1, length(flat) + 1), lambda i: substr(flat, i, length(parts[1])) = parts[1]
+  AND len(list_filter(parts, lambda p: NOT contains(substr(flat, i, 160), p))) = 0)) > 0, false) AS held FROM h""",
 }

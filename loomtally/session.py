@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -58,7 +59,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.loomtally.shared", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = own.get() if own.isDefined() else spark.conf.get("spark.loomtally.shared", None)
     if named:
         return named
     made = "file://" + tempfile.mkdtemp(prefix="loomtally-")
@@ -86,18 +90,15 @@ _CUTS: dict[str, list[str]] = {}
 
 
 def _drop_cuts(app: str, spark: SparkSession) -> None:
-    try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _CUTS.pop(app, []):
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-    except Exception:  # noqa: BLE001 - the session may be gone already; the folder is temporary then
-        pass
-
-
-def row_estimate(df: DataFrame) -> int:
-    """Exact row count; a named action so call sites show that they pay for a pass."""
-    return df.count()
+    for path in _CUTS.pop(app, []):
+        if path.startswith(("/", "file:")):
+            shutil.rmtree(re.sub("^file:/+", "/", path), ignore_errors=True)
+            continue
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session is gone already; whoever owns the folder clears it
+            return
 
 
 def small_side(df: DataFrame, rows: int, most: int) -> DataFrame:

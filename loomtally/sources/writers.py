@@ -18,6 +18,17 @@ def report_json(results: DataFrame, key: str = "doc_id") -> DataFrame:
     return results.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("report"))
 
 
+def result_line(r: Column | None = None) -> Column:
+    """A result as a line for people: place, test, p, recomputed p, verdict, source."""
+    col = (lambda c: r[c]) if r is not None else F.col
+    num = lambda c: F.coalesce(F.when(col(c) == F.floor(col(c)), col(c).cast("long").cast("string")).otherwise(col(c).cast("string")), F.lit("NA"))
+    name = F.coalesce(col("test_type"), F.lit("?"))
+    df = F.when(col("df1").isNull(), F.lit("")).when(col("df2").isNull(), F.concat(F.lit("("), num("df1"), F.lit(")"))).otherwise(F.concat(F.lit("("), num("df1"), F.lit(", "), num("df2"), F.lit(")")))
+    p = F.when(col("computed_p").isNull(), F.lit("NA")).otherwise(F.format_string("%.4f", col("computed_p")))
+    head = F.concat(F.lpad(col("line").cast("string"), 5, " "), F.lit("  "), name, df, F.lit(" = "), num("statistic"))
+    return F.concat(head, F.lit(", p "), F.coalesce(col("p_operator"), F.lit("=")), F.lit(" "), num("p_value"), F.lit("  "), p, F.lit("  "), F.coalesce(col("verdict"), F.lit("NA")), F.lit("  ["), F.coalesce(col("source"), F.lit("?")), F.lit("]"))
+
+
 def write_results_csv(results: DataFrame, path: str) -> None:
     """Results as CSV with a header, arrays joined, partitions left as they are."""
     flat = [F.array_join(c, ";").alias(c) if t.startswith("array") else F.col(c) for c, t in results.dtypes]

@@ -156,3 +156,37 @@ def test_weights_and_ledger(spark):
     assert sorted(map(tuple, sample.upserted(old, new).collect())) == [("a", 2, 0.7), ("b", 1, 0.6)]
     e = spark.createDataFrame([("r", 1, 1.0), ("r", 2, 500.0), ("r", 3, 9000.0)], "run string, epoch int, loss double")
     assert sample.divergence(e).first()["epoch"] == 2
+
+
+SCHEMA = "window_id string, rater string, seq int, result struct<test_type:string,statistic:string,df1:string,df2:string,n:string,p_operator:string,p_value:string,quote:string,damaged:boolean,confidence:string,span:array<int>>"
+
+
+def test_field_agreement(spark):
+    def row(w, r, **k):
+        return (w, r, 0, tuple(_result(span=[0, 20], **k).values()))
+
+    rows = [row(f"w{i}", r, statistic="2.10" if r == "b" else "2.1", test_type="t" if i % 2 else "F") for i in range(6) for r in "abc"] + [row("w9", "a")]
+    rows += [row("w7", r, df1="3" if r == "c" else "20") for r in "abc"]
+    got = {r["field"]: r for r in annotate.field_agreement(spark.createDataFrame(rows, SCHEMA), ["a", "b", "c"]).collect()}
+    assert got["statistic"]["agreement"] == 1 and got["statistic"]["groups"] == 7
+    assert got["df1"]["agreement"] == pytest.approx(6 / 7) and got["test_type"]["agreement"] == 1
+
+
+def test_settled(spark):
+    one = lambda **k: tuple(_result(span=[0, 20], **k).values())
+    rows = [("w1", r, 0, one()) for r in "abc"] + [("w2", "a", 0, one()), ("w3", "b", 0, one())] + [("w4", r, 0, one(df1=str(i))) for i, r in enumerate("abc")]
+    c = annotate.consensus(spark.createDataFrame(rows, SCHEMA), ["a", "b", "c"])
+    res = "struct<test_type:string,statistic:string,df1:string,df2:string,n:string,p_operator:string,p_value:string,quote:string,damaged:boolean,confidence:string>"
+    good = ("Chi-square", "2.1", "20", None, None, "≤", ".05", "q", False, "high")
+    dec = spark.createDataFrame([("s-w2-0", (True, good)), ("s-w3-0", (False, None))], f"dispute_id string, decision struct<keep:boolean,result:{res}>")
+    got = {r["window_id"]: r for r in annotate.settled(c, dec, "s").collect()}
+    assert set(got) == {"w1", "w2"} and got["w1"]["tier"] == "unanimous"
+    assert got["w2"]["tier"] == "adjudicated" and got["w2"]["result"]["test_type"] == "chi2" and got["w2"]["result"]["p_operator"] == "<"
+
+
+def test_gate_and_parity(spark):
+    held = spark.createDataFrame([("a", True, True, True)] * 9 + [("a", True, True, False)] + [("b", True, True, True)] * 4 + [("b", False, False, False)], "engine string, read boolean, in_text boolean, kept boolean")
+    got = {r["engine"]: r for r in evaluate.engine_gate(held).collect()}
+    assert got["a"]["rate"] == 0.9 and got["b"]["rate"] == 1 and got["a"]["spread"] == pytest.approx(0.1) and not got["a"]["passes"]
+    f = spark.createDataFrame([(True, True, False), (True, False, True), (False, True, None)], "in_gold boolean, in_found boolean, damaged boolean")
+    assert evaluate.parity(f).first()[:] == (1, 1, 1, 0.5, 1)

@@ -150,3 +150,20 @@ def test_hard_cases_do_not_crash():
         extract.extract(t)
         repair.repaired(t)
     assert len(R.TAGS) == 37
+
+
+def test_numbers_in_one_stretch(spark):
+    rows = [("a 23 b 2.45 c .022", ("23", None, "2.45", "<.022")), ("a 23 " + "x" * 170 + " 2.45 .022 23 2.45 .022", ("23", "", "2.45", ".022")), ("a 23 " + "x" * 170 + " 2.45 .022", ("23", "", "2.45", ".022")), ("none", (None, None, None, None)), (None, ("1", None, None, None))]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, r struct<df1:string,df2:string,statistic:string,p_value:string>")
+    got = df.select("i", extract.holds_numbers(F.col("t"), F.col("r")).alias("h")).orderBy("i").collect()
+    assert [r["h"] for r in got] == [True, True, False, False, False]
+
+
+def test_repair_report_and_lines(spark):
+    from loomtally.sources import writers
+
+    df = spark.createDataFrame([(1, "t(3) ¼ 2.1, p b .05"), (2, None)], "doc_id int, text string")
+    got = {r["doc_id"]: r for r in repair.report(df).collect()}
+    assert got[1]["replacements"] == 2 and got[1]["suspects_before"] == 1 and got[1]["suspects_after"] == 0
+    line = online.results(spark.createDataFrame([(1, PASSAGE)], "doc_id long, text string")).select(writers.result_line().alias("t")).first()["t"]
+    assert "t(23) = 2.45, p = 0.022" in line and "consistent" in line
