@@ -90,6 +90,23 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_uniform, p4_found, p4_raters, p4_agreement, p5_found, p5_restored, p6_found, p6_report, p7_found, p7_mix, p7_shares, p8_found, p8_rates)}
 
+
+
+def _key_sql() -> str:
+    """The file name a path leads to, in SQL."""
+    x = "lower(trim(source_doc))"
+    steps = (
+        (r"[?#].*$", ""), (r"%20|\+", " "), ("%5f", "_"), (r"%2f|%5c|\\", "/"), (r"/+\s*$", ""), ("^.*/", ""),
+        (r"(?:\.(?:txt|pdf|gz|zip|bz2|xz|zst|html?|xml|docx?|rtf|md|json|tei|bak|orig))+$", ""),
+        (r"(?:\s*\(\s*\d+\s*\)|[\s_-]*\b(?:copy|kopie|copie|copia)(?:[\s_-]*\(?\d+\)?)?|_copy(?:[\s_-]*\(?\d+\)?)?|[\s_-]+copy)+\s*$", ""),
+        (r"(?:\.(?:txt|pdf|gz|zip))+$", ""), (r"[\s_]+", "_"), ("^_+|_+$", ""),
+    )
+    for pattern, to in steps:
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return x
+
+
+_KEY = _key_sql()
 SQL = {
     "p4_agreement": """
 WITH named AS (
@@ -105,5 +122,17 @@ m AS (SELECT dispute_id, sum(k) AS m, sum(k*(k-1)) AS same FROM c GROUP BY 1 HAV
 o AS (SELECT count(*) AS items, sum(m) AS n, sum(same/(m-1)) AS agree, sum(same) AS s, sum(m*(m-1)) AS p FROM m),
 e AS (SELECT sum(t*(t-1)) AS e FROM (SELECT keep, sum(k) AS t FROM c JOIN m USING (dispute_id) GROUP BY keep))
 SELECT items, round(s/p, 6) AS raw, round(1 - (1 - agree/n)/(1 - e/(n*(n-1))), 6) AS alpha FROM o, e
+""",
+    "p7_found": """
+SELECT t.source FROM mix_targets t LEFT JOIN (SELECT source, sum(n_chars) AS n FROM documents GROUP BY 1) d USING (source)
+WHERE coalesce(d.n, 0) * t.max_repeats / (SELECT sum(n_chars) FROM documents)::DOUBLE < t.target_share
+""",
+    "p2_found": f"""
+WITH RECURSIVE r AS (
+  SELECT record_id, "set", trim(window_id) AS w, {_KEY} AS f FROM holdout),
+e AS (SELECT DISTINCT f, w FROM r WHERE w <> ''),
+reach AS (SELECT DISTINCT f, f AS g FROM r UNION SELECT reach.f, b.f FROM reach JOIN e a ON a.f = reach.g JOIN e b ON a.w = b.w),
+mixed AS (SELECT reach.f FROM reach JOIN r ON r.f = reach.g GROUP BY 1 HAVING count(DISTINCT r."set") > 1)
+SELECT record_id FROM r WHERE f IN (SELECT f FROM mixed)
 """,
 }
