@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,14 +23,13 @@ def gold(rows: DataFrame, order: str = "record_id") -> tuple[DataFrame, DataFram
     r = rows.select("window_id", "source_doc", F.col(order).alias("_o"), F.posexplode("results").alias("seq", "r"))
     r = r.withColumn("value", numbers.as_number(F.col("r.statistic")))
     lost = r.where("value IS NULL").select("window_id", F.col("r.statistic").alias("statistic"))
-    first = Window.partitionBy("window_id", "value").orderBy("_o", "seq")  # a window's results are few
-    g = r.where("value IS NOT NULL").withColumn("_n", F.row_number().over(first)).where("_n = 1")
     damaged = F.coalesce(F.col("r.damaged"), F.lit(False))
-    return g.select(
-        "window_id", "source_doc", "value", damaged.alias("damaged"), F.lower(F.coalesce("r.test_type", F.lit(""))).alias("test_type"),
-        F.coalesce("r.checkable", F.lit(False)).alias("checkable"), F.when(damaged, text.damage_family(F.col("r.quote"))).alias("family"),
-        F.col("r.tier").alias("tier"), F.col("r.block_span").alias("block_span"),
-    ), lost
+    row = F.struct(
+        "source_doc", damaged.alias("damaged"), F.lower(F.coalesce("r.test_type", F.lit(""))).alias("test_type"), F.coalesce("r.checkable", F.lit(False)).alias("checkable"),
+        F.when(damaged, text.damage_family(F.col("r.quote"))).alias("family"), F.col("r.tier").alias("tier"), F.col("r.block_span").alias("block_span"),
+    )
+    g = r.where("value IS NOT NULL").groupBy("window_id", "value").agg(F.min_by(row, F.struct("_o", "seq")).alias("g"))
+    return g.select("window_id", "value", "g.*"), lost
 
 
 def facts(gold_rows: DataFrame, found: DataFrame) -> DataFrame:
