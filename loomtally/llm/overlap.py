@@ -169,15 +169,13 @@ def across(records: DataFrame, key: str, text: str, train: Column, radius: int =
         )
     )
 
+    # the code travels with the keys (24 bytes), so that pairs beyond the radius end in the join itself:
+    # what is shuffled grows with the records, not with the pairs that chance brings together
     def side(flag: str, n: str) -> DataFrame:
-        return classes.where(flag).select(F.col("class_id").alias(n), F.explode("keys").alias("k"))
+        return classes.where(flag).select(F.col("class_id").alias(n), *(F.col(c).alias(c + n) for c in ("c0", "c1", "c2")), F.explode("keys").alias("k"))
 
-    def code(n: str) -> DataFrame:
-        return classes.select(F.col("class_id").alias(n), *(F.col(c).alias(c + n) for c in ("c0", "c1", "c2")))
-
-    met = side("t", "a").join(side("e", "b"), "k").select("a", "b").distinct()
     apart = sum((F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) for c in ("c0", "c1", "c2")), F.lit(0))
-    near = cut(met.join(code("a"), "a").join(code("b"), "b").where(apart <= radius).select("a", "b"))
+    near = cut(side("t", "a").join(side("e", "b"), "k").where(apart <= radius).select("a", "b").distinct())
     many = near.count()
     slim = records.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     other = small_side(near.where("a <> b"), many, BROADCAST_PAIRS)
