@@ -180,16 +180,16 @@ tried AS (
   SELECT k.doc_id, k.line, t.s, greatest(0, k.line - t.s) AS lo, least(d.n, k.line + t.s + 1) AS hi,
     list_sum(d.sizes[greatest(0, k.line - t.s) + 1 : least(d.n, k.line + t.s + 1)]) AS held
   FROM kept k JOIN docs d USING (doc_id), range(2, 9) t(s))
-SELECT doc_id, line, lo AS start_line, hi - 1 AS end_line, held - 1 AS chars FROM tried WHERE held >= 250 OR s = 8
+SELECT doc_id, line, lo AS start_line, hi - 1 AS end_line, (held - 1)::BIGINT AS chars FROM tried WHERE held >= 250 OR s = 8
 QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY s) = 1""",
     "windows_fixed": f"""WITH {LINES} w AS (
-  SELECT doc_id, line, value, sum(length(value) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) - 1 AS chars FROM lines)
+  SELECT doc_id, line, value, sum(length(value) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)::BIGINT - 1 AS chars FROM lines)
 SELECT doc_id, line, chars FROM w WHERE length(value) >= 20""",
-    "windows_by_frame": f"WITH {LINES} z AS (SELECT 1) SELECT doc_id, line, sum(length(value) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS chars FROM lines",
+    "windows_by_frame": f"WITH {LINES} z AS (SELECT 1) SELECT doc_id, line, sum(length(value) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)::BIGINT AS chars FROM lines",
     "folded_spaces": rf"""SELECT record_id, sha256(regexp_replace(text, '\p{{Zs}}', ' ', 'g')) AS folded,
   length(regexp_replace(text, '{WS}', '', 'g')) AS squeezed, sha256(regexp_replace(regexp_replace(text, '{WS}+', ' ', 'g'), '^ | $', '', 'g')) AS flat FROM holdout""",
     "damage_families": f"SELECT {_family('r.quote')} AS family, count(*) AS n FROM (SELECT unnest(results) AS r FROM holdout) WHERE r.damaged GROUP BY 1",
-    "character_ids": """SELECT record_id, sum(CASE WHEN c = ' ' THEN 28 WHEN c BETWEEN 'a' AND 'z' AND length(c) = 1 AND ascii(c) BETWEEN 97 AND 122 THEN ascii(c) - 95 ELSE 1 END) AS total,
+    "character_ids": """SELECT record_id, sum(CASE WHEN c = ' ' THEN 28 WHEN c BETWEEN 'a' AND 'z' AND length(c) = 1 AND ascii(c) BETWEEN 97 AND 122 THEN ascii(c) - 95 ELSE 1 END)::BIGINT AS total,
   count(*) FILTER (NOT (c = ' ' OR ascii(c) BETWEEN 97 AND 122)) AS unknown
 FROM (SELECT record_id, unnest([text[i] FOR i IN range(1, length(text) + 1)]) AS c FROM holdout) GROUP BY record_id""",
     "operator_sites": r"""WITH s AS (
@@ -212,7 +212,7 @@ FROM g WHERE after_df >= 3 OR after_p >= 3""",
     "extract_pattern": _extract(),
     "quote_found": f"""SELECT record_id, seq, coalesce(contains(regexp_replace(text, '{WS}', '', 'g'), q) AND q <> '', false) AS found
 FROM (SELECT record_id, text, seq, regexp_replace(r.quote, '{WS}', '', 'g') AS q FROM (SELECT record_id, text, unnest(results) AS r, generate_subscripts(results, 1) - 1 AS seq FROM holdout))""",
-    "part_labels": f'WITH {SPANS} SELECT entity, count(*) AS n, sum("end" - "start") AS chars FROM spans GROUP BY entity',
+    "part_labels": f'WITH {SPANS} SELECT entity, count(*) AS n, sum("end" - "start")::BIGINT AS chars FROM spans GROUP BY entity',
     "span_overlaps": f"""WITH {SPANS}, o AS (SELECT *, lead("start") OVER (PARTITION BY record_id ORDER BY "start", "end", entity, seq) AS next FROM spans)
 SELECT record_id, entity, "start", "end", next FROM o WHERE next < "end" """,
     "numbers_read": f"""SELECT decision_id, seq, {_as_number('s')} AS value, {_double("regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '^" + WS + "+|" + WS + "+$', '', 'g'), '[−–]', '-', 'g'), '^[<>=]+', ''), '^" + WS + "+|" + WS + "+$', '', 'g')")} AS printed
@@ -251,7 +251,7 @@ s AS (SELECT count(*) AS subjects, avg((a*a + b*b - 3) / 6.0) AS p, power(sum(a)
 SELECT subjects, round((p - pe) / (1 - pe), 6) AS kappa FROM s""",
     "kripp_alpha": f"""WITH {RATINGS}, u AS (SELECT item, count(*) AS m, count(*) FILTER (label) AS a, count(*) FILTER (NOT label) AS b FROM ratings GROUP BY 1 HAVING count(*) > 1),
 s AS (SELECT sum(m) AS n, sum((a*(a-1) + b*(b-1)) / (m - 1)::DOUBLE) AS o, sum(a) AS ta, sum(b) AS tb FROM u)
-SELECT n, round(1 - (1 - o / n) / (1 - (ta*(ta-1) + tb*(tb-1)) / (n*(n-1))::DOUBLE), 6) AS alpha FROM s""",
+SELECT n::BIGINT AS n, round(1 - (1 - o / n) / (1 - (ta*(ta-1) + tb*(tb-1)) / (n*(n-1))::DOUBLE), 6) AS alpha FROM s""",
     "consensus_vote": f"""WITH f AS (SELECT dispute_id, arg_min(candidates, decision_id) AS cs FROM disputes GROUP BY 1),
 c AS (SELECT dispute_id AS cluster, c.df1 AS raw, {_as_number('c.df1')} AS num, rank FROM (SELECT dispute_id, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS rank FROM f)),
 v AS (SELECT cluster, num, count(*) AS votes, min(rank) AS r, arg_min(coalesce(raw, '∅'), rank) AS raw FROM c GROUP BY 1, 2),
@@ -302,9 +302,9 @@ SELECT source_doc, CASE WHEN r <= round(n * 0.15) THEN 'dev' ELSE 'train' END AS
     "batch_ids": "SELECT decision_id, n // 20 AS batch_id, n % 20 AS pos FROM (SELECT decision_id, row_number() OVER (ORDER BY decision_id) - 1 AS n FROM disputes)",
     "char_vocab": """WITH c AS (SELECT unnest([text[i] FOR i IN range(1, length(text) + 1)]) AS ch FROM holdout), k AS (SELECT ch, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 3)
 SELECT hex(ch) AS code, n, row_number() OVER (ORDER BY ch) + 1 AS id FROM k""",
-    "dataset_counts": """SELECT "set", count(*) AS windows, count(DISTINCT source_doc) AS documents, sum(len(results)) AS results, count(*) FILTER (contains_result) AS with_result FROM holdout GROUP BY 1""",
+    "dataset_counts": """SELECT "set", count(*) AS windows, count(DISTINCT source_doc) AS documents, sum(len(results))::BIGINT AS results, count(*) FILTER (contains_result) AS with_result FROM holdout GROUP BY 1""",
     "tier_counts": """SELECT "set", r.tier AS tier, count(*) AS n FROM (SELECT "set", unnest(results) AS r FROM holdout) GROUP BY 1, 2""",
-    "conversion_summary": "SELECT count(*) AS files, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed, sum(pages) AS pages, sum(chars) AS chars, sum(non_ascii) AS non_ascii FROM conversion_manifest",
+    "conversion_summary": "SELECT count(*) AS files, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed, sum(pages)::BIGINT AS pages, sum(chars)::BIGINT AS chars, sum(non_ascii)::BIGINT AS non_ascii FROM conversion_manifest",
     "text_hashes": "SELECT doc_id, sha256(replace(text, chr(13) || chr(10), chr(10))) AS sha256 FROM documents",
     "manifest_check": "SELECT pdf AS path, 'changed' AS problem FROM conversion_manifest WHERE ok GROUP BY pdf HAVING count(DISTINCT chars) > 1",
     "loss_divergence": """WITH e AS (SELECT user_id AS run, event_id AS epoch, value * 100 AS loss, lag(value * 100) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events)
