@@ -9,9 +9,9 @@ pairs whose best two bands stay below the bound for half an item are dropped. Th
 by banded local alignment of words around the best bands, at most two pieces (a passage interrupted
 once), and count if the pieces cover half of the item's words.
 
-The items are a stated query set: their index (about 100 bytes a q-gram) is broadcast in blocks of
-``BLOCK_ITEMS``, each block one pass over the documents; nothing else leaves the rows, so there is no
-shuffle. Null and empty texts hold nothing; items without words match nothing; documents of any length
+The items are a stated query set: their index is broadcast in blocks of bounded size, each block one
+pass over the documents; nothing else leaves the rows, so there is no shuffle. Only the items' ids and
+lengths are on the driver at once, their texts a block at a time. Null and empty texts hold nothing; items without words match nothing; documents of any length
 are searched whole, in pieces of bounded memory. Repeated rows count as rows.
 """
 
@@ -35,8 +35,9 @@ SHARE = 0.5
 EDITS = 0.06
 #: Diagonals (in words) per band; bands overlap by half.
 BAND = 8
-#: Items per broadcast block, and characters searched at a time.
-BLOCK_ITEMS, CHUNK = 20_000, 2_000_000
+#: Items and characters of items per broadcast block (about 5 bytes of index a character), and
+#: characters of documents searched at a time.
+BLOCK_ITEMS, BLOCK_CHARS, CHUNK = 20_000, 8_000_000, 2_000_000
 #: Alignment band, in words to either side of a diagonal, and what an edited word costs there.
 SIDE, EDIT_COST = 6, 2.5
 #: Share of a piece's words that must be the item's, or the pieces are only phrased alike.
@@ -251,12 +252,13 @@ def search(index: Index, texts: list[str | None]) -> list[tuple[int, int, int]]:
 def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", block: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, words, item_words): every document with every item that leaked into it."""
     spark = docs.sparkSession
-    rows = sorted((int(r[0]), r[1]) for r in items.select(item_key, text).where(f"{item_key} IS NOT NULL AND {text} IS NOT NULL").collect())
+    asked = items.select(F.col(item_key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     schema = T.StructType([T.StructField(doc_key, T.LongType()), T.StructField(item_key, T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("item_words", T.IntegerType())])
     slim = docs.select(F.col(doc_key).cast("long").alias(doc_key), F.col(text).alias("_text")).where(f"_text IS NOT NULL AND {doc_key} IS NOT NULL")
     out = None
-    for b in range(0, max(1, len(rows)), block):
-        shared = spark.sparkContext.broadcast(Index(rows[b : b + block]))
+    for low, high in _blocks(asked, block):
+        rows = asked.where((F.col("id") >= low) & (F.col("id") <= high)).collect()  # one block's texts
+        shared = spark.sparkContext.broadcast(Index(sorted((r["id"], r["text"]) for r in rows)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -275,7 +277,20 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
 
         part = slim.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
+def _blocks(asked: DataFrame, block: int) -> list[tuple[int, int]]:
+    """Ranges of item ids that stay within a block's bounds; rows of one id stay together."""
+    sizes = asked.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).orderBy("id").collect()
+    out, n, chars = [], 0, 0
+    for r in sizes:
+        if not out or n + r["n"] > block or chars + r["chars"] > BLOCK_CHARS:
+            out.append([r["id"], r["id"]])
+            n = chars = 0
+        out[-1][1] = r["id"]
+        n, chars = n + r["n"], chars + r["chars"]
+    return [tuple(x) for x in out]
 
 
 def found(docs: DataFrame, items: DataFrame) -> DataFrame:
