@@ -201,7 +201,7 @@ def may_be_garbled(col: Column) -> Column:
 
 def _strings(disputes: DataFrame, raws: DataFrame) -> DataFrame:
     """(origin, row_key, text) of every value that may be garbled."""
-    quotes = disputes.select(F.lit("disputes").alias("origin"), F.col("decision_id").alias("row_key"), F.explode(F.expr("array_distinct(transform(candidates, c -> c.quote))")).alias("text"))
+    quotes = disputes.select(F.lit("disputes").alias("origin"), F.col("decision_id").alias("row_key"), F.explode(F.expr("array_distinct(candidates.quote)")).alias("text"))
     raw = raws.select(F.lit("statcheck_repaired").alias("origin"), F.col("row_id").alias("row_key"), F.col("raw").alias("text"))
     both = quotes.unionByName(raw)
     return both.where(F.col("text").isNotNull() & may_be_garbled(F.col("text")))

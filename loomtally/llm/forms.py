@@ -205,6 +205,6 @@ def may_differ(col: Column) -> Column:
 def found(holdout: DataFrame, disputes: DataFrame) -> DataFrame:
     """p3_found: rows whose text, or any candidate's quote, is not in its one form."""
     h = holdout.select(F.lit("holdout").alias("origin"), F.col("record_id").alias("row_key"), "text")
-    q = disputes.select(F.lit("disputes").alias("origin"), F.col("decision_id").alias("row_key"), F.explode(F.expr("array_distinct(transform(candidates, c -> c.quote))")).alias("text"))
+    q = disputes.select(F.lit("disputes").alias("origin"), F.col("decision_id").alias("row_key"), F.explode(F.expr("array_distinct(candidates.quote)")).alias("text"))
     both = h.unionByName(q).where(may_differ(F.col("text")))
     return both.where(differs_udf("text")).select("origin", "row_key").distinct()

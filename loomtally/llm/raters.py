@@ -124,8 +124,8 @@ def statistic_consensus(decisions: DataFrame) -> DataFrame:
 
     The rows of a dispute hold the same candidates, so pooling them leaves the shares as they are.
     """
-    c = decisions.where("dispute_id IS NOT NULL").select("dispute_id", F.explode("candidates").alias("c"))
-    c = c.select("dispute_id", readable_number(F.col("c.statistic")).alias("value")).where("value IS NOT NULL")
+    c = decisions.where("dispute_id IS NOT NULL").select("dispute_id", F.explode("candidates.statistic").alias("s"))
+    c = c.select("dispute_id", readable_number(F.col("s")).alias("value")).where("value IS NOT NULL")
     per = c.groupBy("dispute_id", "value").agg(F.count(F.lit(1)).alias("n"))
     out = per.groupBy("dispute_id").agg(
         F.sum("n").alias("readable"), F.count(F.lit(1)).alias("values"), F.max(F.struct("n", "value")).alias("top")
