@@ -67,3 +67,9 @@ PART_NAMES = {
     "p_value": "no p-value",
     "p_operator": "no operator before the p-value",
 }
+
+# What a verdict says where no part is missing.
+NO_P = "the statistic and its degrees of freedom give no p-value"
+NO_CLAIM = "there is no reported p-value to compare against"
+DISAGREE = "the reported and computed p-values disagree"
+DISAGREE_ALPHA = "the reported and computed p-values disagree about significance"

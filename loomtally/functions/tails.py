@@ -227,11 +227,11 @@ def check_batch(frame: pd.DataFrame, alpha: float = R.ALPHA) -> pd.DataFrame:
 def _verdict(computed: float, low: float, up: float, op: str | None, p: float | None, p_text: str | None, lost: list[str], alpha: float):
     """One verdict from the interval of possible p-values and the printed claim."""
     if math.isnan(computed):
-        return "undecidable", None, p, describe_missing(lost) or "the statistic and its degrees of freedom give no p-value", lost
+        return "undecidable", None, p, describe_missing(lost) or R.NO_P, lost
     if op == "ns":  # a claim about alpha
         op, claim = ">", alpha
     elif p is None or op not in ("=", "<", ">"):
-        return "undecidable", computed, p, describe_missing(lost) or "there is no reported p-value to compare against", lost
+        return "undecidable", computed, p, describe_missing(lost) or R.NO_CLAIM, lost
     else:
         claim = p
     if claim <= 0:
@@ -246,8 +246,8 @@ def _verdict(computed: float, low: float, up: float, op: str | None, p: float |
     real = computed <= alpha
     flips = {"=": (claim <= alpha) != real, "<": claim <= alpha and not real, ">": claim >= alpha and real}[op]
     if flips:
-        return "decision_error", computed, claim, "the reported and computed p-values disagree about significance", []
-    return "inconsistent", computed, claim, "the reported and computed p-values disagree", []
+        return "decision_error", computed, claim, R.DISAGREE_ALPHA, []
+    return "inconsistent", computed, claim, R.DISAGREE, []
 
 
 _INPUT = ("test", "statistic", "df1", "df2", "op", "p", "p_text", "stat_text")
