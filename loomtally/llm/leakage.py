@@ -38,6 +38,8 @@ BAND = 8
 #: Items and characters of items per broadcast block (about 5 bytes of index a character), and
 #: characters of documents searched at a time.
 BLOCK_ITEMS, BLOCK_CHARS, CHUNK = 20_000, 8_000_000, 2_000_000
+#: Characters that pieces of a longer document share; longer than any passage with its interruption.
+OVERLAP = 100_000
 #: Alignment band, in words to either side of a diagonal, and what an edited word costs there.
 SIDE, EDIT_COST = 6, 2.5
 #: Share of a piece's words that must be the item's, or the pieces are only phrased alike.
@@ -228,13 +230,39 @@ def held(item: list[str], doc: list[str], shifts: list[int]) -> int:
     return most
 
 
-def search(index: Index, texts: list[str | None]) -> list[tuple[int, int, int]]:
-    """(text number, item number, words held) of the pairs that hold the share."""
-    clean = [plain(t) for t in texts]
+def _pieces(text: str, chunk: int, overlap: int) -> list[str]:
+    """A text as it is, or in overlapping pieces cut at blanks where it is longer than a chunk."""
+    if len(text) <= chunk:
+        return [text]
     out, at = [], 0
+    while at < len(text):
+        end = min(len(text), at + chunk)
+        if end < len(text):
+            end = max(text.rfind(" ", at + chunk // 2, end), at + chunk // 2 + 1)
+        out.append(text[at:end])
+        if end == len(text):
+            return out
+        back = text.find(" ", max(at + 1, end - overlap), end)
+        at = back if back > at else end
+    return out
+
+
+def search(index: Index, texts: list[str | None], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
+    """(text number, item number, words held) of the pairs that hold the share.
+
+    Memory is bounded by ``chunk``: short texts are searched together, longer ones in pieces that share
+    ``overlap`` characters, which is then the most that an interruption may take.
+    """
+    owner, clean = [], []
+    for n, t in enumerate(texts):
+        for piece in _pieces(plain(t), chunk, overlap):
+            owner.append(n)
+            clean.append(piece)
+    best: dict[tuple[int, int], int] = {}
+    at = 0
     while at < len(clean):
         end, size = at, 0
-        while end < len(clean) and (end == at or size + len(clean[end]) < CHUNK):
+        while end < len(clean) and (end == at or size + len(clean[end]) < chunk):
             size += len(clean[end])
             end += 1
         last, words = -1, []
@@ -244,9 +272,10 @@ def search(index: Index, texts: list[str | None]) -> list[tuple[int, int, int]]:
             item = index.words[i]
             n = held(item, words, diagonals)
             if n >= SHARE * len(item) - 0.5:
-                out.append((at + d, i, n))
+                key = (owner[at + d], i)
+                best[key] = max(best.get(key, 0), n)
         at = end
-    return out
+    return [(d, i, n) for (d, i), n in best.items()]
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", block: int = BLOCK_ITEMS) -> DataFrame:

@@ -97,3 +97,14 @@ def test_against_brute_force(spark, small):
         sure |= {(k, i) for i in near if _longest(words[i], w) >= 0.5 * len(words[i])}
     assert sure and sure <= got
     assert queries.p6_report(spark, small).count() == 360
+
+
+def test_long_documents_in_pieces():
+    rng = random.Random(9)
+    index = leakage.Index([(100, " ".join(ITEM))])
+    doc = " ".join([_text(3000, rng), " ".join(ITEM), _text(3000, rng), "x" * 9000, _text(500, rng), " ".join(ITEM[:40])])
+    whole = leakage.search(index, [doc, None, "", " ".join(ITEM)])
+    assert whole == [(0, 0, 60), (3, 0, 60)]
+    for chunk in (4000, 5000, 7777):
+        assert sorted(leakage.search(index, [doc, None, "", " ".join(ITEM)], chunk, 1500)) == whole
+    assert "".join(leakage._pieces("ab " * 50, 40, 0)) == "ab " * 50
