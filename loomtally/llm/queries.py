@@ -32,8 +32,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = table(spark, sf_dir, "holdout")
-    return h.select("record_id", forms.uniform_udf("text").alias("text"))
+    """One form of every window text and of every candidate's quote."""
+    h = spread(table(spark, sf_dir, "holdout")).select(F.lit("holdout").alias("origin"), F.col("record_id").alias("row_key"), F.lit(0).alias("place"), "text")
+    q = table(spark, sf_dir, "disputes").select(F.lit("disputes").alias("origin"), F.col("decision_id").alias("row_key"), F.posexplode("candidates.quote").alias("place", "text"))
+    return h.unionByName(q).select("origin", "row_key", "place", forms.uniform_udf("text").alias("text"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
