@@ -102,18 +102,20 @@ SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end
 
 
 def spans_of_tags(tags: list[str]) -> list[tuple[int, int, str]]:
-    """Islands of a tag sequence; a stray inside or end tag opens an island of its own."""
+    """Islands of a tag sequence; a stray inside or end tag opens an island that goes on as others do."""
     out, start, name = [], 0, None
     for i, tag in enumerate([*tags, "O"]):
         prefix, _, entity = tag.partition("-")
-        goes_on = name is not None and entity == name and prefix in "IE" and prefix
-        if name is not None and not goes_on:
+        if name is not None and entity == name and prefix in ("I", "E"):
+            if prefix == "E":
+                out.append((start, i + 1, name))
+                name = None
+            continue
+        if name is not None:
             out.append((start, i, name))
-            name = None
-        if name is None and entity:
-            start, name = i, entity
-        if name is not None and prefix in ("E", "S"):
-            out.append((start, i + 1, name))
+        start, name = i, entity or None
+        if prefix == "S":
+            out.append((i, i + 1, entity))
             name = None
     return out
 

@@ -76,6 +76,8 @@ def test_tags_and_spans():
     tags = extract.tags_of_spans(12, spans)
     assert extract.spans_of_tags(tags) == spans[:3]
     assert extract.spans_of_tags(["I-STAT", "I-STAT", "O", "E-PVAL", "B-STAT", "B-STAT"]) == [(0, 2, "STAT"), (3, 4, "PVAL"), (4, 5, "STAT"), (5, 6, "STAT")]
+    assert extract.spans_of_tags(["E-PVAL", "I-PVAL", "E-PVAL", "I-PVAL"]) == [(0, 3, "PVAL"), (3, 4, "PVAL")]
+    assert extract.spans_of_tags(["S-N", "S-N", "B-N"]) == [(0, 1, "N"), (1, 2, "N"), (2, 3, "N")]
     assert extract.spans_of_tags([]) == []
 
 
