@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +44,29 @@ def as_number(text: Column) -> Column:
     return F.round(F.coalesce(_clean(t), F.when(bare != t, F.abs(_clean(bare)))), 4) + F.lit(0.0)  # no negative zero
 
 
+_PLAIN = re.compile(_NUMERIC)
+
+
+def _read(text: str) -> float | None:
+    minus = text[:1] in ("-", "−", "–") and text != ""
+    t = text[1:].strip() if minus else text
+    t = re.sub(r"(?<=\d),(?=\d{3}(?:\D|$))", "", t)
+    if not _PLAIN.match(t):
+        return None
+    return -float(t) if minus else float(t)
+
+
+def read_number(value) -> float | None:
+    """``as_number`` for code that runs inside Arrow batches."""
+    t = "" if value is None else str(value).strip()
+    v = _read(t)
+    if v is None and t:
+        bare = re.sub(r"^[\x00-\x1f]|[\x00-\x1f]$", "", t).strip()
+        v = _read(bare) if bare != t else None
+        v = None if v is None else abs(v)
+    return None if v is None else round(v, 4) + 0.0
+
+
 def leading_operator_removed(text: Column) -> Column:
     return F.regexp_replace(text, "^[<>=]+", "")
 

@@ -79,20 +79,12 @@ def krippendorff_alpha(ratings: DataFrame) -> DataFrame:
 
 # ---- matching inside one window -----------------------------------------------------------------
 
-def _magnitude(value) -> float | None:
-    try:
-        v = float(str(value).strip().replace("−", "-").replace("–", "-").replace(",", ""))
-    except (TypeError, ValueError):
-        return None
-    return abs(round(v, 4))
-
-
 def _score(a: dict, b: dict, strict: bool) -> float | None:
     """How well two results match: their overlap, or 1 for equal magnitudes where a span lacks."""
     sa, sb = a.get("span"), b.get("span")
     if sa is None or sb is None:
-        va, vb = _magnitude(a.get("statistic")), _magnitude(b.get("statistic"))
-        return 1.0 if va is not None and va == vb else None
+        va, vb = numbers.read_number(a.get("statistic")), numbers.read_number(b.get("statistic"))
+        return 1.0 if va is not None and vb is not None and abs(va) == abs(vb) else None
     sa, sb = tuple(sa), tuple(sb)
     if strict:
         return max(1.0, sa[1] - sa[0]) if sa == sb else None
@@ -134,8 +126,7 @@ def clusters(raters: dict[str, list[dict]], one_each: bool = True) -> list[list[
 
 def _key(field: str, value):
     if field in NUMERIC:
-        v = _magnitude(value)
-        return None if v is None else (-v if str(value).strip()[:1] in "-−–" else v)
+        return numbers.read_number(value)
     return " ".join(str(value).split()) if field == "quote" and value is not None else value
 
 

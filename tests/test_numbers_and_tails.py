@@ -79,6 +79,7 @@ def test_numbers(spark):
     want = [1234.5, None, -0.35, -0.5, -0.5, 0.45, 0.76, 0.95, None, None, None, 7.0, None, 1000.0]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(numbers.as_number(F.col("t")).alias("v")).collect()
     assert [r["v"] for r in got] == want
+    assert [numbers.read_number(t) for t in texts] == want
 
 
 def test_codes(spark):
