@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from loomtally.functions import numbers
 from loomtally.functions import rules as R
+from loomtally.session import beside
 
 NUMERIC = ("statistic", "df1", "df2", "n", "p_value")
 CATEGORICAL = ("test_type", "p_operator", "damaged")
@@ -57,7 +58,7 @@ def fleiss_kappa(ratings: DataFrame) -> DataFrame:
     per = cells.groupBy("item").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("sq"))
     top = per.agg(F.count(F.lit(1)).alias("subjects"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.avg((F.col("sq") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("p"))
     share = cells.groupBy("label").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum("t").alias("all"))
-    both = top.crossJoin(share)  # one row each
+    both = beside(top, share)
     pe = F.col("tt") / (F.col("all") * F.col("all"))
     uneven = F.assert_true(F.col("lo") == F.col("hi"), F.lit("every subject needs the same number of raters"))
     kappa = F.when(pe == 1, F.lit(1.0)).otherwise((F.col("p") - pe) / F.nullif(1 - pe, F.lit(0.0)))
@@ -71,7 +72,7 @@ def krippendorff_alpha(ratings: DataFrame) -> DataFrame:
     cells = cells.join(units, "item")
     agree = cells.agg(F.sum("k").alias("n"), F.sum(F.col("k") * (F.col("k") - 1) / (F.col("m") - 1)).alias("o"))
     chance = cells.groupBy("label").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1)).alias("e"))
-    both = agree.crossJoin(chance)  # one row each
+    both = beside(agree, chance)
     do = 1 - F.col("o") / F.col("n")
     de = 1 - F.col("e") / (F.col("n") * (F.col("n") - 1))
     return both.select(F.col("n").alias("values"), F.when(F.col("n") > 1, F.when(de == 0, F.lit(1.0)).otherwise(1 - do / F.nullif(de, F.lit(0.0)))).alias("alpha"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -209,5 +209,6 @@ def engine_gate(held: DataFrame, most: float = 0.06) -> DataFrame:
     result: the rate is over results whose document the engine read; the gate is on the rates' spread."""
     per = held.groupBy("engine").agg(F.count_if("read").alias("results"), F.count_if(F.col("read") & F.col("in_text")).alias("in_text"), F.count_if(F.col("read") & F.col("kept")).alias("kept"))
     per = per.withColumn("rate", F.when(F.col("results") > 0, F.col("kept") / F.col("results")).otherwise(F.lit(0.0)))
-    ends = per.agg((F.max("rate") - F.min("rate")).alias("spread"))
-    return per.crossJoin(F.broadcast(ends)).withColumn("passes", F.col("spread") <= most)  # one row per engine
+    all_ = Window.partitionBy()  # one row per engine
+    per = per.withColumn("spread", F.max("rate").over(all_) - F.min("rate").over(all_))
+    return per.withColumn("passes", F.col("spread") <= most)

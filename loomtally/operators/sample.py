@@ -123,8 +123,7 @@ def class_weights(counts: DataFrame, cap: float = 40.0) -> DataFrame:
     """(tag, weight): square root of the inverse frequency up to a cap; O and unseen tags weigh 1."""
     spark = counts.sparkSession
     all_tags = spark.createDataFrame([(i, t) for i, t in enumerate(R.TAGS)], "tag_id int, tag string")
-    total = counts.agg(F.sum("n").alias("total"))
-    j = all_tags.join(counts, "tag", "left").crossJoin(F.broadcast(total))  # 37 rows and one
+    j = all_tags.join(counts, "tag", "left").withColumn("total", F.sum("n").over(Window.partitionBy()))  # 37 rows
     w = F.least(F.lit(cap), F.sqrt(F.col("total") / (len(R.TAGS) * F.col("n"))))
     return j.select("tag_id", "tag", F.when((F.col("tag") == "O") | F.col("n").isNull(), F.lit(1.0)).otherwise(w).alias("weight"))
 

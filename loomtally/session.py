@@ -101,6 +101,12 @@ def _drop_cuts(app: str, spark: SparkSession) -> None:
             return
 
 
+def beside(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two frames of one row each as one row: a union and an aggregate, no join."""
+    both = a.unionByName(b, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
+
+
 def small_side(df: DataFrame, rows: int, most: int) -> DataFrame:
     """``df`` marked for broadcast if its counted ``rows`` stay within ``most``; else unchanged."""
     return F.broadcast(df) if rows <= most else df
