@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtally.session import cut, small_side
+from loomtally.session import beside, cut, small_side
 
 #: Up to so many raters are broadcast to the labels (a few MB); more are joined by shuffle.
 BROADCAST_RATERS = 20_000
@@ -140,7 +140,7 @@ def agreement(labels: DataFrame, item: str, label: str) -> DataFrame:
     m = counts.groupBy(item).agg(F.sum("k").alias("m"), F.sum(F.col("k") * (F.col("k") - 1)).alias("same")).where("m > 1")
     o = m.agg(F.count(F.lit(1)).alias("items"), F.sum("m").alias("n"), F.sum(F.col("same") / (F.col("m") - 1)).alias("agree"), F.sum("same").alias("s"), F.sum(F.col("m") * (F.col("m") - 1)).alias("p"))
     totals = counts.join(m.select(item), item).groupBy(label).agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1)).alias("e"))
-    both = o.crossJoin(totals)  # one row each
+    both = beside(o, totals)
     do, de = 1 - F.col("agree") / F.col("n"), 1 - F.col("e") / (F.col("n") * (F.col("n") - 1))
     return both.select("items", (F.col("s") / F.nullif(F.col("p"), F.lit(0))).alias("raw"), F.when(de > 0, 1 - do / de).otherwise(F.lit(1.0)).alias("alpha"))
 
