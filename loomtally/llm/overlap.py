@@ -185,8 +185,8 @@ def across(records: DataFrame, key: str, text: str, train: Column, radius: int =
     same = near.where("a = b").select("a", "b", F.lit(1.0).alias("similarity"))
     pairs = cut(scored.unionByName(same))
     used = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct()
-    forms = classes.join(small_side(used, 2 * many, BROADCAST_PAIRS), "class_id").select("class_id", "form1", "form2")
-    members = prints.select("id", "train", "form1", "form2").join(small_side(forms, 2 * many, BROADCAST_PAIRS), ["form1", "form2"]).select("class_id", "id", "train")
+    forms = classes.join(used, "class_id").select("class_id", "form1", "form2")
+    members = prints.select("id", "train", "form1", "form2").join(forms, ["form1", "form2"]).select("class_id", "id", "train")
     return pairs, members
 
 
