@@ -7,7 +7,8 @@ bands (word number in the document less word number in the item). By the q-gram
 edited words keeps at least w - r - e (1 + r) of these q-grams, r the words a q-gram reaches over;
 pairs whose best two bands stay below the bound for half an item are dropped. The others are verified
 by banded local alignment of words around the best bands, at most two pieces (a passage interrupted
-once), and count if the pieces cover half of the item's words.
+once, by any number of words; each piece is judged by itself), and count if the pieces cover half of
+the item's words.
 
 The items are a stated query set: their index is broadcast in blocks of bounded size, each block one
 pass over the documents; nothing else leaves the rows, so there is no shuffle. Only the items' ids and
@@ -40,8 +41,9 @@ BAND = 8
 BLOCK_ITEMS, BLOCK_CHARS, CHUNK = 20_000, 8_000_000, 2_000_000
 #: Characters that pieces of a longer document share; longer than any passage with its interruption.
 OVERLAP = 100_000
-#: Alignment band, in words to either side of a diagonal, and what an edited word costs there.
-SIDE, EDIT_COST = 6, 2.5
+#: Alignment band, in words to either side of a diagonal (a band's neighbours and an interruption of
+#: that many words are within it), and what an edited word costs there.
+SIDE, EDIT_COST = 12, 2.5
 #: Share of a piece's words that must be the item's, or the pieces are only phrased alike.
 DENSE = 0.85
 
@@ -173,60 +175,70 @@ def _alike(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :]
 
 
-def _local(item: list[str], doc: list[str], shift: int) -> tuple[float, int, int, int, int, int]:
-    """Best local alignment within the band: (score, matches, item from, to, document from, to)."""
-    best = (0.0, 0, 0, 0, 0, 0)
-    width = 2 * SIDE + 1
-    prev = [(0.0, 0, -1, -1)] * (width + 2)
+def _runs(item: list[str], doc: list[str], shifts: list[int]) -> list[tuple[int, int, int]]:
+    """(item from, document from, words) of the longest runs of the same words within SIDE of a shift."""
+    spans: list[list[int]] = []
+    for s in sorted(set(shifts)):
+        if spans and s - SIDE <= spans[-1][1]:
+            spans[-1][1] = s + SIDE + 1
+        else:
+            spans.append([s - SIDE, s + SIDE + 1])
     n = len(doc)
+    out: list[tuple[int, int, int]] = []
+    open_: dict[int, int] = {}  # diagonal of a run that reaches the word before -> its first item word
     for i, w in enumerate(item):
-        row = [(0.0, 0, -1, -1)] * (width + 2)
-        left = (0.0, 0, -1, -1)
-        j0 = i + shift - SIDE
-        for k in range(width):
-            j = j0 + k
-            if j < 0 or j >= n:
-                left = (0.0, 0, -1, -1)
-                continue
-            x = doc[j]
-            diag, up = prev[k + 1], prev[k + 2]
-            if w == x or (w[0] == x[0] or w[-1] == x[-1]) and _alike(w, x):
-                s, m, a, b = diag
-                cell = (s + 1.0, m + 1, a if s > 0 else i, b if s > 0 else j)
-                if cell[0] > best[0]:
-                    best = (cell[0], cell[1], cell[2], i + 1, cell[3], j + 1)
-            else:
-                s = max(diag[0], up[0], left[0]) - EDIT_COST
-                if s <= 0:
-                    cell = (0.0, 0, -1, -1)
-                else:
-                    src = diag if diag[0] - EDIT_COST == s else up if up[0] - EDIT_COST == s else left
-                    cell = (s, src[1], src[2], src[3])
-            row[k + 1] = left = cell
-        prev = row
-    return best
+        head, tail = w[0], w[-1]
+        now: dict[int, int] = {}
+        for low, high in spans:
+            for j in range(max(0, i + low), min(n, i + high)):
+                x = doc[j]
+                if w == x or (head == x[0] or tail == x[-1]) and _alike(w, x):
+                    now[j - i] = open_.pop(j - i, i)
+        out += [(a, a + d, i - a) for d, a in open_.items()]
+        open_ = now
+    out += [(a, a + d, len(item) - a) for d, a in open_.items()]
+    return sorted(out)
+
+
+def _local(runs: list[tuple[int, int, int]]) -> set[tuple[float, int, int, int, int]]:
+    """Dense local alignments made of runs: (score, item from, to, document from, to), for each first
+    and last run the best one. A word in between costs EDIT_COST, and no end of a piece costs more
+    than it brings, so a piece with an interruption is there as a whole and as its two parts."""
+    out = set()
+    for f, (fi, fj, fw) in enumerate(runs):
+        # (score, best score so far, matches, item to, document to); a shorter run never pays for a gap
+        live = [(float(fw), float(fw), fw, fi + fw, fj + fw)]
+        out.add((float(fw), fi, fi + fw, fj, fj + fw))
+        if fw <= EDIT_COST:
+            continue
+        for i, j, w in runs[f + 1 :]:
+            best = None
+            for score, top, m, it, jt in live:
+                cut = max(0, it - i, jt - j)  # words of the run that the piece has already
+                if cut >= w:
+                    continue
+                left = score - EDIT_COST * max(i + cut - it, j + cut - jt)
+                if left > 0 and (best is None or left + w - cut > best[0]):
+                    best = (left + w - cut, max(top, left + w - cut), m + w - cut, i + w, j + w)
+            if best is not None:
+                live.append(best)
+                if best[0] >= best[1] and best[2] >= DENSE * max(best[3] - fi, best[4] - fj):
+                    out.add((best[0], fi, best[3], fj, best[4]))
+    return out
 
 
 def held(item: list[str], doc: list[str], shifts: list[int]) -> int:
     """How many of the item's words the document holds as one passage, interrupted at most once."""
     if not item or not doc:
         return 0
-    pieces = sorted((_local(item, doc, s) for s in dict.fromkeys(shifts)), reverse=True)
-    pieces = [p for p in pieces if p[1] >= DENSE * max(p[3] - p[2], p[5] - p[4])]
-    if not pieces:
-        return 0
-    first = pieces[0]
-    most = first[3] - first[2]
-    for p in pieces[1:]:
-        # a second piece on the same side of the first in both texts
-        if p[0] < 3:
-            continue
-        before = p[2] < first[2] and p[4] < first[4]
-        after = p[3] > first[3] and p[5] > first[5]
-        if before:
-            most = max(most, first[3] - first[2] + min(p[3], first[2]) - p[2])
-        elif after:
-            most = max(most, first[3] - first[2] + p[3] - max(p[2], first[3]))
+    pieces = _local(_runs(item, doc, shifts))
+    most = max((b - a for _, a, b, _, _ in pieces), default=0)
+    long = [p for p in pieces if p[0] >= 3]
+    for _, a, b, c, d in long:
+        for _, e, f, g, h in long:
+            # a second piece after the first in both texts
+            if e > a and f > b and g > c and h > d:
+                most = max(most, b - a + f - max(e, b))
     return most
 
 

@@ -108,3 +108,22 @@ def test_long_documents_in_pieces():
     for chunk in (4000, 5000, 7777):
         assert sorted(leakage.search(index, [doc, None, "", " ".join(ITEM)], chunk, 1500)) == whole
     assert "".join(leakage._pieces("ab " * 50, 40, 0)) == "ab " * 50
+
+
+def test_interrupted_by_a_few_words():
+    """Every short interruption at every place: each piece counts, whatever lies between."""
+    for n, first, second in ((48, 10, 15), (54, 13, 14), (44, 11, 11)):
+        item = _text(n, random.Random(n)).split()
+        for k in range(1, 13):
+            for before in range(40, 44):
+                rng = random.Random(100 * before + k)
+                doc = _text(before, rng).split() + item[:first] + [f"page{j}" for j in range(k)] + item[first : first + second] + _text(40, rng).split()
+                got = leakage.held(item, doc, [-before - 2, before, before + k])
+                assert got >= first + second, (n, k, before)
+    item = _text(48, random.Random(5)).split()
+    index = leakage.Index([(1, " ".join(item))])
+    for k in range(4, 8):
+        for before in range(40, 44):
+            rng = random.Random(before)
+            doc = _text(before, rng).split() + item[:10] + [f"page{j}" for j in range(k)] + item[10:25] + _text(40, rng).split()
+            assert leakage.search(index, [" ".join(doc)]), (k, before)
