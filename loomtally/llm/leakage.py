@@ -5,10 +5,10 @@ punctuation do not matter. Character q-grams are read at word starts. A document
 evaluation item also has are counted per pair and, for pairs with enough, in overlapping diagonal
 bands (word number in the document less word number in the item). By the q-gram lemma a passage of w words with e
 edited words keeps at least w - r - e (1 + r) of these q-grams, r the words a q-gram reaches over;
-pairs whose best two bands stay below the bound for half an item are dropped. The others are verified
-by banded local alignment of words around the best bands, at most two pieces (a passage interrupted
-once, by any number of words; each piece is judged by itself), and count if the pieces cover half of
-the item's words.
+pairs of which no two bands reach the bound for half an item are dropped. The others are verified by
+local alignment of words around every band that reaches it together with the best, at most two pieces
+(a passage interrupted once, by any number of words; each piece is judged by itself), and count if the
+pieces cover half of the item's words.
 
 The items are a stated query set: their index is broadcast in blocks of bounded size, each block one
 pass over the documents; nothing else leaves the rows, so there is no shuffle. Only the items' ids and
@@ -34,15 +34,16 @@ Q = 12
 SHARE = 0.5
 #: Edited words per word of a passage that the bound allows for.
 EDITS = 0.06
-#: Diagonals (in words) per band; bands overlap by half.
-BAND = 8
+#: Diagonals (in words) are counted in parts of so many; a band is four parts, or more for long items,
+#: and begins at any part.
+PART = 4
 #: Items and characters of items per broadcast block (about 5 bytes of index a character), and
 #: characters of documents searched at a time.
 BLOCK_ITEMS, BLOCK_CHARS, CHUNK = 20_000, 8_000_000, 2_000_000
 #: Characters that pieces of a longer document share; longer than any passage with its interruption.
 OVERLAP = 100_000
-#: Alignment band, in words to either side of a diagonal (a band's neighbours and an interruption of
-#: that many words are within it), and what an edited word costs there.
+#: Words to either side of a diagonal that are aligned (a band and a part on both sides), and what an
+#: edited word costs there.
 SIDE, EDIT_COST = 12, 2.5
 #: Share of a piece's words that must be the item's, or the pieces are only phrased alike.
 DENSE = 0.85
@@ -103,12 +104,16 @@ class Index:
         self.items, self.places = number[order].astype(np.int64), place[order].astype(np.int64)
         reach = Q // 6
         need = SHARE * self.counts
+        # words that a piece of the share may gain or lose, each moving the diagonal by one
+        moved = (need * (1 / DENSE - 1)).astype(np.int64)
+        self.width = np.maximum(4, moved // PART + 2)
         # two pieces lose the reach once each
         self.least = np.maximum(3, np.floor(need - 2 * reach - np.ceil(EDITS * need) * (1 + reach))).astype(np.int64)
 
 
 def candidates(index: Index, texts: list[str]) -> list[tuple[int, int, list[int]]]:
-    """(text number, item number, diagonals of the best bands) of pairs that meet the bound."""
+    """(text number, item number, diagonals) of pairs that meet the bound in two bands: the diagonals
+    of every band that meets it together with the best one."""
     number, place, h = grams(texts)
     if not len(h) or not len(index.hashes):
         return []
@@ -132,31 +137,43 @@ def candidates(index: Index, texts: list[str]) -> list[tuple[int, int, list[int]
         return []
     pair, base = pair[enough], base[enough]
     diagonal = np.repeat(place, many)[enough] - index.places[base]
-    half = np.floor_divide(diagonal, BAND // 2)
-    low = int(half.min())
-    span = int(half.max()) - low + 2
-    cell, count = np.unique(pair * span + (half - low), return_counts=True)
+    part = np.floor_divide(diagonal, PART)
+    low = int(part.min())
+    widest = int(index.width.max())
+    span = int(part.max()) - low + 1 + 2 * widest  # bands of one pair end before the next pair's parts
+    cell, count = np.unique(pair * span + (part - low), return_counts=True)
     owner, where = cell // span, cell % span
-    nxt = np.zeros(len(cell), dtype=np.int64)
-    adjacent = np.flatnonzero(cell[1:] == cell[:-1] + 1)
-    adjacent = adjacent[owner[adjacent] == owner[adjacent + 1]]
-    nxt[adjacent] = count[adjacent + 1]
-    band = count + nxt
-    out = []
+    width, least = index.width[owner % n_items], index.least[owner % n_items]
+    held_before = np.r_[0, np.cumsum(count)]
+    band = held_before[np.searchsorted(cell, cell + width)] - held_before[: len(cell)]
+    double = held_before[np.searchsorted(cell, cell + 2 * width)] - held_before[: len(cell)]
     begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    for b, e in zip(begins, np.r_[begins[1:], len(owner)]):
-        bands = sorted(zip(band[b:e].tolist(), where[b:e].tolist()), reverse=True)
-        top = [bands[0]]
-        for n, w in bands[1:]:
-            if abs(w - top[0][1]) > 1:
-                top.append((n, w))
-                break
-        o = int(owner[b])
-        if sum(n for n, _ in top) >= index.least[o % n_items]:
-            out.append((o // n_items, o % n_items, [(w + low + 1) * (BAND // 2) for _, w in top]))
+    best = np.maximum.reduceat(band, begins)
+    out = []
+    ends = np.r_[begins[1:], len(owner)]
+    for k in np.flatnonzero(2 * best >= least[begins]).tolist():
+        b, e, top = int(begins[k]), int(ends[k]), int(best[k])
+        o, bound, wide = int(owner[b]), int(least[b]), int(width[b])
+        places, counts = where[b:e].tolist(), band[b:e].tolist()
+        if top < bound and int(double[b:e].max()) < bound and _apart(places, counts, wide) < bound:
+            continue
+        shifts = [m for w, n in zip(places, counts) if n + top >= bound for m in (*range(w + 2, w + wide - 2, 6), w + wide - 2)]
+        out.append((o // n_items, o % n_items, [(m + low) * PART for m in dict.fromkeys(shifts)]))
     return out
 
 
+def _apart(places: list[int], counts: list[int], wide: int) -> int:
+    """Most q-grams in two bands that do not overlap."""
+    most = later = 0
+    far = len(places) - 1
+    for w, n in zip(reversed(places), reversed(counts)):
+        while places[far] >= w + wide:
+            later = max(later, counts[far])
+            far -= 1
+        most = max(most, n + later)
+    return most
+
+
 def _alike(a: str, b: str) -> bool:
     """Words that are the same but for one letter or two letters swapped."""
     if a == b:
@@ -197,7 +214,7 @@ def _runs(item: list[str], doc: list[str], shifts: list[int]) -> list[tuple[int,
         out += [(a, a + d, i - a) for d, a in open_.items()]
         open_ = now
     out += [(a, a + d, len(item) - a) for d, a in open_.items()]
-    return sorted(out)
+    return sorted(out, key=lambda r: (r[1], r[0]))
 
 
 def _local(runs: list[tuple[int, int, int]]) -> set[tuple[float, int, int, int, int]]:
@@ -211,7 +228,10 @@ def _local(runs: list[tuple[int, int, int]]) -> set[tuple[float, int, int, int,
         out.add((float(fw), fi, fi + fw, fj, fj + fw))
         if fw <= EDIT_COST:
             continue
+        reach = fj + fw + fw / EDIT_COST  # no gap beyond it pays
         for i, j, w in runs[f + 1 :]:
+            if j > reach:
+                break
             best = None
             for score, top, m, it, jt in live:
                 cut = max(0, it - i, jt - j)  # words of the run that the piece has already
@@ -222,6 +242,7 @@ def _local(runs: list[tuple[int, int, int]]) -> set[tuple[float, int, int, int,
                     best = (left + w - cut, max(top, left + w - cut), m + w - cut, i + w, j + w)
             if best is not None:
                 live.append(best)
+                reach = max(reach, best[4] + best[0] / EDIT_COST)
                 if best[0] >= best[1] and best[2] >= DENSE * max(best[3] - fi, best[4] - fj):
                     out.add((best[0], fi, best[3], fj, best[4]))
     return out
@@ -233,9 +254,15 @@ def held(item: list[str], doc: list[str], shifts: list[int]) -> int:
         return 0
     pieces = _local(_runs(item, doc, shifts))
     most = max((b - a for _, a, b, _, _ in pieces), default=0)
-    long = [p for p in pieces if p[0] >= 3]
-    for _, a, b, c, d in long:
-        for _, e, f, g, h in long:
+    # of the places that hold the same part of the item, the earliest and the last
+    early: dict[tuple[int, int], tuple[int, int]] = {}
+    late: dict[tuple[int, int], tuple[int, int]] = {}
+    for score, a, b, c, d in pieces:
+        if score >= 3:
+            early[a, b] = min(early.get((a, b), (d, c)), (d, c))
+            late[a, b] = max(late.get((a, b), (d, c)), (d, c))
+    for (a, b), (d, c) in early.items():
+        for (e, f), (h, g) in late.items():
             # a second piece after the first in both texts
             if e > a and f > b and g > c and h > d:
                 most = max(most, b - a + f - max(e, b))

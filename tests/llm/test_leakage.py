@@ -127,3 +127,19 @@ def test_interrupted_by_a_few_words():
             rng = random.Random(before)
             doc = _text(before, rng).split() + item[:10] + [f"page{j}" for j in range(k)] + item[10:25] + _text(40, rng).split()
             assert leakage.search(index, [" ".join(doc)]), (k, before)
+
+
+def test_first_piece_repeated_elsewhere():
+    """Copies of one piece, however many and on whichever side, do not hide the other."""
+    item = _text(48, random.Random(21)).split()
+    index = leakage.Index([(1, " ".join(item))])
+    a, b = item[:15], item[15:30]
+    for copies in (1, 2, 5):
+        for after in (False, True):
+            rng = random.Random(copies)
+            fill = lambda: _text(60, rng).split()
+            more = [w for _ in range(copies) for w in (*a, *fill())]
+            doc = ([] if after else more) + fill() + a + fill() + b + fill() + (more if after else [])
+            assert leakage.search(index, [" ".join(doc)]) == [(0, 0, 30)], (copies, after)
+    # the first piece as a whole after the second one does not count
+    assert leakage.search(index, [" ".join(b + _text(60, random.Random(3)).split() + a)]) == []
