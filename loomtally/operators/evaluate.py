@@ -102,12 +102,23 @@ def discordant(fact_a: DataFrame, fact_b: DataFrame) -> DataFrame:
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """Exact two-sided binomial test on discordant pairs, summed in log space; 1 for none."""
-    n, k = b + c, F.least(b, c)
-    logs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: F.ln(i.cast("double")))
-    fact = lambda upto: F.aggregate(F.slice(logs, F.lit(1), F.greatest(F.lit(0), upto).cast("int")), F.lit(0.0), lambda a, x: a + x)
-    terms = F.transform(F.sequence(F.lit(0), k), lambda i: F.exp(fact(n) - fact(i) - fact(n - i) - n * F.ln(F.lit(2.0))))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
+    """Exact two-sided binomial test on discordant pairs, summed in log space; 1 for none.
+
+    The terms from the largest down are one running product, so the work is min(b, c) steps a row.
+    """
+    n, k = (b + c).cast("double"), F.least(b, c).cast("double")
+    # log of the largest term, C(n, k) / 2^n
+    top = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(b, c))), F.lit(0.0), lambda a, i: a + F.when(i <= k, F.ln((n - k + i) / i)).otherwise(0.0)) - n * F.ln(F.lit(2.0))
+    # the terms below it as shares of it: each is the one before times i / (n - i + 1)
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+    down = F.sequence(F.greatest(F.lit(1), F.least(b, c)), F.lit(1))
+
+    def step(a: Column, i: Column) -> Column:
+        t = F.when(i <= k, a["t"] * i / (n - i + 1)).otherwise(0.0)
+        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
+
+    share = F.aggregate(down, start, step, lambda a: a["s"])
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.exp(top + F.ln(share))))
 
 
 # ---- resampling ---------------------------------------------------------------------------------

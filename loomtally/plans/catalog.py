@@ -453,6 +453,14 @@ def mcnemar(spark: SparkSession, d: str) -> DataFrame:
     return x.select("b", "c", F.round(evaluate.mcnemar(F.least("b", F.lit(40)), F.least("c", F.lit(40))), 9).alias("p_40"))
 
 
+@query
+def mcnemar_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The test on the whole discordant counts; mcnemar above answers SQL that caps both at 40."""
+    g = _gold(spark, d)
+    x = evaluate.discordant(evaluate.facts(g, _found(spark, d, ("t", "r", "z"))), evaluate.facts(g, _found(spark, d, ("f", "chi2", "q"))))
+    return x.select("b", "c", evaluate.mcnemar(F.col("b"), F.col("c")).alias("p"))
+
+
 @query
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.bootstrap_f1(evaluate.facts(_gold(spark, d), _found(spark, d)), n=200)

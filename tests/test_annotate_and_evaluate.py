@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomtally.operators import annotate, evaluate, sample
+from loomtally.plans import catalog
 
 
 def _ratings(spark, rows):
@@ -190,3 +194,20 @@ def test_gate_and_parity(spark):
     assert got["a"]["rate"] == 0.9 and got["b"]["rate"] == 1 and got["a"]["spread"] == pytest.approx(0.1) and not got["a"]["passes"]
     f = spark.createDataFrame([(True, True, False), (True, False, True), (False, True, None)], "in_gold boolean, in_found boolean, damaged boolean")
     assert evaluate.parity(f).first()[:] == (1, 1, 1, 0.5, 1)
+
+
+def test_mcnemar_on_whole_counts(spark):
+    """Thousands of discordant pairs, against sums of whole numbers."""
+    pairs = [(41, 90), (120, 80), (2000, 2150), (5000, 5000), (0, 3000), (1, 0)]
+    rows = spark.createDataFrame(pairs, "b long, c long").select("b", "c", evaluate.mcnemar(F.col("b"), F.col("c")).alias("p")).collect()
+    assert len(rows) == len(pairs)
+    for r in rows:
+        n, k = r["b"] + r["c"], min(r["b"], r["c"])
+        whole = sum(math.comb(n, i) for i in range(k + 1)) * 2
+        assert r["p"] == pytest.approx(min(1.0, float(Fraction(whole, 2**n))), rel=1e-9, abs=1e-300)
+
+
+def test_registered_mcnemar_has_no_cap(spark, small):
+    r = catalog.QUERIES["mcnemar_exact"](spark, small).first()
+    n, k = r["b"] + r["c"], min(r["b"], r["c"])
+    assert r["p"] == pytest.approx(min(1.0, float(Fraction(2 * sum(math.comb(n, i) for i in range(k + 1)), 2**n))), rel=1e-9, abs=1e-300)
