@@ -132,13 +132,13 @@ def _key(field: str, value):
 
 
 def _vote(field: str, members: list[dict]) -> tuple[object, int, bool]:
-    """(value, votes, whether three raters wrote three different values)."""
+    """(value, votes, whether of three raters or more no value has the most votes alone)."""
     keys = [_key(field, m.get(field)) for m in members]
     best = max(keys, key=keys.count)  # the first of the most frequent
     votes = keys.count(best)
-    if votes > 1:
-        return members[keys.index(best)].get(field), votes, False
-    return (None, 1, True) if len(members) == 3 else (members[0].get(field), 1, False)
+    if len(members) > 2 and any(k != best and keys.count(k) == votes for k in keys):
+        return None, votes, True
+    return members[keys.index(best)].get(field), votes, False
 
 
 def _span(members: list[dict]):
@@ -147,8 +147,12 @@ def _span(members: list[dict]):
 
 
 def consensus_window(raters: dict[str, list[dict]]) -> tuple[list[dict], list[dict]]:
-    """(kept, disputes) of one window: what two of three raters found stays, the rest is disputed."""
+    """(kept, disputes) of one window: what two raters or more found stays, the rest is disputed.
+
+    Unanimous is what all raters with results in the window, three at least, wrote alike.
+    """
     kept, disputes = [], []
+    panel = max(3, sum(map(bool, raters.values())))
     for group in clusters(raters):
         members, names = [raters[n][i] for n, i in group], [n for n, _ in group]
         if len(members) == 1:
@@ -162,7 +166,7 @@ def consensus_window(raters: dict[str, list[dict]]) -> tuple[list[dict], list[di
             owner = next((m for m in members if (list(m["span"]) if m.get("span") is not None else None) == record["span"]), members[0])
             record["quote"] = owner.get("quote")
         record["votes"] = {f: n for f, (_, n, _) in votes.items()}
-        full = pending is None and len(names) == 3 and all(n == 3 for n in record["votes"].values())
+        full = pending is None and len(names) == panel and all(n == panel for n in record["votes"].values())
         record |= {"raters": names, "tier": "unanimous" if full else "majority", "pending_field": pending}
         kept.append(record)
         if pending is not None:

@@ -362,15 +362,21 @@ def kripp_alpha(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _by_rater(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of disputes as results of three raters, by their place."""
-    c = table(spark, d, "disputes").groupBy("dispute_id").agg(F.min_by("candidates", "decision_id").alias("cs")).select(F.col("dispute_id").alias("window_id"), F.posexplode(F.slice("cs", 1, 3)).alias("k", "c"))
+    """Candidates of disputes as results of raters, by their place."""
+    c = table(spark, d, "disputes").groupBy("dispute_id").agg(F.min_by("candidates", "decision_id").alias("cs")).select(F.col("dispute_id").alias("window_id"), F.posexplode("cs").alias("k", "c"))
     fields = [F.col(f"c.{f}").alias(f) for f in R.RESULT_FIELDS]
     return c.select("window_id", F.concat(F.lit("r"), F.col("k").cast("string")).alias("rater"), F.lit(0).alias("seq"), F.struct(*fields, F.array(F.lit(0), F.lit(9)).alias("span")).alias("result"))
 
 
+def _places(spark: SparkSession, d: str) -> list[str]:
+    """A rater for every place that a dispute of the table has."""
+    most = table(spark, d, "disputes").agg(F.max(F.size("candidates"))).first()[0]
+    return [f"r{k}" for k in range(max(2, most or 0))]
+
+
 @query
 def consensus_windows(spark: SparkSession, d: str) -> DataFrame:
-    c = annotate.consensus(_by_rater(spark, d), ["r0", "r1", "r2"])
+    c = annotate.consensus(_by_rater(spark, d), _places(spark, d))
     return c.select(
         "window_id", F.size("kept").alias("kept"), F.size("disputes").alias("disputes"), F.array_join(F.transform("kept", lambda k: k["tier"]), ",").alias("tiers"), F.array_join(F.transform("disputes", lambda x: F.concat_ws(":", x["kind"], x["field"])), ",").alias("open")
     )
@@ -378,7 +384,7 @@ def consensus_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rater_f1(spark: SparkSession, d: str) -> DataFrame:
-    f = annotate.result_f1(_by_rater(spark, d), ["r0", "r1", "r2"])
+    f = annotate.result_f1(_by_rater(spark, d), _places(spark, d))
     return f.select("rater_a", "rater_b", "tp", "fp", "fn", F.round("f1", 6).alias("f1"))
 
 
@@ -583,7 +589,7 @@ def report_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def field_agreement(spark: SparkSession, d: str) -> DataFrame:
-    a = annotate.field_agreement(_by_rater(spark, d), ["r0", "r1", "r2"])
+    a = annotate.field_agreement(_by_rater(spark, d), _places(spark, d))
     return a.select("field", "groups", F.round("agreement", 6).alias("agreement"))
 
 
@@ -592,7 +598,7 @@ def settled_records(spark: SparkSession, d: str) -> DataFrame:
     """Records after decisions, per tier: consensus by place of candidates, the latest decisions on top."""
     x = table(spark, d, "disputes").where("decision IS NOT NULL")
     latest = x.groupBy("dispute_id").agg(F.max_by("decision", F.struct("ingested_at", "decision_id")).alias("decision"))
-    c = annotate.consensus(_by_rater(spark, d), ["r0", "r1", "r2"])
+    c = annotate.consensus(_by_rater(spark, d), _places(spark, d))
     named = latest.withColumn("dispute_id", F.concat(F.lit("x-"), "dispute_id", F.lit("-0")))
     return annotate.settled(c, named, "x").groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("window_id").alias("windows"))
 

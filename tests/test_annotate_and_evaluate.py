@@ -211,3 +211,20 @@ def test_registered_mcnemar_has_no_cap(spark, small):
     r = catalog.QUERIES["mcnemar_exact"](spark, small).first()
     n, k = r["b"] + r["c"], min(r["b"], r["c"])
     assert r["p"] == pytest.approx(min(1.0, float(Fraction(2 * sum(math.comb(n, i) for i in range(k + 1)), 2**n))), rel=1e-9, abs=1e-300)
+
+
+def test_consensus_of_more_than_three():
+    r, x, y = _result(), _result(df1="21"), _result(df1="22")
+    tier = lambda *rs: annotate.consensus_window({f"r{k}": [v] if v else [] for k, v in enumerate(rs)})[0][0]
+    assert tier(r, r, r, r, r)["tier"] == "unanimous" and tier(r, r, r, None, None)["tier"] == "unanimous"
+    assert tier(r, r, r, r, x)["tier"] == "majority" and tier(x, r, x, r, r)["df1"] == "20"
+    assert tier(r, r, x, x)["pending_field"] == "df1" and tier(r, r, x, x, y)["pending_field"] == "df1" and tier(r, r, x, y)["df1"] == "20"
+    assert tier(r, x)["pending_field"] is None and tier(r, x)["df1"] == "20"
+
+
+def test_every_candidate_is_a_rater(spark, small):
+    c = spark.read.parquet(f"{small}/disputes.parquet").groupBy("dispute_id").agg(F.min_by("candidates", "decision_id").alias("cs")).select(F.size("cs").alias("n"))
+    total, most = c.where("n > 0").agg(F.sum("n"), F.max("n")).first()
+    assert most > 3 and catalog._by_rater(spark, small).count() == total
+    pairs = {(r["rater_a"], r["rater_b"]) for r in catalog.QUERIES["rater_f1"](spark, small).collect()}
+    assert ("r0", f"r{most - 1}") in pairs
