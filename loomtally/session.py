@@ -8,6 +8,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,13 +60,19 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a local master gets a temporary folder; on a cluster that is an error, as every
+    executor would write its own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = own.get() if own.isDefined() else spark.conf.get("spark.loomtally.shared", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="loomtally-")
     spark.conf.set("spark.loomtally.shared", made)
     return made
@@ -74,7 +82,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from there.
 
     The plan is computed once and its lineage ends here, so a lost executor never loses the cut. The
-    table goes when the session ends.
+    table goes with ``release``, at the end of ``scope``, or when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
@@ -83,20 +91,49 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.applicationId not in _CUTS:
         atexit.register(_drop_cuts, spark.sparkContext.applicationId, spark)
     _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._loomtally_cut = path
+    return out
 
 
 _CUTS: dict[str, list[str]] = {}
 
 
+def release(*tables: DataFrame | None) -> None:
+    """Delete cut tables that no later plan reads: those a loop has replaced by newer ones."""
+    for t in tables:
+        path = getattr(t, "_loomtally_cut", None)
+        if path is not None:
+            spark = t.sparkSession
+            _CUTS.get(spark.sparkContext.applicationId, []).remove(path)
+            _delete(spark, path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Cut tables made inside go at the end: for long sessions, around a query and its action."""
+    app = spark.sparkContext.applicationId
+    before = set(_CUTS.get(app, []))
+    try:
+        yield
+    finally:
+        for path in [p for p in _CUTS.get(app, []) if p not in before]:
+            _CUTS[app].remove(path)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if path.startswith(("/", "file:")):
+        shutil.rmtree(re.sub("^file:/+", "/", path), ignore_errors=True)
+        return
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _drop_cuts(app: str, spark: SparkSession) -> None:
     for path in _CUTS.pop(app, []):
-        if path.startswith(("/", "file:")):
-            shutil.rmtree(re.sub("^file:/+", "/", path), ignore_errors=True)
-            continue
         try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session is gone already; whoever owns the folder clears it
             return
 
@@ -126,6 +163,22 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, hot: list, salts: int =
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def join_both_hot(a: DataFrame, b: DataFrame, key: str, hot: list, salts: int = 8) -> DataFrame:
+    """Inner join on ``key`` where hot keys hold many rows on both sides.
+
+    A hot key's rows are dealt into ``salts`` parts on each side and every part of one side meets every
+    part of the other once, so a key's pairs come from salts x salts tasks and every pair comes once.
+    """
+    if not hot:
+        return a.join(b, key)
+    is_hot: Column = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    own = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    every = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    left = a.withColumn("_i", F.when(is_hot, own).otherwise(0)).withColumn("_j", every)
+    right = b.withColumn("_j", F.when(is_hot, own).otherwise(0)).withColumn("_i", every)
+    return left.join(right, [key, "_i", "_j"]).drop("_i", "_j")
+
+
 def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
     """Keys holding more than ``share`` of the rows: at most 1/share of them, so the list is bounded."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
