@@ -149,6 +149,11 @@ def small_side(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def _part(df: DataFrame, salts: int) -> Column:
+    """A row's part by its values, so that a task run again deals its rows out alike."""
+    return F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
+
+
 def join_hot(big: DataFrame, small: DataFrame, key: str, hot: list, salts: int = 32, how: str = "inner") -> DataFrame:
     """Join on ``key`` where the keys in ``hot`` hold a large part of ``big``.
 
@@ -158,7 +163,7 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, hot: list, salts: int =
     if not hot:
         return big.join(small, key, how)
     is_hot: Column = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    left = big.withColumn("_salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+    left = big.withColumn("_salt", F.when(is_hot, _part(big, salts)).otherwise(F.lit(0)))
     right = small.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
@@ -172,10 +177,9 @@ def join_both_hot(a: DataFrame, b: DataFrame, key: str, hot: list, salts: int =
     if not hot:
         return a.join(b, key)
     is_hot: Column = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    own = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     every = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    left = a.withColumn("_i", F.when(is_hot, own).otherwise(0)).withColumn("_j", every)
-    right = b.withColumn("_j", F.when(is_hot, own).otherwise(0)).withColumn("_i", every)
+    left = a.withColumn("_i", F.when(is_hot, _part(a, salts)).otherwise(F.lit(0))).withColumn("_j", every)
+    right = b.withColumn("_j", F.when(is_hot, _part(b, salts)).otherwise(F.lit(0))).withColumn("_i", every)
     return left.join(right, [key, "_i", "_j"]).drop("_i", "_j")
 
 
