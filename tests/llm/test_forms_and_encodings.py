@@ -41,8 +41,46 @@ def test_a_form_is_final(text):
         assert forms.uniform(once) == once
 
 
-def test_mapping_has_no_conflicts():
-    assert all(k != v and not any(c in forms.SINGLE for c in v) for k, v in forms.MAPPING.items())
+SCRIPTS = [
+    ("Հello Ꮋello ꓮBC", "Hello Hello ABC"), ("ɡood ıdea ᴛest", "good idea test"), ("ѵіѕіt", "visit"), ("ёlan vital", "ëlan vital"), ("cаfе́ аnd nаi\u0308ve", "café and naïve"),
+    ("Yıldız ığdır", "Yıldız iğdir"), ("Уes", "Yes"), ("ⲞꓳＯ o", "OOO o"),
+]
+
+
+@pytest.mark.parametrize("text,want", SCRIPTS)
+def test_letters_of_many_scripts(text, want):
+    assert forms.uniform(text) == want and forms.uniform(want) == want
+
+
+@pytest.mark.parametrize("text", ["Հայաստան", "ᎣᏏᏲ ᏣᎳᎩ", "ꓡꓲ‐ꓢꓴ", "москва", "Ελλάδα"])
+def test_other_scripts_by_themselves_stay(text):
+    assert forms.uniform(text) == text
+
+
+def test_compiling_refuses_conflicts():
+    for table in ({"ａ": "b"}, {"а": "ѕ", "ѕ": "а"}):
+        with pytest.raises(ValueError):
+            forms.Transducer(table)
+    with pytest.raises(ValueError):
+        forms.Transducer.compile({"e\u0301": "x"})
+    for t in (forms.PLAIN, forms.LATIN, forms.LATIN_LOWER, forms.CYRILLIC_ALONE, forms.GREEK_LETTER):
+        assert all(k != v and not any(c in t.symbols for c in v) for k, v in t.symbols.items())
+    assert all(len(k) > 1 for k in forms.SEQUENCES)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("aeiouşñęAEOzșǘék"), st.text(st.sampled_from([chr(o) for o in range(0x300, 0x340)]), max_size=4)), max_size=4))
+def test_clusters_compose_as_unicode_says(clusters):
+    text = "".join(b + m for b, m in clusters)
+    assert forms.PLAIN(text) == unicodedata.normalize("NFC", text)
+
+
+def test_memory_does_not_grow_with_texts():
+    """Words are kept between texts, and only short ones: no text is."""
+    forms._kept.cache_clear()
+    for i in range(2000):
+        forms.uniform(f"Ｎο {i} " + "w" * 500 + "é" + "ａ" * 200)
+    assert forms._kept.cache_info().currsize <= 4 and not hasattr(forms.uniform, "cache_info")
 
 
 def test_guard_loses_nothing(spark):
