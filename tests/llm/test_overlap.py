@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomtally.llm import overlap, queries
@@ -68,17 +69,63 @@ def test_joins_do_not_depend_on_broadcast(spark, small, monkeypatch):
     assert {tuple(r) for r in queries.p1_found(spark, small).collect()} == want
 
 
-def test_two_changed_words_always_meet():
-    """The pigeonhole of the segments: a pair with two changed words shares a key."""
-    rng = random.Random(4)
-    words = [f"w{i}" for i in range(400)]
-    for _ in range(300):
-        a = rng.sample(words, 40)
-        b = list(a)
-        for i in rng.sample(range(40), 2):
-            b[i] = "x" + b[i]
-        _, keys = overlap.codes([a, b])
-        assert (keys[0] == keys[1]).any()
+def _blocks(texts):
+    """Every text's join keys, as the join makes them."""
+    _, level, blocks, ends = overlap.codes(texts)
+    per = overlap.SEGMENTS * len(overlap.PERMUTATIONS)
+    return [{(int(level[i]) * per + j, int(b)) for j, b in enumerate(blocks[ends[i] : ends[i + 1]])} for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("n", [12, 15, 20, 30, 40, 50, 58, 62, 70, 80, 100, 115, 125, 200, 500])
+def test_recall_by_length_and_changes(n):
+    """At least nine in ten random texts that share 80 % of their words meet, nearly all with fewer changes."""
+    rng = random.Random(n)
+    vocabulary = [f"word{i:x}" for i in range(20_000)]
+    for share, least in ((0.2, 0.9), (0.12, 0.97), (0.06, 0.99)):
+        k, texts = max(1, int(n * share)), []
+        for _ in range(250):
+            a = rng.sample(vocabulary, n)
+            b = list(a)
+            for i in rng.sample(range(n), k):
+                b[i] = "x" + b[i]
+            texts += [a, b]
+        keys, code = _blocks(texts), overlap.codes(texts)[0]
+        near = lambda i: sum(((int(x) ^ int(y)) & 2**64 - 1).bit_count() for x, y in zip(code[i], code[i + 1])) <= overlap.RADIUS
+        met = sum(bool(keys[i] & keys[i + 1]) and near(i) for i in range(0, len(keys), 2)) / 250
+        assert met >= least, (n, k, met)
+
+
+def test_words_more_at_the_ends_meet_across_levels():
+    rng = random.Random(8)
+    vocabulary = [f"word{i:x}" for i in range(20_000)]
+    for n in (46, 59, 61, 119, 240):
+        texts = []
+        for _ in range(200):
+            a = rng.sample(vocabulary, n)
+            texts += [a, rng.sample(vocabulary, n // 8) + a + rng.sample(vocabulary, n // 8)]
+        keys = _blocks(texts)
+        assert sum(bool(keys[i] & keys[i + 1]) for i in range(0, len(keys), 2)) >= 196, n
+
+
+def test_hot_blocks_and_classes_are_dealt_out(spark, monkeypatch):
+    rows = [(i, BASE + (f" end{i % 7}" if i % 3 else ""), "train" if i % 2 else "dev", None) for i in range(240)]
+    want = _pairs(_frame(spark, rows))
+    assert len(want) == 120 * 120
+    monkeypatch.setattr(overlap, "_hot", lambda df: [r["k"] for r in df.groupBy("k").count().where("count > 3").collect()])
+    monkeypatch.setattr(overlap, "hot_keys", lambda df, key: [r[key] for r in df.select(key).distinct().collect()])
+    assert _pairs(_frame(spark, rows)) == want and overlap.found(_frame(spark, rows)).count() == len(want)
+
+
+def test_the_sketch_finds_hot_keys(spark):
+    df = spark.range(60_000).select(F.when(F.col("id") % 5 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    assert overlap._hot(df) == [7] and overlap._hot(df.limit(0)) == []
+
+
+def test_report(spark):
+    rows = [(1, BASE, "train", "A"), (2, BASE, "dev", " a "), (3, BASE + " indeed", "dev", "A"), (4, "quite another text", "dev", "a"), (5, BASE, "holdout", None), (6, None, "holdout", None)]
+    got = {(r["set"], r["source"]): (r["all"], r["records"], r["exact"], r["pairs"], round(r["closest"], 3)) for r in overlap.report(_frame(spark, rows)).collect()}
+    n = len(overlap.words(BASE))
+    assert got == {("dev", "a"): (3, 2, 1, 2, round((1 + n / (n + 1)) / 2, 3)), ("holdout", None): (2, 1, 1, 1, 1.0)}
 
 
 def test_lcs_against_a_table():
