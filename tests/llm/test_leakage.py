@@ -143,3 +143,70 @@ def test_first_piece_repeated_elsewhere():
             assert leakage.search(index, [" ".join(doc)]) == [(0, 0, 30)], (copies, after)
     # the first piece as a whole after the second one does not count
     assert leakage.search(index, [" ".join(b + _text(60, random.Random(3)).split() + a)]) == []
+
+
+def test_recall_by_share_and_edits():
+    """Nearly nothing is lost up to a tenth of edited words, in one piece or two; where barely half is
+    held, an edited word near a piece's end can take the piece below it."""
+    rng = random.Random(31)
+    vocabulary = [f"{a}{b}{c}" for a in ("flan", "tri", "mo", "gelvin", "a", "prun") for b in ("er", "ing", "ly", "o", "age") for c in ("s", "", "ton", "i")]
+    for n in (45, 60, 100):
+        for share in (0.52, 0.6, 0.7, 1.0):
+            for edits, least in ((0.0, 1.0), (0.06, 0.95), (0.1, 0.9)):
+                for cut in (False, True):
+                    met = 0
+                    for _ in range(40):
+                        item = [rng.choice(vocabulary) for _ in range(n)]
+                        index = leakage.Index([(1, " ".join(item))])
+                        w = max(int(index.need[0]), int(share * n))
+                        at = rng.randint(0, n - w)
+                        part = item[at : at + w]
+                        for i in rng.sample(range(1, w - 1), int(edits * index.need[0])):
+                            part[i] = f"edit{i}"
+                        k = rng.randint(w // 3, w - w // 3)
+                        fill = lambda m: [rng.choice(vocabulary) for _ in range(m)]
+                        doc = fill(80) + (part[:k] + fill(rng.randint(4, 40)) + part[k:] if cut else part) + fill(80)
+                        met += bool(leakage.search(index, [" ".join(doc)]))
+                    if share > 0.55 or not edits:
+                        assert met / 40 >= least - (0.05 if cut and edits == 0.1 and share < 0.7 else 0), (n, share, edits, cut, met)
+
+
+def test_the_bound_is_one():
+    """Brute force: no choice of edits and of a cut leaves fewer q-grams than the bound."""
+    rng = random.Random(6)
+    for _ in range(300):
+        words = ["x" * 0 + "".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(9, 40))]
+        need = leakage.passage(len(words))
+        at = rng.randint(0, len(words) - need)
+        cut = rng.randint(1, need - 1)
+        bad = set(rng.sample(range(at, at + need), int(leakage.EDITS * need + 1e-9)))
+        left = 0
+        for lo, hi in ((at, at + cut), (at + cut, at + need)):
+            for i in range(lo, hi):
+                j, size = i, 0
+                while j < hi and size < leakage.Q:
+                    size += len(words[j])
+                    j += 1
+                left += size >= leakage.Q and not bad & set(range(i, j))
+        assert left >= leakage.bound(words, need) or leakage.bound(words, need) == 1
+
+
+def test_short_and_unspaced_items():
+    rng = random.Random(12)
+    five = "gelving proster mandual okrit benders"
+    chinese = "我们在训练文本中寻找测试材料的段落并报告泄漏"
+    index = leakage.Index([(1, five), (2, chinese), (3, "two words"), (4, "abc"), (5, "")])
+    docs = [_text(50, rng) + " " + x + " " + _text(50, rng) for x in (five, "前言。" + chinese + "。后记", "two words", "gelving proster mandual", chinese[:6])]
+    assert sorted(leakage.search(index, docs))[:3] == [(0, 0, 5), (1, 1, len(chinese)), (2, 2, 2)] and len(leakage.search(index, docs)) == 3
+
+
+def test_items_take_turns(monkeypatch):
+    """Hot q-grams, more of them than are spread out at once, give the same pairs."""
+    rng = random.Random(14)
+    texts = [_text(60, rng) for _ in range(30)]
+    index = leakage.Index(list(enumerate(texts)))
+    docs = [_text(40, rng) + " " + t + " " + _text(40, rng) for t in texts]
+    want = leakage.search(index, docs)
+    assert {(k, k) for k in range(30)} <= {(d, i) for d, i, _ in want}
+    monkeypatch.setattr(leakage, "SPREAD", 500)
+    assert sorted(leakage.search(index, docs)) == sorted(want)
