@@ -132,6 +132,41 @@ def test_partly_garbled_and_lost():
     assert encodings.diagnose("Ã© &amp; b")[1] == "é & b"
 
 
+PAGES_MIXED = [
+    ("Ïðèâåò, êàê äåëà", "Привет, как дела"), ("¤³¤ó¤Ë¤Á¤Ï", "こんにちは"), ("‚±‚ñ‚É‚¿‚Í", "こんにちは"), ("ÄãºÃÊÀ½ç", "你好世界"), ("оПХБЕР", "Привет"), ("ÊáëçìÝñá", "Καλημέρα"),
+    ("H\0e\0l\0l\0o\0", "Hello"), ("¾È³çÇÏ¼¼¿ä", "안녕하세요"),
+]
+
+
+@pytest.mark.parametrize("text,want", PAGES_MIXED)
+def test_one_page_read_as_another(text, want):
+    garbled, fixed, ops = encodings.diagnose(text)
+    assert garbled and fixed == want and len(ops) == 1 and encodings.diagnose(want)[0] is False
+
+
+def test_escapes_are_undone_but_no_wrong_decoding():
+    assert encodings.diagnose("caf%C3%A9 100% a%20b")[:2] == (False, "café 100% a%20b")
+    assert encodings.diagnose("caf\\u00e9 \\u0041")[:2] == (False, "café \\u0041")
+    assert encodings.diagnose("&eacute;t&eacute; A&B")[:2] == (False, "été A&B")
+
+
+def test_deep_and_long_texts_are_searched_to_the_end():
+    text = "Größe – élève"
+    for _ in range(4):
+        text = text.encode("utf-8").decode("latin-1")
+    assert encodings.diagnose(text)[1] == "Größe – élève"
+    long = "Ã©lÃ¨ve word " * 3000
+    assert encodings.diagnose(long)[1] == "élève word " * 3000
+    encodings._kept.cache_clear()
+    encodings.diagnose("é" * 500)
+    assert encodings._kept.cache_info().currsize == 0
+
+
+@pytest.mark.parametrize("text", ["«аvаnt» r(53)", "уеаr 4 – t(22)", "F(\xad\xad\xad4", "Raševic – niños – élève", "Москва и Тверь", "ΔΕΖ αβγδ", "東京大学", "Señorías año"])
+def test_no_new_damage(text):
+    assert encodings.diagnose(text)[:2] == (False, text)
+
+
 @pytest.mark.parametrize("text", [*REGULAR, *ORIGINALS, "SÃVIK ÂGE RÂLE BRANÇÃO", "r(30) ¼ .11", "p b .05", "A & B", "Ø “x” Ü–", None])
 def test_clean_texts_are_clean(text):
     assert encodings.diagnose(text)[0] is False
