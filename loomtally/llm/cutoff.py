@@ -6,6 +6,8 @@ storage limit shows as a pile of rows at the very largest length. Endings are th
 is cut if its last unit (sentence, table row, reference, note, mark) is not a whole one, and at a
 limit also where the ending alone would leave it open (an ellipsis, a whole number before the stop).
 
+A text of exactly the limit's length whose end tells nothing is cut by the limit alone.
+
 Null texts and texts of white space only are not cut. Texts of any length are measured whole; the
 ending is what follows the last blank line, or the last heading of a reference list. Ties between
 ways of counting go to the plainer one. Repeated rows count as rows.
@@ -53,30 +55,37 @@ def ways(text: str = "text") -> dict[str, Column]:
     }
 
 
+def lengths(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
+    """(source, one column for each way of counting) of every text that is not empty."""
+    return docs.where(f"{text} IS NOT NULL AND {text} <> ''").select(F.col(source).alias("source"), *(c.cast("long").alias(n) for n, c in ways(text).items()))
+
+
 def limits(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
     """(source, way, limit, slack, at_limit): each source's hidden limit, for sources that show one.
 
-    Rows are counted per source, way and length with a partial sum first; what is left holds distinct
-    lengths only, as many as texts may be long.
+    The lengths are counted once and written; the largest of each way per source come from one sum, the
+    rows at them and below from a second one. No more than a row per source is ever shuffled by a task.
     """
-    w = ways(text)
-    each = F.array(*(F.struct(F.lit(i).alias("rank"), w[n].alias("len")) for i, n in enumerate(WAYS)))
-    per = docs.where(f"{text} IS NOT NULL AND {text} <> ''").select(F.col(source).alias("source"), F.explode(each).alias("m"))
-    per = cut(per.groupBy("source", "m.rank", "m.len").agg(F.count(F.lit(1)).alias("n")))
-    top = per.groupBy("source", "rank").agg(F.max("len").alias("limit"))
-    near = per.join(top.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")) & (per["rank"] == top["rank"])).drop("_s").drop(top["rank"])
-    slack = F.element_at(F.array(*(F.lit(SLACK[n]) for n in WAYS)), F.col("rank") + 1)
-    edge = F.col("limit") - slack
-    # room below the pile, a tenth of the limit wide, says how many rows chance would put there
-    near = near.groupBy("source", "rank", "limit").agg(
-        F.sum(F.when(F.col("len") >= edge, F.col("n")).otherwise(0)).alias("at_limit"),
-        F.sum(F.when((F.col("len") < edge) & (F.col("len") >= 0.9 * F.col("limit")), F.col("n")).otherwise(0)).alias("below"),
-    )
-    usual = F.col("below") * (slack + 1) / F.greatest(F.lit(1.0), 0.1 * F.col("limit"))
-    kept = near.where((F.col("at_limit") >= LEAST_PILE) & (F.col("at_limit") >= STEEP * usual))
-    best = kept.groupBy("source").agg(F.max(F.struct("at_limit", (-F.col("rank")).alias("_r"), "limit", slack.alias("slack"))).alias("b"))
-    way = F.element_at(F.array(*map(F.lit, WAYS)), 1 - F.col("b._r"))
-    return best.select("source", way.alias("way"), F.col("b.limit").alias("limit"), F.col("b.slack").alias("slack"), F.col("b.at_limit").alias("at_limit"))
+    per = cut(lengths(docs, source, text))
+    top = cut(per.groupBy("source").agg(*(F.max(n).alias(f"{n}_top") for n in WAYS)))
+    near = per.join(small_side(top.withColumnRenamed("source", "_s"), top.count(), BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_s")))
+    at, below = {}, {}
+    for n in WAYS:
+        edge = F.col(f"{n}_top") - SLACK[n]
+        at[n] = F.count_if(F.col(n) >= edge)
+        # room below the pile, a tenth of the limit wide, says how many rows chance would put there
+        below[n] = F.count_if((F.col(n) < edge) & (F.col(n) >= 0.9 * F.col(f"{n}_top")))
+    sums = near.groupBy("source").agg(*(F.max(f"{n}_top").alias(f"{n}_top") for n in WAYS), *(c.alias(f"{n}_at") for n, c in at.items()), *(c.alias(f"{n}_below") for n, c in below.items()))
+    each = F.array(*(
+        F.struct(
+            F.col(f"{n}_at").alias("at_limit"), F.lit(-i).alias("_r"), F.col(f"{n}_top").alias("limit"), F.lit(SLACK[n]).alias("slack"), F.lit(n).alias("way"),
+            (F.col(f"{n}_below") * (SLACK[n] + 1) / F.greatest(F.lit(1.0), 0.1 * F.col(f"{n}_top"))).alias("usual"),
+        )
+        for i, n in enumerate(WAYS)
+    ))
+    kept = F.filter(each, lambda w: (w["at_limit"] >= LEAST_PILE) & (w["at_limit"] >= STEEP * w["usual"]))
+    best = sums.select("source", F.array_max(kept).alias("b")).where("b IS NOT NULL")
+    return best.select("source", "b.way", "b.limit", "b.slack", "b.at_limit")
 
 
 CLOSERS = "\"'”’»)]›"
@@ -176,6 +185,14 @@ def _reference_cut(entries: list[str]) -> str | None:
     return None if REFERENCE_END.search(last) else "reference"
 
 
+def tail(text: Column) -> Column:
+    """The last two blocks of a text, which is what an ending is told by; blank lines part blocks."""
+    body = F.regexp_replace(text, r"\s+$", "")
+    blocks = F.split(body, r"\n[ \t\r]*\n", -1)
+    last = F.array_join(F.slice(blocks, F.greatest(F.lit(1), F.size(blocks) - 1), F.lit(2)), "\n\n")
+    return F.concat(last, F.substring(text, F.length(body) + 1, F.length(text)))
+
+
 @F.pandas_udf(T.StringType())
 def ending_udf(texts: pd.Series, at_limit: pd.Series) -> pd.Series:
     return pd.Series([ending(t, bool(a)) for t, a in zip(texts.where(texts.notna(), None), at_limit)], dtype=object)
@@ -193,7 +210,10 @@ def inspect(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     w = ways("_text")
     own = F.coalesce(*(F.when(F.col("way") == n, w[n]) for n in WAYS))  # only the source's own way is counted again
     at = F.coalesce(own >= F.col("limit") - F.col("slack"), F.lit(False))
-    return joined.select(F.col("_key").alias(key), F.col("_source").alias("source"), "way", "limit", at.alias("at_limit"), ending_udf("_text", at).alias("reason"))
+    full = F.coalesce(own == F.col("limit"), F.lit(False)) & F.col("_text").rlike(r"\S")
+    d = joined.select(F.col("_key").alias(key), F.col("_source").alias("source"), "way", "limit", at.alias("at_limit"), full.alias("_full"), tail(F.col("_text")).alias("_tail"))
+    d = d.withColumn("reason", ending_udf("_tail", "at_limit"))
+    return d.select(key, "source", "way", "limit", "at_limit", F.coalesce("reason", F.when(F.col("_full"), F.lit("limit"))).alias("reason"))
 
 
 def rates(inspected: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 """Mixing sources to target weights (problem 7).
 
 Every source has a weight schedule over training time t in [0, 1]: its share times a straight tilt,
-w(t) = share * (1 + tilt * (2 t - 1)), which integrates to the share. Cumulative demand in tokens is
-M * share * (t + tilt * (t^2 - t)). A document's place in the running total of its source, passes one
-after another, is inverted through that curve to a training position, and the mix is range-sorted by
-position. A source whose documents, each used ``max_repeats`` times, hold less than its share gives
-all it has; the rest goes to the other sources in proportion until all demand is met or none can give.
+w(t) = share * (1 + tilt * (2 t - 1)), which integrates to the share. Tilts are taken relative to their
+mean over the shares (and all made smaller alike where one would then leave [-1, 1]), so that the weights
+of all sources sum to one at every t and training time is the share of the tokens seen. Cumulative
+demand in tokens is M * share * (t + tilt * (t^2 - t)). A document's place in the running total of its
+source, passes one after another, is inverted through that curve to a training position, and the mix is
+range-sorted by position. A source whose documents, each used ``max_repeats`` times, hold less than its
+share gives all it has; the rest goes to the other sources in proportion until all demand is met or none
+can give.
 
 Sizes are tokens of a public tokenizer (its vocabulary file is a parameter). Null and empty texts
 have size 0 and never enter the mix; null sources and sources without a target only count towards the
@@ -70,8 +73,13 @@ def shortfalls(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def plan(shorts: DataFrame, total: int | None = None) -> list[dict]:
-    """Per source what it gives: demand is met by water-filling, no source beyond its capacity."""
-    rows = [r.asDict() for r in shorts.limit(MOST_SOURCES).collect()]
+    """Per source what it gives: demand is met by water-filling, no source beyond its capacity.
+
+    Targets are a dimension table; more than ``MOST_SOURCES`` of them are an error.
+    """
+    rows = [r.asDict() for r in shorts.limit(MOST_SOURCES + 1).collect()]
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"targets name more than {MOST_SOURCES} sources")
     for r in rows:
         r["capacity"] = float(r["tokens"]) * max(0, r["max_repeats"] or 0)
         r["want"] = max(0.0, r["target_share"] or 0.0)
@@ -88,17 +96,34 @@ def plan(shorts: DataFrame, total: int | None = None) -> list[dict]:
     return rows
 
 
+def schedule(rows: list[dict], tilts: dict[str, float] | None) -> list[tuple[str, float, float, float]]:
+    """(source, tokens it gives, tokens it has, tilt) of the sources that give, their tilts balanced."""
+    rows = [r for r in rows if r["give"] > 0]
+    own = {r["source"]: float((tilts or {}).get(r["source"], 0.0)) for r in rows}
+    if any(abs(t) > 1 for t in own.values()):
+        raise ValueError("a tilt lies between -1 and 1")
+    total = sum(r["give"] for r in rows)
+    mean = sum(own[r["source"]] * r["give"] for r in rows) / total if total else 0.0
+    most = max((abs(t - mean) for t in own.values()), default=0.0)
+    return [(r["source"], r["give"], float(r["tokens"]), (own[r["source"]] - mean) / max(1.0, most)) for r in rows]
+
+
 def mix(docs: DataFrame, targets: DataFrame, tilts: dict[str, float] | None = None, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
     """(position, source, doc_id, pass, tokens), range-sorted by position.
 
-    ``tilts`` in [-1, 1] move a source towards the start or the end of training. The running total of
-    a source is summed in two steps (hash buckets, then within a bucket), so no source is one task.
+    ``tilts`` in [-1, 1] move a source towards the start or the end of training.
     """
+    return positioned(docs, targets, tilts, vocabulary).drop("share", "tilt").orderBy("position", "source", "doc_id", "pass")
+
+
+def positioned(docs: DataFrame, targets: DataFrame, tilts: dict[str, float] | None = None, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    """The mix before it is sorted, with each source's share and tilt. The running total of a source is
+    summed in two steps (hash buckets, then within a bucket), so no source is one task."""
     sized = cut(sizes(docs, vocabulary).where("tokens > 0 AND source IS NOT NULL"))
     everything = sized.agg(F.sum("tokens")).first()[0] or 0
     shorts = shortfalls(sized, targets)
     spark = docs.sparkSession
-    rows = [(r["source"], r["give"], float(r["tokens"]), float((tilts or {}).get(r["source"], 0.0))) for r in plan(shorts, everything) if r["give"] > 0]
+    rows = schedule(plan(shorts, everything), tilts)
     shares = spark.createDataFrame(rows, "source string, give double, has double, tilt double")
     shares = F.broadcast(shares) if len(rows) <= 100_000 else shares
     d = sized.join(shares, "source").withColumn("h", F.xxhash64("doc_id", "source"))
@@ -117,7 +142,23 @@ def mix(docs: DataFrame, targets: DataFrame, tilts: dict[str, float] | None = No
     a = F.col("tilt")
     root = (-(1 - a) + F.sqrt((1 - a) * (1 - a) + 4 * a * u)) / (2 * a)
     position = F.when(F.abs(a) < 1e-9, u).otherwise(root)
-    return d.select(position.alias("position"), "source", "doc_id", "pass", "tokens").orderBy("position", "source", "doc_id", "pass")
+    share = F.col("give") / F.lit(float(sum(r[1] for r in rows)) or 1.0)
+    return d.select(position.alias("position"), "source", "doc_id", "pass", "tokens", share.alias("share"), "tilt")
+
+
+def curriculum(positions: DataFrame, parts: int = 10) -> DataFrame:
+    """(part, source, scheduled, actual, tokens): each source's share of every part of training, by its
+    schedule and as mixed; a source without a document in a part has a row with 0."""
+    part = F.least(F.lit(parts - 1), F.floor(F.col("position") * parts).cast("int"))
+    per = positions.groupBy("source", part.alias("part")).agg(F.sum("tokens").alias("tokens"))
+    # one row per source and part from here on
+    own = positions.groupBy("source").agg(F.any_value("share").alias("share"), F.any_value("tilt").alias("tilt"))
+    every = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    j = every.join(per, ["source", "part"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    total = F.sum("tokens").over(Window.partitionBy("part"))
+    # the schedule's mean over the part: its value in the middle, as it is straight
+    scheduled = F.col("share") * (1 + F.col("tilt") * ((2 * F.col("part") + 1) / F.lit(parts) - 1))
+    return j.select("part", "source", scheduled.alias("scheduled"), (F.col("tokens") / F.nullif(total, F.lit(0))).alias("actual"), "tokens")
 
 
 def report(mixed: DataFrame, targets: DataFrame) -> DataFrame:

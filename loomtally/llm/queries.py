@@ -82,6 +82,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.mix(spread(table(spark, sf_dir, "documents")), targets), targets)
 
 
+def p7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scheduled and actual shares by tenths of training: small sources early, large ones late."""
+    targets = table(spark, sf_dir, "mix_targets")
+    shares = {r["source"]: r["target_share"] for r in targets.where("source IS NOT NULL").groupBy("source").agg(F.sum("target_share").alias("target_share")).collect()}  # a dimension table
+    rank = {s: k for k, s in enumerate(sorted(shares, key=lambda s: (shares[s] or 0.0, s)))}
+    tilts = {s: 1.8 * k / max(1, len(rank) - 1) - 0.9 for s, k in rank.items()}
+    return mixing.curriculum(mixing.positioned(spread(table(spark, sf_dir, "documents")), targets, tilts))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.inspect(spread(table(spark, sf_dir, "documents"))).where("reason IS NOT NULL").select("doc_id")
 
@@ -90,7 +99,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.rates(cutoff.inspect(spread(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_uniform, p4_found, p4_raters, p4_agreement, p5_found, p5_restored, p6_found, p6_report, p7_found, p7_mix, p7_shares, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_found, p3_uniform, p4_found, p4_raters, p4_agreement, p5_found, p5_restored, p6_found, p6_report, p7_found, p7_mix, p7_shares, p7_curriculum, p8_found, p8_rates)}
 
 
 

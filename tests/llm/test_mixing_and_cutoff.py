@@ -38,6 +38,37 @@ def test_shares_and_caps(spark):
     assert first == sorted(first)
 
 
+def test_curriculum_follows_its_schedule(spark, small):
+    docs = _docs(spark)
+    targets = spark.createDataFrame([("big", 0.6, 3), ("mid", 0.3, 9), ("free", 0.1, 9)], TARGETS)
+    rows = mixing.curriculum(mixing.positioned(docs, targets, {"mid": 1.0, "big": -0.6})).collect()
+    assert len(rows) == 30
+    for k in range(10):
+        part = [r for r in rows if r["part"] == k]
+        assert sum(r["scheduled"] for r in part) == pytest.approx(1) and sum(r["actual"] for r in part) == pytest.approx(1)
+    assert max(abs(r["scheduled"] - r["actual"]) for r in rows) < 0.03
+    mid = {r["part"]: r["actual"] for r in rows if r["source"] == "mid"}
+    assert mid[9] > 2.5 * mid[0]
+    real = queries.p7_curriculum(spark, small).groupBy("part").agg(F.sum("scheduled").alias("s"), F.sum("actual").alias("a")).collect()
+    assert len(real) == 10 and all(r["s"] == pytest.approx(1) and r["a"] == pytest.approx(1) for r in real)
+    assert mixing.curriculum(mixing.positioned(docs.limit(0), targets)).count() == 0
+
+
+def test_schedules_are_balanced_and_checked():
+    rows = [{"source": s, "give": g, "tokens": g} for s, g in (("a", 900.0), ("b", 100.0))]
+    got = {r[0]: r[3] for r in mixing.schedule(rows, {"a": 1.0, "b": -1.0})}
+    assert got["a"] * 900 + got["b"] * 100 == pytest.approx(0) and max(map(abs, got.values())) <= 1
+    with pytest.raises(ValueError):
+        mixing.schedule(rows, {"a": 1.5})
+
+
+def test_too_many_sources_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    df = spark.createDataFrame([(f"s{i}", 0.3, 1, 5) for i in range(3)], "source string, target_share double, max_repeats int, tokens long")
+    with pytest.raises(ValueError):
+        mixing.plan(df, 10)
+
+
 def test_found_is_the_definition(spark, small):
     docs, targets = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/mix_targets.parquet")
     size = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("n_chars").alias("n")).collect()}
@@ -140,3 +171,22 @@ def test_inspection(spark, small):
     r = {x["source"]: x["rate"] for x in cutoff.rates(cutoff.inspect(docs)).collect()}
     assert r["a"] == 0 and r["b"] == 1 and r[None] == 1
     assert queries.p8_found(spark, small).count() > 0
+
+
+def test_the_tail_tells_what_the_text_tells(spark, small):
+    texts = [r[0] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()] + WHOLE + CUT + ["a\n \nb\n\n\nc\n\n", "x\r\n\r\ny", "  "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for r in df.select("text", cutoff.tail(F.col("text")).alias("tail")).collect():
+        for at in (False, True):
+            assert cutoff.ending(r["text"], at) == cutoff.ending(r["tail"], at), r["text"]
+
+
+def test_the_limit_is_a_reason(spark):
+    sentence = "So it is said in full here. "
+    rows = [(i, "s", (sentence * 40)[:500]) for i in range(6)] + [(10 + i, "s", sentence * (3 + i % 9)) for i in range(40)]
+    got = {r["doc_id"]: r["reason"] for r in cutoff.inspect(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i] is not None for i in range(6)) and all(got[10 + i] is None for i in range(40))
+    whole = "x" * 471 + " " + sentence.strip() + "!"
+    rows = [(i, "s", whole) for i in range(6)] + [(10 + i, "s", sentence * (3 + i % 9)) for i in range(40)]
+    got = {r["doc_id"]: r["reason"] for r in cutoff.inspect(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {got[i] for i in range(6)} == {"limit"}
