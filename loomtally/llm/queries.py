@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtally.llm import cutoff, encodings, forms, grouping, leakage, mixing, overlap, raters
-from loomtally.session import spread, table
+from loomtally.session import cut, spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = raters.counting_decisions(table(spark, sf_dir, "disputes"))
+    labels = cut(raters.counting_decisions(table(spark, sf_dir, "disputes")))
     return raters.reliability(labels, "dispute_id", "rater", "keep")
 
 

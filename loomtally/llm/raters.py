@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtally.session import beside, cut, small_side
+from loomtally.session import beside, cut, release, small_side
 
 #: Up to so many raters are broadcast to the labels (a few MB); more are joined by shuffle.
 BROADCAST_RATERS = 20_000
@@ -63,25 +63,27 @@ def plain_decimal(col: Column) -> Column:
     return text
 
 
-def reliability(labels: DataFrame, item: str, rater: str, label: str, steps: int = 15, tolerance: float = 1e-3, bound: float = 0.98) -> DataFrame:
-    """(rater, labels, reliability, weight) from binary ``label``; one row per rater.
+def reliability(labels: DataFrame, item: str, rater: str, label: str, steps: int = 40, tolerance: float = 1e-3, bound: float = 0.98) -> DataFrame:
+    """(rater, labels, reliability, weight, moved) from binary ``label``; one row per rater.
 
     ``reliability`` is 2 x accuracy - 1 as far as agreement tells, kept within ``bound``; raters who
-    share no item with another get 0.5.
+    share no item with another get 0.5. ``moved`` is the largest change of the last step: below the
+    tolerance the iteration has settled, else ``steps`` were too few.
     """
     base = labels.select(F.col(item).alias("item"), F.col(rater).alias("rater"), F.col(label).cast("double").alias("y"))
     share = base.agg(F.avg("y")).first()[0]
     if share is None:
-        return base.select("rater", F.lit(0).cast("long").alias("labels"), "y", F.col("y").alias("weight")).withColumnRenamed("y", "reliability")
+        return base.select("rater", F.lit(0).cast("long").alias("labels"), "y", F.col("y").alias("weight")).withColumnRenamed("y", "reliability").withColumn("moved", F.lit(0.0))
     centre = 2 * share - 1
     x = base.select("item", "rater", (F.when(F.col("y") > 0, 1.0).otherwise(-1.0) - F.lit(centre)).alias("x"))
     n = x.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # the join leaves every item's labels in one place, so each step's sums are whole before their shuffle
     x = cut(x.join(n, "item", "left").select("item", "rater", "x", F.coalesce(1 / (F.col("n") - 1), F.lit(0.0)).alias("w")))
     raters = cut(x.groupBy("rater").agg(F.count(F.lit(1)).alias("labels")))
     many = raters.count()
     spread = x.agg(F.avg(F.col("x") * F.col("x"))).first()[0] or 1.0  # variance of a centred label
     shared = x.where("w > 0")
-    q = raters.select("rater", F.lit(0.5).alias("q"))
+    q, old, moved = raters.select("rater", F.lit(0.5).alias("q")), None, None
     for _ in range(steps):
         voted = shared.join(small_side(q, many, BROADCAST_RATERS), "rater")
         sums = voted.groupBy("item").agg(F.sum(F.col("x") * F.col("q")).alias("s"), F.sum(F.col("q") * F.col("q")).alias("qq"))
@@ -93,10 +95,11 @@ def reliability(labels: DataFrame, item: str, rater: str, label: str, steps: int
         step = F.when(F.col("d") > 0, (F.col("q") + F.col("b") / F.lit(spread) / F.col("d")) / 2).otherwise(F.col("q"))
         new = cut(q.join(others, "rater", "left").select("rater", F.greatest(F.lit(-bound), F.least(F.lit(bound), step)).alias("q"), F.col("q").alias("was")))
         moved = new.agg(F.max(F.abs(F.col("q") - F.col("was")))).first()[0]
-        q = new.select("rater", "q")
+        release(old)
+        q, old = new.select("rater", "q"), new
         if moved is None or moved < tolerance:
             break
-    return raters.join(q, "rater").select("rater", "labels", F.col("q").alias("reliability"), F.log((1 + F.col("q")) / (1 - F.col("q"))).alias("weight"))
+    return raters.join(q, "rater").select("rater", "labels", F.col("q").alias("reliability"), F.log((1 + F.col("q")) / (1 - F.col("q"))).alias("weight"), F.lit(float(moved or 0.0)).alias("moved"))
 
 
 def weighted_votes(labels: DataFrame, scores: DataFrame, item: str, rater: str, label: str) -> DataFrame:
