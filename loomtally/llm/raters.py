@@ -77,7 +77,6 @@ def reliability(labels: DataFrame, item: str, rater: str, label: str, steps: int
     centre = 2 * share - 1
     x = base.select("item", "rater", (F.when(F.col("y") > 0, 1.0).otherwise(-1.0) - F.lit(centre)).alias("x"))
     n = x.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # the join leaves every item's labels in one place, so each step's sums are whole before their shuffle
     x = cut(x.join(n, "item", "left").select("item", "rater", "x", F.coalesce(1 / (F.col("n") - 1), F.lit(0.0)).alias("w")))
     raters = cut(x.groupBy("rater").agg(F.count(F.lit(1)).alias("labels")))
     many = raters.count()
