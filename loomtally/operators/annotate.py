@@ -65,6 +65,18 @@ def fleiss_kappa(ratings: DataFrame) -> DataFrame:
     return both.select("subjects", F.col("hi").alias("raters"), F.when(uneven.isNull(), kappa).alias("kappa"))
 
 
+def fleiss_by_panel(ratings: DataFrame) -> DataFrame:
+    """(raters, subjects, kappa): Fleiss' kappa over the items of each panel size, two raters at least."""
+    cells = ratings.groupBy("item", "label").agg(F.count(F.lit(1)).alias("k"))
+    per = cells.groupBy("item").agg(F.sum("k").alias("raters"), F.sum(F.col("k") * F.col("k")).alias("sq")).where("raters > 1")
+    m = F.col("raters")
+    top = per.groupBy("raters").agg(F.count(F.lit(1)).alias("subjects"), F.avg((F.col("sq") - m) / (m * (m - 1))).alias("p"))
+    share = cells.join(per.select("item", "raters"), "item").groupBy("raters", "label").agg(F.sum("k").alias("t"))
+    pe = share.groupBy("raters").agg((F.sum(F.col("t") * F.col("t")) / (F.sum("t") * F.sum("t"))).alias("pe"))
+    kappa = F.when(F.col("pe") == 1, F.lit(1.0)).otherwise((F.col("p") - F.col("pe")) / F.nullif(1 - F.col("pe"), F.lit(0.0)))
+    return top.join(pe, "raters").select("raters", "subjects", kappa.alias("kappa"))
+
+
 def krippendorff_alpha(ratings: DataFrame) -> DataFrame:
     """(values, alpha) for nominal labels; null labels are missing, units with one value do not count."""
     cells = ratings.where("label IS NOT NULL").groupBy("item", "label").agg(F.count(F.lit(1)).alias("k"))
@@ -78,6 +90,17 @@ def krippendorff_alpha(ratings: DataFrame) -> DataFrame:
     return both.select(F.col("n").alias("values"), F.when(F.col("n") > 1, F.when(de == 0, F.lit(1.0)).otherwise(1 - do / F.nullif(de, F.lit(0.0)))).alias("alpha"))
 
 
+def against_final(ratings: DataFrame, final: DataFrame) -> DataFrame:
+    """(rater, items, same, agreement, only_rater, only_final): each rater's yes or no against the final
+    one; the last two count what only the rater, only the final decision kept."""
+    j = ratings.join(final.select("item", F.col("label").alias("final")), "item")
+    t = j.groupBy("rater").agg(
+        F.count(F.lit(1)).alias("items"), F.count_if(F.col("label") == F.col("final")).alias("same"),
+        F.count_if(F.col("label") & ~F.col("final")).alias("only_rater"), F.count_if(~F.col("label") & F.col("final")).alias("only_final"),
+    )
+    return t.withColumn("agreement", F.col("same") / F.col("items"))
+
+
 # ---- matching inside one window -----------------------------------------------------------------
 
 def _score(a: dict, b: dict, strict: bool) -> float | None:

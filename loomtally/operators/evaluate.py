@@ -1,11 +1,13 @@
 """Evaluation: gold facts, scores by subset, resampling and exact tests.
 
 One fact table of (system, window_id, value, in_gold, in_found) and gold attributes feeds every score;
-resampling works on sums per document, so a replicate is a join and a sum whatever the texts weigh.
+resampling works on sums per group of documents, so a replicate is a sum whatever the texts weigh.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,10 +34,21 @@ def gold(rows: DataFrame, order: str = "record_id") -> tuple[DataFrame, DataFram
     return g.select("window_id", "value", "g.*"), lost
 
 
-def facts(gold_rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Full outer join of gold and found values: (window_id, value, in_gold, in_found, gold attributes)."""
+def window_documents(rows: DataFrame, order: str = "record_id") -> DataFrame:
+    """(window_id, source_doc): the document of every window, that of its first row."""
+    return rows.groupBy("window_id").agg(F.min_by("source_doc", F.col(order)).alias("source_doc"))
+
+
+def facts(gold_rows: DataFrame, found: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Full outer join of gold and found values: (window_id, value, in_gold, in_found, gold attributes).
+
+    With ``documents`` (window_id, source_doc) false alarms, too, have the document of their window.
+    """
     f = found.select("window_id", "value").distinct().withColumn("in_found", F.lit(True))
-    j = gold_rows.withColumn("in_gold", F.lit(True)).join(f, ["window_id", "value"], "full")
+    g = gold_rows.drop("source_doc") if documents is not None else gold_rows
+    j = g.withColumn("in_gold", F.lit(True)).join(f, ["window_id", "value"], "full")
+    if documents is not None:
+        j = j.join(documents.select("window_id", "source_doc"), "window_id", "left")
     return j.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_gold", "in_found")})
 
 
@@ -102,62 +115,47 @@ def discordant(fact_a: DataFrame, fact_b: DataFrame) -> DataFrame:
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """Exact two-sided binomial test on discordant pairs, summed in log space; 1 for none.
+    """Exact two-sided binomial test on discordant pairs; 1 for none.
 
-    The terms from the largest down are one running product, so the work is min(b, c) steps a row.
+    P(X <= k) of a fair binomial is the incomplete beta function at one half, so counts of any size cost
+    the same.
     """
-    n, k = (b + c).cast("double"), F.least(b, c).cast("double")
-    # log of the largest term, C(n, k) / 2^n
-    top = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(b, c))), F.lit(0.0), lambda a, i: a + F.when(i <= k, F.ln((n - k + i) / i)).otherwise(0.0)) - n * F.ln(F.lit(2.0))
-    # the terms below it as shares of it: each is the one before times i / (n - i + 1)
-    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
-    down = F.sequence(F.greatest(F.lit(1), F.least(b, c)), F.lit(1))
 
-    def step(a: Column, i: Column) -> Column:
-        t = F.when(i <= k, a["t"] * i / (n - i + 1)).otherwise(0.0)
-        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
+    @F.pandas_udf(T.DoubleType())
+    def run(b: pd.Series, c: pd.Series) -> pd.Series:
+        n, k = (b + c).to_numpy(dtype=np.float64), np.minimum(b, c).to_numpy(dtype=np.float64)
+        some = n > 0
+        half = np.full(int(some.sum()), 0.5)
+        out = np.ones(len(n))
+        out[some] = np.minimum(1.0, 2 * tails.beta_inc(n[some] - k[some], k[some] + 1, half, half))
+        return pd.Series(out)
 
-    share = F.aggregate(down, start, step, lambda a: a["s"])
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.exp(top + F.ln(share))))
+    return run(b.cast("double"), c.cast("double"))
 
 
 # ---- resampling ---------------------------------------------------------------------------------
 
-def replicates(df: DataFrame, unit: str, columns: list[str], n: int, seed: int = 0) -> DataFrame:
-    """(rep, columns): sums over units drawn with replacement, ``n`` times.
+#: Groups that units are dealt into by hash, of three hexadecimal digits.
+GROUPS = 4096
+#: Cumulative probabilities of a Poisson count of mean one, in 32 bits: a count is how many of them a draw reaches.
+POISSON = tuple(int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(12))
+
 
-    Unit ordinals follow the sorted unit names; every replicate draws from a generator of its own, so
-    replicates run in parallel and units x replicates never becomes a table. The sums are one row per
-    document and are broadcast only while their counted rows stay within ``MOST_UNITS``; beyond it
-    hash-derived Poisson weights take over, one replicate a group.
+def replicates(df: DataFrame, unit: str, columns: list[str], n: int = 2000, seed: int = 0) -> DataFrame:
+    """(rep, columns): weighted sums over units, ``n`` times.
+
+    Units are dealt into ``GROUPS`` groups by hash and each group draws a Poisson count of mean one per
+    replicate, by hash too: a bootstrap of whole units while they are few, of random groups of whole
+    units when they are many, at every size by the same rule and with the same draws in any engine.
+    What is spread over the replicates are the groups' sums, never the units. A null unit is a unit.
     """
-    sums = df.groupBy(unit).agg(*(F.sum(c).cast("double").alias(c) for c in columns))
-    many = sums.count()
-    schema = T.StructType([T.StructField("rep", T.IntegerType())] + [T.StructField(c, T.DoubleType()) for c in columns])
-    spark = df.sparkSession
-    if many <= MOST_UNITS:
-        matrix = spark.sparkContext.broadcast(sums.orderBy(unit).select(*columns).toPandas().to_numpy(dtype=np.float64))
-
-        def draw(batches):
-            for batch in batches:
-                m = matrix.value
-                rows = []
-                for rep in batch["rep"].tolist():
-                    rng = np.random.default_rng([seed, rep])
-                    idx = rng.integers(0, len(m), size=len(m)) if len(m) else np.zeros(0, dtype=int)
-                    rows.append([rep, *m[idx].sum(axis=0)])
-                yield pd.DataFrame(rows, columns=["rep", *columns])
-
-        return spark.range(n).select(F.col("id").cast("int").alias("rep")).mapInPandas(draw, schema)
-    rep = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))  # ints
-    u = (F.pmod(F.xxhash64(F.col(unit), F.col("rep"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    limits = np.cumsum([np.exp(-1.0) / m for m in np.cumprod([1, *range(1, 13)])])
-    weight = sum((F.when(u > float(x), 1).otherwise(0) for x in limits), F.lit(0))
-    return sums.withColumn("rep", rep).withColumn("w", weight).where("w > 0").groupBy("rep").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in columns))
-
-
-#: Units whose sums are broadcast to the drawing tasks (24 bytes a unit and column).
-MOST_UNITS = 1_000_000
+    name = F.coalesce(F.col(unit).cast("string"), F.lit(""))
+    sums = df.groupBy(F.substring(F.md5(name), 1, 3).alias("_g")).agg(*(F.sum(c).cast("double").alias(c) for c in columns))
+    d = sums.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), "_g")), 1, 8), 16, 10).cast("long")
+    d = d.withColumn("_u", draw)
+    weight = sum((F.when(F.col("_u") >= x, 1).otherwise(0) for x in POISSON), F.lit(0))
+    return d.withColumn("_w", weight).groupBy("rep").agg(*(F.sum(F.col(c) * F.col("_w")).alias(c) for c in columns))
 
 
 def percentile_interval(reps: DataFrame, metric: Column, level: float = 0.95) -> DataFrame:
@@ -167,14 +165,33 @@ def percentile_interval(reps: DataFrame, metric: Column, level: float = 0.95) ->
     return reps.agg(q.alias("q")).select(F.element_at("q", 1).alias("low"), F.element_at("q", 2).alias("high"))
 
 
+def document_counts(fact: DataFrame, suffix: str = "") -> DataFrame:
+    """(source_doc, tp, fp, fn) of facts that know their documents."""
+    hit = F.col("in_gold") & F.col("in_found")
+    return fact.groupBy("source_doc").agg(F.count_if(hit).alias(f"tp{suffix}"), F.count_if(~F.col("in_gold")).alias(f"fp{suffix}"), F.count_if(~F.col("in_found")).alias(f"fn{suffix}"))
+
+
 def bootstrap_f1(fact: DataFrame, n: int = 2000, seed: int = 0) -> DataFrame:
     """95 % intervals of precision, recall and F1, whole documents resampled."""
-    t = fact.select("source_doc", (F.col("in_gold") & F.col("in_found")).cast("int").alias("tp"), (~F.col("in_gold")).cast("int").alias("fp"), (~F.col("in_found")).cast("int").alias("fn"))
-    reps = replicates(t, "source_doc", ["tp", "fp", "fn"], n, seed).select("rep", *rates(F.col("tp"), F.col("fp"), F.col("fn")))
+    reps = replicates(document_counts(fact), "source_doc", ["tp", "fp", "fn"], n, seed).select("rep", *rates(F.col("tp"), F.col("fp"), F.col("fn")))
     q = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
     return reps.agg(*(q(c).alias(c) for c in ("p", "r", "f1")))
 
 
+def paired_f1(fact_a: DataFrame, fact_b: DataFrame, n: int = 2000, seed: int = 0) -> DataFrame:
+    """(metric, mean, low, high, p) of the differences in precision, recall and F1 of two systems, the
+    same documents drawn for both."""
+    both = document_counts(fact_a, "_a").join(document_counts(fact_b, "_b"), "source_doc", "full")
+    columns = [f"{c}_{s}" for s in "ab" for c in ("tp", "fp", "fn")]
+    reps = replicates(both.na.fill(0, columns), "source_doc", columns, n, seed)
+    out = None
+    for k, metric in enumerate(("p", "r", "f1")):
+        a, b = (rates(F.col(f"tp_{s}"), F.col(f"fp_{s}"), F.col(f"fn_{s}"))[k] for s in "ab")
+        part = paired_difference(reps, a, b).withColumn("metric", F.lit(metric))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def paired_difference(reps: DataFrame, a: Column, b: Column) -> DataFrame:
     """(mean, low, high, p) of a - b over the same replicates; p is two-sided."""
     d = reps.select((a - b).alias("d"))

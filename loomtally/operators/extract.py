@@ -78,22 +78,22 @@ def _java(pattern: str) -> str:
     return "(?iu)" + p
 
 
-def extract_native(df: DataFrame, family: str, text: str = "text") -> DataFrame:
-    """One row per match of one family, as (…, raw, df1, df2, statistic, p_operator, p_value), JVM-side."""
-    head = FAMILIES[family]
-    groups = [m for m in re.findall(r"\?P<(\w+)>", head)]
-    pattern = _java(head + _TAIL)
-    at = {g: i + 1 for i, g in enumerate(groups)}
-    base = len(groups)
-    out = df.withColumn("raw", F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))))
-
-    def part(i: int | None) -> Column:
-        return F.nullif(F.regexp_extract("raw", pattern, i), F.lit("")) if i else F.lit(None).cast("string")
-
-    return out.select(
-        *df.columns, "raw", F.lit(family).alias("test_type"), part(at.get("df1")).alias("df1"), part(at.get("df2")).alias("df2"),
-        part(at.get("n")).alias("n"), part(base + 2).alias("statistic"), part(base + 3).alias("p_operator"), part(base + 4).alias("p_value"),
-    )
+def extract_native(df: DataFrame, text: str = "text") -> DataFrame:
+    """One row per match of a family, as (…, raw, test_type, df1, df2, n, statistic, p_operator, p_value),
+    JVM-side and in one scan: the matches of all families are one array, exploded once."""
+    def matches(family: str, head: str) -> Column:
+        groups = re.findall(r"\?P<(\w+)>", head)
+        pattern = _java(head + _TAIL)
+        at = {g: i + 1 for i, g in enumerate([*groups, None, "statistic", "p_operator", "p_value"])}
+
+        def parts(raw: Column) -> Column:
+            get = lambda g: F.nullif(F.regexp_extract(raw, pattern, at[g]), F.lit("")) if g in at else F.lit(None).cast("string")
+            return F.struct(raw.alias("raw"), F.lit(family).alias("test_type"), *(get(g).alias(g) for g in ("df1", "df2", "n", "statistic", "p_operator", "p_value")))
+
+        return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), parts)
+
+    found = [matches(*x) for x in FAMILIES.items()]
+    return df.select(*df.columns, F.explode(F.concat(*found)).alias("_m")).select(*df.columns, "_m.*")
 
 
 # ---- tags, spans, groups ------------------------------------------------------------------------

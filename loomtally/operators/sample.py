@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from loomtally.functions import rules as R
 from loomtally.functions import text as X
 from loomtally.operators.extract import tags_of_spans
+from loomtally.session import cut
 
 #: Buckets of three hexadecimal digits.
 BUCKETS = 4096
@@ -79,7 +80,7 @@ def split_documents(docs: DataFrame, dev_share: float = 0.15, seed: int = 0, key
     n_dev = F.round(F.sum("k").over(Window.partitionBy()) * dev_share).cast("long")
     before = F.coalesce(F.sum("k").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("_b", before.alias("_before"), n_dev.alias("_dev"))
-    d = d.join(F.broadcast(counts), "_b")
+    d = d.join(F.broadcast(counts), "_b")  # BUCKETS rows at most
     rank = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
     return d.select(key, F.when(rank <= F.col("_dev"), F.lit("dev")).otherwise(F.lit("train")).alias("split"))
 
@@ -93,14 +94,19 @@ def apply_splits(rows: DataFrame, splits: DataFrame, key: str = "source_doc") ->
 def batches(rows: DataFrame, order: str, size: int = 20) -> DataFrame:
     """Rows with batch_id and pos in the order of an ordinal column, batches of a fixed size.
 
-    Range-partitioned on the ordinal and numbered within partitions after their counts are known.
+    The rows are range-partitioned and sorted once and written with their partition and their place in
+    it, so every later step sees the same partitions; the partitions' counts, one row each, give where
+    each begins. Every row comes once whatever its width. Equal ordinals are neighbours in any order,
+    nulls come first.
     """
-    d = rows.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
-    counts = d.groupBy("_p").agg(F.count(F.lit(1)).alias("k"), F.min(order).alias("_lo"))
-    before = F.coalesce(F.sum("k").over(Window.orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spot = F.monotonically_increasing_id()  # partition number above 33 bits of the place in it
+    d = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    d = cut(d.withColumn("_p", F.shiftright(spot, 33)).withColumn("_i", spot.bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = d.groupBy("_p").agg((F.max("_i") + 1).alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_p", before.alias("_before"))  # one row per partition
-    d = d.join(F.broadcast(starts), "_p").withColumn("_n", F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)
-    return d.withColumn("batch_id", F.floor(F.col("_n") / size).cast("long")).withColumn("pos", (F.col("_n") % size).cast("int")).drop("_p", "_before", "_n")
+    d = d.join(F.broadcast(starts), "_p").withColumn("_n", F.col("_before") + F.col("_i"))
+    return d.withColumn("batch_id", F.floor(F.col("_n") / size).cast("long")).withColumn("pos", (F.col("_n") % size).cast("int")).drop("_p", "_i", "_before", "_n")
 
 
 def blind_order(disputes: DataFrame, seed: int = 0) -> DataFrame:
@@ -130,11 +136,12 @@ def class_weights(counts: DataFrame, cap: float = 40.0) -> DataFrame:
 
 # ---- perturbation -------------------------------------------------------------------------------
 
-# What fonts and scanners make of characters.
-OPERATOR_DAMAGE = {"POP_EQ": ("\x02", "\x03", "\x04", "¼", "5"), "POP_LT": ("\x01", "\x03", "\x04", "b", "\\"), "POP_GT": ("N", "\x03", "\x05")}
-NUMBER_DAMAGE = ("\x02", "\x03", "\x05", "\x0e", " ", "")
-OCR = {"l": "1", "1": "l", "O": "0", "0": "O", "o": "c", "e": "c", "S": "5", "m": "rn", "I": "l"}
-VARIANTS = {"-": "−–", "−": "-–", "–": "-−", "'": "’", " ": "  "}
+# What scanners, writers and fonts make of characters, and other engines' signs for a lost operator.
+OCR = {"l": "1", "1": "l", "O": "0", "0": "O", "I": "1", "5": "S", "S": "5", "8": "B", "rn": "m", "cl": "d"}
+VARIANTS = {"-": ("\u2212", "\u2013", "\u2010"), " ": ("\u00a0", "\u2009", "\u202f"), "\u03c7": ("X", "x", "chi", "c", "v"), "\u00b2": ("2", "^2")}
+OPERATOR_DAMAGE = {"POP_EQ": ("\u00bc", "\x01", "\x02", "\x03", "\x04", "\u0435", " "), "POP_LT": ("b", "\x03", "\x05", "\x07", "\\"), "POP_GT": ("N", "\x06", "\x08")}
+NUMBER_DAMAGE = ("\x01", "\x02", "\x03", "\x05", "\x06", "\u2212", " ", "")
+ENGINE_ALPHABETS = {"poppler": ("\u03ed", "\u03fd", "\u03ea", "\u2424", "\u2429", "\u00c0", "\u00c2"), "private_use": ("\uf020", "\uf03c", "\uf03d", "\uf03e")}
 
 
 def moved(text: str, spans: list[tuple[int, int, str]], start: int, end: int, new: str) -> tuple[str, list[tuple[int, int, str]]]:
@@ -153,51 +160,52 @@ def moved(text: str, spans: list[tuple[int, int, str]], start: int, end: int, ne
     return text[:start] + new + text[end:], out
 
 
-def perturbed(text: str, spans: list[tuple[int, int, str]], kind: str, rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
-    """One seeded change of a kind: operator, number, ocr, unicode or break; labels stay aligned."""
-    if kind == "operator":
-        sites = [s for s in spans if s[2] in OPERATOR_DAMAGE]
-        if sites:
-            a, b, label = rng.choice(sites)
-            return moved(text, spans, a, b, rng.choice(OPERATOR_DAMAGE[label]))
-    elif kind == "number":
-        sites = [i for a, b, label in spans if label in ("STAT", "PVAL") for i in range(a, b) if text[i] in "-.−"]
-        if sites:
-            i = rng.choice(sites)
-            return moved(text, spans, i, i + 1, rng.choice(NUMBER_DAMAGE))
-    elif kind == "unicode":
-        sites = [i for i, c in enumerate(text) if c in VARIANTS]
-        if sites:
-            i = rng.choice(sites)
-            return moved(text, spans, i, i + 1, rng.choice(VARIANTS[text[i]]))
-    elif kind == "break":
-        sites = [i for a, b, label in spans if label in ("STAT", "PVAL") for i in (a, b) if 0 < i < len(text)]
-        if sites:
-            i = rng.choice(sites)
-            return moved(text, spans, i, i, "\n")
-    elif kind == "ocr":
-        inside = {i for a, b, _ in spans for i in range(a, b)}
-        for i in range(len(text) - 1, -1, -1):
-            if i not in inside and text[i] in OCR and rng.random() < 0.02:
-                text, spans = moved(text, spans, i, i + 1, OCR[text[i]])
+#: For each kind, which labelled places it may change and what it puts there.
+KINDS = ("operator", "engine", "number", "ocr", "unicode", "break")
+
+
+def _sites(text: str, spans: list[tuple[int, int, str]], kind: str) -> list[tuple[int, int, tuple[str, ...]]]:
+    """(start, end, choices) of every place a kind of change may fall on."""
+    numbers = [(a, b) for a, b, label in spans if label in ("STAT", "PVAL")]
+    if kind in ("operator", "engine"):
+        every = tuple(c for alphabet in ENGINE_ALPHABETS.values() for c in alphabet)
+        return [(a, b, OPERATOR_DAMAGE[label] if kind == "operator" else every) for a, b, label in spans if label in OPERATOR_DAMAGE]
+    if kind == "number":
+        return [(i, i + 1, NUMBER_DAMAGE) for a, b in numbers for i in range(a, b) if text[i] in "-.\u2212"]
+    if kind == "unicode":
+        return [(i, i + 1, VARIANTS[c]) for i, c in enumerate(text) if c in VARIANTS]
+    if kind == "break":
+        return [(i, i, ("\n",)) for pair in numbers for i in pair if 0 < i < len(text)]
+    labelled = {i for a, b, _ in spans for i in range(a, b)}
+    return [(i, i + len(k), (v,)) for k, v in OCR.items() for i in range(len(text)) if text.startswith(k, i) and not labelled & set(range(i, i + len(k)))]
+
+
+def perturbed(text: str, spans: list[tuple[int, int, str]], kind: str, rng: random.Random, rate: float = 0.02) -> tuple[str, list[tuple[int, int, str]]]:
+    """One seeded change of a kind, or scanner errors at a rate; labels stay aligned."""
+    sites = _sites(text, spans, kind)
+    chosen = [s for s in sites if rng.random() < rate] if kind == "ocr" else [rng.choice(sites)] if sites else []
+    last = len(text) + 1
+    for a, b, choices in sorted(chosen, reverse=True):  # from the end, so that earlier places stay
+        if b <= last:
+            text, spans = moved(text, spans, a, b, rng.choice(choices))
+            last = a
     return text, spans
 
 
-def hard_negative(rng: random.Random) -> str:
-    """Text that looks like a result and is none."""
-    n = rng.randint
-    return rng.choice((
-        f"compare pages {n(10, 99)}-{n(100, 300)} of the appendix", f"Writer ({n(1990, 2020)}) had n({n(10, 99)}) = {n(1, 9)}.{n(10, 99)}",
-        f"Annals of Examples, {n(10, 60)}({n(1, 4)}), {n(100, 400)}-{n(401, 800)}", f"means were M = {n(0, 9)}.{n(10, 99)} (SD = {n(0, 3)}.{n(10, 99)})",
-        "* p < .05, ** p < .01, *** p < .001", f"the slope b = -{n(0, 2)}.{n(10, 99)}, p = .{n(10, 99)}",
-    ))
+def hard_negatives(rows: DataFrame, key: str = "window_id", body: str = "text") -> DataFrame:
+    """(key, text) of windows of the data itself that hold no result but look as if: numbers in brackets
+    or after a test's letter, a p-value on its own, a reference."""
+    t = F.col(body)
+    looks = t.rlike(X.SAMPLE_TESTISH) | t.rlike(X.SAMPLE_P) | X.is_reference(t)
+    return rows.where(F.coalesce(F.size("results"), F.lit(0)) < 1).where(looks).select(key, t.alias("text"))
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("entity", T.StringType())]))
 
 
-def augment(examples: DataFrame, kinds: tuple[str, ...] = ("operator", "ocr", "unicode", "break"), seed: int = 0, negatives: bool = True) -> DataFrame:
-    """Perturbed copies of (window_id, text, spans): one per row and kind, plus a hard negative each.
+def augment(examples: DataFrame, kinds: tuple[str, ...] = KINDS, seed: int = 0, negatives: DataFrame | None = None) -> DataFrame:
+    """Perturbed copies of (window_id, text, spans), one per row and kind, with ``negatives`` (window_id,
+    text) added as examples without spans.
 
     Randomness is seeded by (seed, window_id, kind): copies do not depend on partitions or order.
     """
@@ -210,11 +218,12 @@ def augment(examples: DataFrame, kinds: tuple[str, ...] = ("operator", "ocr", "u
                 for kind in kinds:
                     t, s = perturbed(text or "", [(x["start"], x["end"], x["entity"]) for x in (spans if spans is not None else [])], kind, random.Random(f"{seed}|{w}|{kind}"))
                     out.append((w, kind, t, [{"start": a, "end": b, "entity": e} for a, b, e in s]))
-                if negatives:
-                    out.append((w, "negative", hard_negative(random.Random(f"{seed}|{w}|negative")), []))
             yield pd.DataFrame(out, columns=["window_id", "kind", "text", "spans"])
 
-    return examples.select("window_id", "text", "spans").mapInPandas(run, schema)
+    copies = examples.select("window_id", "text", "spans").mapInPandas(run, schema)
+    if negatives is None:
+        return copies
+    return copies.unionByName(negatives.select(F.col("window_id").cast("string").alias("window_id"), F.lit("negative").alias("kind"), "text", F.array().cast(_SPANS).alias("spans")))
 
 
 def misaligned(examples: DataFrame) -> DataFrame:

@@ -127,8 +127,9 @@ def character_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def repaired_documents(spark: SparkSession, d: str) -> DataFrame:
-    r = spread(table(spark, d, "documents")).select("doc_id", repair.repair_udf("text").alias("r"))
-    return r.select("doc_id", F.sha2("r.text", 256).alias("sha256"), "r.replacements", "r.rule", F.size("r.mapping").alias("mapped"))
+    """Windows, whose operators fonts have damaged, with the map that repaired each."""
+    r = repair.with_repaired(spread(table(spark, d, "holdout")).select("record_id", "text"), "text", "r")
+    return r.select("record_id", F.sha2("r.text", 256).alias("sha256"), "r.replacements", "r.rule", F.size("r.mapping").alias("mapped"), F.size("r.alternatives").alias("alternatives"))
 
 
 @query
@@ -155,12 +156,7 @@ def glyph_table(spark: SparkSession, d: str) -> DataFrame:
 @query
 def extract_pattern(spark: SparkSession, d: str) -> DataFrame:
     """Matches of every family in windows, JVM-side (families apart, nothing dropped)."""
-    h = table(spark, d, "holdout").select("record_id", "text")
-    out = None
-    for family in extract.FAMILIES:
-        part = extract.extract_native(h, family).drop("text")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return extract.extract_native(table(spark, d, "holdout").select("record_id", "text")).drop("text")
 
 
 @query
@@ -322,8 +318,8 @@ def span_match_lenient(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of labelled blocks and extracted matches that overlap by half of the shorter."""
     h = table(spark, d, "holdout").select(F.col("record_id").alias("window_id"), F.posexplode("results").alias("seq", "r")).where("r.block_span IS NOT NULL")
     a = h.select("window_id", "seq", F.element_at("r.block_span", 1).alias("start"), F.element_at("r.block_span", 2).alias("end"))
-    parts = _spans(spark, d).groupBy(F.col("record_id").alias("window_id"), "seq").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return annotate.lenient_candidates(a, parts)
+    x = extract.iter_extractions(table(spark, d, "holdout").select(F.col("record_id").alias("window_id"), "text"))
+    return annotate.lenient_candidates(a, x.select("window_id", "seq", "extraction.start", "extraction.end"))
 
 
 # ---- annotation ---------------------------------------------------------------------------------
@@ -351,9 +347,17 @@ def cohen_kappa(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fleiss_kappa(spark: SparkSession, d: str) -> DataFrame:
-    r = _ratings(spark, d)
-    three = r.groupBy("item").agg(F.count(F.lit(1)).alias("m")).where("m = 3").select("item")
-    return annotate.fleiss_kappa(r.join(three, "item", "left_semi")).select("subjects", F.round("kappa", 6).alias("kappa"))
+    return annotate.fleiss_by_panel(_ratings(spark, d)).select("raters", "subjects", F.round("kappa", 6).alias("kappa"))
+
+
+@query
+def rater_against_final(spark: SparkSession, d: str) -> DataFrame:
+    """Every rater's decisions against the dispute's last one."""
+    x = table(spark, d, "disputes").where(F.col("decision.keep").isNotNull())
+    last = F.struct(F.expr("try_to_timestamp(decision.provenance.collected_at)").alias("t"), F.col("decision_id").alias("i"))
+    final = x.groupBy(F.col("dispute_id").alias("item")).agg(F.max_by(F.col("decision.keep"), last).alias("label"))
+    a = annotate.against_final(_ratings(spark, d), final)
+    return a.select("rater", "items", "same", F.round("agreement", 6).alias("agreement"), "only_rater", "only_final")
 
 
 @query
@@ -361,22 +365,32 @@ def kripp_alpha(spark: SparkSession, d: str) -> DataFrame:
     return annotate.krippendorff_alpha(_ratings(spark, d)).select(F.col("values").alias("n"), F.round("alpha", 6).alias("alpha"))
 
 
-def _by_rater(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of disputes as results of raters, by their place."""
-    c = table(spark, d, "disputes").groupBy("dispute_id").agg(F.min_by("candidates", "decision_id").alias("cs")).select(F.col("dispute_id").alias("window_id"), F.posexplode("cs").alias("k", "c"))
-    fields = [F.col(f"c.{f}").alias(f) for f in R.RESULT_FIELDS]
-    return c.select("window_id", F.concat(F.lit("r"), F.col("k").cast("string")).alias("rater"), F.lit(0).alias("seq"), F.struct(*fields, F.array(F.lit(0), F.lit(9)).alias("span")).alias("result"))
+def _decided(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, list[str]]:
+    """Results that raters let stand, one per dispute and rater (by ``name`` in their provenance), the
+    latest decision counting, and the raters: a handful of people or models."""
+    p = "decision.provenance"
+    rater = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.col(f"{p}.{name}"))), r"[^a-z0-9]+", ""), r"^([a-z]+)0*", "$1")
+    x = table(spark, d, "disputes").where("decision IS NOT NULL").select("dispute_id", rater.alias("rater"), "decision", F.struct(F.expr(f"try_to_timestamp({p}.collected_at)").alias("t"), F.col("decision_id").alias("i")).alias("v")).where("rater IS NOT NULL")
+    last = x.groupBy("dispute_id", "rater").agg(F.max_by("decision", "v").alias("decision")).where("decision.keep AND decision.result IS NOT NULL")
+    fields = [F.col(f"decision.result.{f}").alias(f) for f in R.RESULT_FIELDS]
+    rows = last.select(F.col("dispute_id").alias("window_id"), "rater", F.lit(0).alias("seq"), F.struct(*fields, F.lit(None).cast("array<int>").alias("span")).alias("result"))
+    names = sorted(r[0] for r in x.select("rater").distinct().limit(1001).collect())
+    if len(names) > 1000:
+        raise ValueError("a panel of more than 1000 raters")
+    return rows, names
 
 
-def _places(spark: SparkSession, d: str) -> list[str]:
-    """A rater for every place that a dispute of the table has."""
-    most = table(spark, d, "disputes").agg(F.max(F.size("candidates"))).first()[0]
-    return [f"r{k}" for k in range(max(2, most or 0))]
+def _marked(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """Labelled results by the raters who found them, with their spans."""
+    h = table(spark, d, "holdout").select(F.col("record_id").alias("window_id"), F.posexplode("results").alias("seq", "r"))
+    fields = [F.col(f"r.{f}").alias(f) for f in R.RESULT_FIELDS]
+    rows = h.select("window_id", F.explode("r.raters").alias("rater"), "seq", F.struct(*fields, F.col("r.block_span").alias("span")).alias("result"))
+    return rows, sorted(r[0] for r in rows.select("rater").distinct().limit(1000).collect())
 
 
 @query
 def consensus_windows(spark: SparkSession, d: str) -> DataFrame:
-    c = annotate.consensus(_by_rater(spark, d), _places(spark, d))
+    c = annotate.consensus(*_decided(spark, d, "rater"))
     return c.select(
         "window_id", F.size("kept").alias("kept"), F.size("disputes").alias("disputes"), F.array_join(F.transform("kept", lambda k: k["tier"]), ",").alias("tiers"), F.array_join(F.transform("disputes", lambda x: F.concat_ws(":", x["kind"], x["field"])), ",").alias("open")
     )
@@ -384,7 +398,7 @@ def consensus_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rater_f1(spark: SparkSession, d: str) -> DataFrame:
-    f = annotate.result_f1(_by_rater(spark, d), _places(spark, d))
+    f = annotate.result_f1(*_marked(spark, d))
     return f.select("rater_a", "rater_b", "tp", "fp", "fn", F.round("f1", 6).alias("f1"))
 
 
@@ -396,9 +410,13 @@ def consensus_vote(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def contract_violations(spark: SparkSession, d: str) -> DataFrame:
-    h = table(spark, d, "holdout")
-    v = annotate.violations(h.select(F.col("record_id").alias("pos"), "window_id"), h.select(F.col("record_id").alias("pos"), "window_id", "contains_result", "results"))
-    return v.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    """Raters' rows as outputs, the windows of the data as the batch: undecided rows, candidates without a
+    quote or with unknown codes, windows that are not there."""
+    x = table(spark, d, "disputes")
+    known = table(spark, d, "holdout").select("window_id").distinct()
+    batch = x.select(F.col("decision_id").alias("pos"), "window_id").join(known, "window_id", "left_semi")
+    out = x.select(F.col("decision_id").alias("pos"), "window_id", F.col("decision.keep").alias("contains_result"), F.col("candidates").alias("results"))
+    return annotate.violations(batch, out).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -439,9 +457,9 @@ def score_spans(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def score_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Scores per part, the labels of undamaged results standing in for a system's."""
+    """Scores per part of what one rater found against all labels."""
     s = _spans(spark, d).withColumnRenamed("record_id", "window_id")
-    h = table(spark, d, "holdout").select(F.col("record_id").alias("window_id"), F.posexplode("results").alias("seq", "r")).where("NOT r.damaged").select("window_id", "seq")
+    h = table(spark, d, "holdout").select(F.col("record_id").alias("window_id"), F.posexplode("results").alias("seq", "r")).where(F.array_contains("r.raters", "mx-small")).select("window_id", "seq")
     e = evaluate.entity_score(s, s.join(h, ["window_id", "seq"], "left_semi"))
     return e.select(F.coalesce("entity", F.lit("all")).alias("entity"), "tp", "fp", "fn", F.round("f1", 6).alias("f1"), "support")
 
@@ -456,36 +474,30 @@ def family_recall(spark: SparkSession, d: str) -> DataFrame:
 def mcnemar(spark: SparkSession, d: str) -> DataFrame:
     g = _gold(spark, d)
     x = evaluate.discordant(evaluate.facts(g, _found(spark, d, ("t", "r", "z"))), evaluate.facts(g, _found(spark, d, ("f", "chi2", "q"))))
-    return x.select("b", "c", F.round(evaluate.mcnemar(F.least("b", F.lit(40)), F.least("c", F.lit(40))), 9).alias("p_40"))
-
-
-@query
-def mcnemar_exact(spark: SparkSession, d: str) -> DataFrame:
-    """The test on the whole discordant counts; mcnemar above answers SQL that caps both at 40."""
-    g = _gold(spark, d)
-    x = evaluate.discordant(evaluate.facts(g, _found(spark, d, ("t", "r", "z"))), evaluate.facts(g, _found(spark, d, ("f", "chi2", "q"))))
-    return x.select("b", "c", evaluate.mcnemar(F.col("b"), F.col("c")).alias("p"))
+    return x.select("b", "c", F.round(evaluate.mcnemar(F.col("b"), F.col("c")), 9).alias("p"))
 
 
 @query
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.bootstrap_f1(evaluate.facts(_gold(spark, d), _found(spark, d)), n=200)
+    """(metric, low, high) of the checker's scores, 2,000 draws of whole documents."""
+    b = evaluate.bootstrap_f1(evaluate.facts(_gold(spark, d), _found(spark, d), evaluate.window_documents(table(spark, d, "holdout"))))
+    m = b.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("q")) for c in ("p", "r", "f1")))).alias("m"))
+    return m.select("m.metric", *(F.round(F.element_at("m.q", k), 6).alias(n) for k, n in ((1, "low"), (2, "high"))))
 
 
 @query
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    g = _gold(spark, d)
-    per = lambda f, n: f.groupBy("source_doc").agg(F.count_if(F.col("in_gold") & F.col("in_found")).alias(f"tp{n}"), F.count_if("in_gold").alias(f"g{n}"))
-    a, b = per(evaluate.facts(g, _found(spark, d)), "a"), per(evaluate.facts(g, _found(spark, d, ("t", "f"))), "b")
-    reps = evaluate.replicates(a.join(b, "source_doc"), "source_doc", ["tpa", "ga", "tpb", "gb"], 200)
-    return evaluate.paired_difference(reps, F.col("tpa") / F.col("ga"), F.col("tpb") / F.col("gb"))
+    """All of the checker's kinds of test against t and F alone."""
+    g, docs = _gold(spark, d), evaluate.window_documents(table(spark, d, "holdout"))
+    a, b = (evaluate.facts(g, _found(spark, d, kinds), docs) for kinds in (None, ("t", "f")))
+    return evaluate.paired_f1(a, b).select("metric", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high", "p")))
 
 
 # ---- sampling and dataset -----------------------------------------------------------------------
 
 @query
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
-    h = table(spark, d, "holdout").where("journal IS NOT NULL").select(F.col("source_doc").alias("doc"), F.col("record_id").alias("line"), "pool")
+    h = table(spark, d, "holdout").select(F.col("source_doc").alias("doc"), F.col("record_id").alias("line"), "pool")
     return sample.stratified(h, 1000).select("doc", "line", "pool")
 
 
@@ -507,7 +519,9 @@ def window_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def batch_ids(spark: SparkSession, d: str) -> DataFrame:
-    return sample.batches(table(spark, d, "disputes").select("decision_id"), "decision_id")
+    """Whole rows of raters in batches of twenty."""
+    b = sample.batches(table(spark, d, "disputes"), "decision_id")
+    return b.select("decision_id", "dispute_id", F.size("candidates").alias("candidates"), "batch_id", "pos")
 
 
 @query
@@ -518,7 +532,7 @@ def char_vocab(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def class_weights(spark: SparkSession, d: str) -> DataFrame:
-    s = _spans(spark, d).groupBy("record_id").agg(F.collect_list(F.struct("start", "end", "entity")).alias("spans"))
+    s = _spans(spark, d).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "entity"))).alias("spans"))
     t = table(spark, d, "holdout").select("record_id", "text").join(s, "record_id", "left").select(sample.tags_udf("text", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,entity:string>>"))).alias("tags"))
     return sample.class_weights(sample.tag_counts(t)).select("tag", F.round("weight", 6).alias("weight"))
 
@@ -527,7 +541,7 @@ def class_weights(spark: SparkSession, d: str) -> DataFrame:
 def augmented(spark: SparkSession, d: str) -> DataFrame:
     s = _spans(spark, d).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "entity"))).alias("spans"))
     e = table(spark, d, "holdout").select("record_id", "text").join(s, "record_id").select(F.col("record_id").cast("string").alias("window_id"), "text", "spans")
-    return sample.augment(e).select("window_id", "kind", F.sha2("text", 256).alias("sha256"), F.size("spans").alias("spans"))
+    return sample.augment(e, negatives=sample.hard_negatives(table(spark, d, "holdout"), "record_id").withColumnRenamed("record_id", "window_id")).select("window_id", "kind", F.sha2("text", 256).alias("sha256"), F.size("spans").alias("spans"))
 
 
 @query
@@ -589,16 +603,17 @@ def report_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def field_agreement(spark: SparkSession, d: str) -> DataFrame:
-    a = annotate.field_agreement(_by_rater(spark, d), _places(spark, d))
+    """Fields of the results that every model let stand."""
+    a = annotate.field_agreement(*_decided(spark, d, "model_alias"))
     return a.select("field", "groups", F.round("agreement", 6).alias("agreement"))
 
 
 @query
 def settled_records(spark: SparkSession, d: str) -> DataFrame:
-    """Records after decisions, per tier: consensus by place of candidates, the latest decisions on top."""
+    """Records after decisions, per tier: the raters' consensus, the latest decisions on what it left open."""
     x = table(spark, d, "disputes").where("decision IS NOT NULL")
     latest = x.groupBy("dispute_id").agg(F.max_by("decision", F.struct("ingested_at", "decision_id")).alias("decision"))
-    c = annotate.consensus(_by_rater(spark, d), _places(spark, d))
+    c = annotate.consensus(*_decided(spark, d, "rater"))
     named = latest.withColumn("dispute_id", F.concat(F.lit("x-"), "dispute_id", F.lit("-0")))
     return annotate.settled(c, named, "x").groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("window_id").alias("windows"))
 

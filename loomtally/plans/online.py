@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomtally.functions import numbers, tails, text
 from loomtally.operators.extract import extract_each_udf
-from loomtally.operators.repair import repair_udf
+from loomtally.operators.repair import with_repaired
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,7 @@ def prepared(docs: DataFrame, options: Options = Options(), key: str = "doc_id",
     else:
         d = d.withColumnRenamed("_body", "text").withColumn("renamed", F.lit(None).cast("map<string,string>"))
     if options.repair:
-        d = text.hold(d, repair=repair_udf("text")).withColumn("text", F.col("repair.text"))
+        d = with_repaired(d, "text").withColumn("text", F.col("repair.text"))
     else:
         d = d.withColumn("repair", F.lit(None).cast("struct<mapping:map<string,string>,replacements:int,rule:string>"))
     return text.with_grown_windows(d, "text")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from loomtally.functions import rules as R
+from loomtally.operators.evaluate import GROUPS, POISSON
+
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NUM = r"-?\p{Nd}*\.?\p{Nd}+"
 TAIL = rf"{WS}*([=<>]){WS}*({NUM}){WS}*,{WS}*p{WS}*([=<>]){WS}*({NUM})"
@@ -27,8 +30,11 @@ REFERENCE = "|".join(
 )
 IS_REFERENCE = f"(length(value) <= 300 AND regexp_matches(value, '{REFERENCE}'))"
 HEADING = rf"(?i)^{WS}*(?:references|bibliography|works cited|literature cited){WS}*$"
-STRIPPED = f"""
-WITH {LINES}
+
+
+def _stripped(lines: str) -> str:
+    """Lines with references blanked, as CTEs after those that give ``lines``."""
+    return f"""{lines}
 heads AS (
   SELECT doc_id, count(*) AS n, min(CASE WHEN regexp_matches(value, '{HEADING}') THEN line END) AS any_head
   FROM lines GROUP BY doc_id),
@@ -41,6 +47,9 @@ ls AS (
 """
 
 
+STRIPPED = "\nWITH " + _stripped(LINES)
+
+
 def _mark(x: str, regex: str) -> str:
     return f"regexp_matches({x}, '{regex}')"
 
@@ -168,7 +177,228 @@ tails AS (
   FROM x)
 """
 
+# ---- normalising: long lines cut again, unknown characters at operator sites renamed -------------
+
+_KNOWN = "".join(c for c in dict.fromkeys(R.KNOWN + R.PROTECTED) if ord(c) > 0x7E).replace("'", "''")
+NORMALISED = rf"""
+raw_lines AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS value, generate_subscripts(string_split(t, chr(10)), 1) AS i
+  FROM (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents)),
+flow AS (
+  SELECT doc_id, i, '' AS head, value AS rest FROM raw_lines WHERE length(value) > {R.REFLOW_TRIGGER}
+  UNION ALL
+  SELECT doc_id, i, head || piece || chr(10), regexp_replace(substr(rest, length(piece) + 1), '^{WS}+', '')
+  FROM (SELECT *, coalesce(nullif(regexp_extract(rest, '(?s)^(.{{{R.TARGET_WIDTH // 2},{R.TARGET_WIDTH - 1}}}) ', 1), ''), substr(rest, 1, {R.TARGET_WIDTH})) AS piece FROM flow WHERE length(rest) > {R.REFLOW_TRIGGER})),
+flowed AS (
+  SELECT doc_id, string_agg(coalesce(d.value, r.value), chr(10) ORDER BY i) AS text
+  FROM raw_lines r LEFT JOIN (SELECT doc_id, i, head || rest AS value FROM flow WHERE length(rest) <= {R.REFLOW_TRIGGER}) d USING (doc_id, i) GROUP BY doc_id),
+odd AS (
+  SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) - length(replace(text, c, '')) DESC, c) AS k
+  FROM (SELECT DISTINCT doc_id, text, c FROM (SELECT doc_id, text, unnest(string_split(text, '')) AS c FROM flowed WHERE regexp_matches(text, '[^\x20-\x7e\n\t\r]'))
+        WHERE regexp_matches(c, '[^\x00-\x08\x20-\x7e\n\t\r]') AND NOT regexp_matches(c, '{WS}') AND NOT contains('{_KNOWN}', c))
+  WHERE regexp_matches(text, '[)\]a-zA-Z0-9]{WS}*' || regexp_escape(c) || '{WS}*[-.−]?\p{{Nd}}')),
+slots AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS k
+  FROM (SELECT doc_id, text, chr(s::INT) AS s FROM flowed JOIN (SELECT DISTINCT doc_id FROM odd) USING (doc_id), range(1, 9) t(s)) WHERE NOT contains(text, s)),
+renaming AS (SELECT doc_id, string_agg(c, '' ORDER BY k) AS a, string_agg(s, '' ORDER BY k) AS b, count(*) AS n FROM odd JOIN slots USING (doc_id, k) GROUP BY doc_id),
+norm AS (SELECT doc_id, CASE WHEN a IS NULL THEN text ELSE translate(text, a, b) END AS text, coalesce(n, 0) AS renamed FROM flowed LEFT JOIN renaming USING (doc_id)),
+"""
+NORM_LINES = NORMALISED + """lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM norm),
+"""
+
+
+def _grown(key: str = "doc_id") -> str:
+    return f"""docs AS (SELECT {key}, max(n) AS n, list(length(value) + 1 ORDER BY line) AS sizes FROM ls GROUP BY {key}),
+kept AS (SELECT {key}, line FROM ls WHERE {KEEPS}),
+tried AS (
+  SELECT k.{key}, k.line, t.s, greatest(0, k.line - t.s) AS lo, least(d.n, k.line + t.s + 1) AS hi,
+    list_sum(d.sizes[greatest(0, k.line - t.s) + 1 : least(d.n, k.line + t.s + 1)]) AS held
+  FROM kept k JOIN docs d USING ({key}), range(2, 9) t(s)),
+spot AS (SELECT {key}, line, lo, hi FROM tried WHERE held >= 250 OR s = 8 QUALIFY row_number() OVER (PARTITION BY {key}, line ORDER BY s) = 1),
+win AS (
+  SELECT p.{key}, p.line, string_agg(l.value, chr(10) ORDER BY l.line) AS text
+  FROM spot p JOIN ls l ON l.{key} = p.{key} AND l.line >= p.lo AND l.line < p.hi GROUP BY 1, 2),
+"""
+
+
+def _hits(source: str, key: str) -> str:
+    """CTEs hits and best: pattern results of texts with their places, those inside another left out."""
+    parts = []
+    for name, (head, groups) in FAMILY_HEADS.items():
+        body, whole = f"(?i){head}{TAIL}", f"(?i)(?:^|[^\\p{{L}}\\p{{N}}_])({head}{TAIL})"
+        k = len(groups)
+        col = {g: f"nullif(regexp_extract(raw, '{body}', {i + 1}), '')" for i, g in enumerate(groups)}
+        parts.append(
+            f"SELECT {key}, '{name}' AS test_type, raw, begin, {col.get('df1', 'NULL')} AS df1, {col.get('df2', 'NULL')} AS df2,"
+            f" regexp_extract(raw, '{body}', {k + 2}) AS statistic, regexp_extract(raw, '{body}', {k + 3}) AS p_operator, regexp_extract(raw, '{body}', {k + 4}) AS p_value"
+            f" FROM (SELECT {key}, raws[j] AS raw, (list_sum([length(x) FOR x IN pre[1:j]]) + coalesce(list_sum([length(x) FOR x IN wholes[1:j - 1]]), 0) + length(wholes[j]) - length(raws[j]))::BIGINT AS begin"
+            f"  FROM (SELECT *, unnest(range(1, len(raws) + 1)) AS j FROM (SELECT {key}, string_split_regex(text, '{whole}') AS pre, regexp_extract_all(text, '{whole}', 0) AS wholes, regexp_extract_all(text, '{whole}', 1) AS raws FROM {source})))"
+        )
+    union = "\n  UNION ALL ".join(parts)
+    pair = " AND ".join(f"o.{c.strip()} = h.{c.strip()}" for c in key.split(","))
+    return f"""hits AS (SELECT *, begin + length(raw) AS fin, row_number() OVER () AS id FROM ({union})),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY begin, fin) - 1 AS seq FROM hits h
+  WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE {pair} AND o.id <> h.id AND o.begin <= h.begin AND h.fin <= o.fin))
+"""
+
+
+# ---- tails: the integrals by four-point Gauss rules on 400 panels ---------------------------------
+
+def _integral(f: str, upper: str) -> str:
+    """Integral of ``f``, an expression of u, from 0 to ``upper``."""
+    nodes = ((0.339981043584856264803, 0.652145154862546142627), (0.861136311594052575224, 0.347854845137453857373))
+    terms = [f"{w!r}::DOUBLE * ({f.replace('{u}', f'(({upper}) / 400 * (i + 0.5 + {sign}{x / 2!r}::DOUBLE))')})" for x, w in nodes for sign in ("", "-")]
+    return f"(({upper}) / 800 * list_sum(list_transform(range(0, 400), lambda i: {' + '.join(terms)})))"
+
+
+def _beta(a: str, b: str, x: str) -> str:
+    f = f"exp((2 * ({a}) - 1) * ln(sin({{u}})) + (2 * ({b}) - 1) * ln(cos({{u}})) + lgamma(({a}) + ({b})) - lgamma({a}) - lgamma({b}))"
+    return f"(2 * {_integral(f, f'asin(sqrt({x}))')})"
+
+
+def _erfc(z: str) -> str:
+    return f"(1 - 1.1283791670955126::DOUBLE * {_integral('exp(-{u} * {u})', z)})"
+
+
+def _tails(source: str) -> str:
+    """CTE tail (id, v, p): two-tailed p-values of ``source`` (id, v, test, stat, df1, df2)."""
+    y = "(greatest(stat, 0) / 2)"
+    chi = f"""CASE WHEN {y} = 0 THEN 1 WHEN df1 % 2 = 0 THEN list_sum(list_transform(range(0, (df1 / 2)::BIGINT), lambda j: exp(j * ln({y}) - {y} - lgamma(j + 1))))
+  ELSE {_erfc(f'sqrt({y})')} + coalesce(list_sum(list_transform(range(1, ((df1 - 1) / 2)::BIGINT + 1), lambda j: exp((j - 0.5) * ln({y}) - {y} - lgamma(j + 0.5)))), 0) END"""
+    square = "CASE test WHEN 't' THEN stat * stat ELSE stat * stat * df1 / (1 - stat * stat) END"
+    return f"""tail AS (
+  SELECT id, v, CASE WHEN stat IS NULL OR df1 <= 0 OR df2 <= 0 THEN NULL
+    WHEN test = 'z' THEN {_erfc('abs(stat) / sqrt(2)')}
+    WHEN df1 IS NULL THEN NULL
+    WHEN test IN ('t', 'r') THEN CASE WHEN test = 'r' AND abs(stat) >= 1 THEN NULL WHEN sq = 0 THEN 1 ELSE {_beta('df1 / 2', '0.5::DOUBLE', 'df1 / (df1 + sq)')} END
+    WHEN test = 'f' THEN CASE WHEN df2 IS NULL THEN NULL WHEN stat <= 0 THEN 1 ELSE {_beta('df2 / 2', 'df1 / 2', 'df2 / (df2 + df1 * stat)')} END
+    WHEN test IN ('chi2', 'q') THEN {chi} END AS p
+  FROM (SELECT *, CASE WHEN test IN ('t', 'r') THEN {square} END AS sq FROM {source}))"""
+
+
+def _verdicts(source: str) -> str:
+    """CTE judged: the check's columns for ``source`` (id, test, stat, df1, df2, op, p, p_text, stat_text)."""
+    places = "length(regexp_extract({0}, '\\.(.*)$', 1))"
+    return f"""shifted AS (
+  SELECT *, 0.5 / power(10, {places.format("CASE WHEN try_cast(stat_text AS DOUBLE) = stat THEN stat_text ELSE stat::VARCHAR END")}) AS half, CASE WHEN stat >= 0 THEN 1 ELSE -1 END AS sgn FROM {source}),
+need AS (SELECT id, v, test, stat + v * sgn * half AS stat, df1, df2 FROM (SELECT *, unnest([0, 1, -1]) AS v FROM shifted)),
+{_tails('need')},
+three AS (SELECT id, max(p) FILTER (v = 0) AS c, CASE WHEN count(p) FILTER (v <> 0) < 2 THEN max(p) FILTER (v = 0) ELSE max(p) FILTER (v = 1) END AS low, CASE WHEN count(p) FILTER (v <> 0) < 2 THEN max(p) FILTER (v = 0) ELSE max(p) FILTER (v = -1) END AS up FROM tail GROUP BY id),
+lost AS (
+  SELECT s.*, t.c, t.low, t.up, CASE WHEN op = 'ns' THEN '>' ELSE op END AS sign, CASE WHEN op = 'ns' THEN {R.ALPHA}::DOUBLE ELSE s.p END AS claim,
+    list_filter([CASE WHEN coalesce(test, '') = '' THEN 'test_type' END, CASE WHEN stat IS NULL THEN 'statistic' END,
+      CASE WHEN df1 IS NULL AND coalesce(test, '') <> 'z' THEN 'df1' END, CASE WHEN df2 IS NULL AND test = 'f' THEN 'df2' END,
+      CASE WHEN s.p IS NULL THEN 'p_value' WHEN op IS NULL OR op NOT IN ('=', '<', '>') THEN 'p_operator' END], lambda x: x IS NOT NULL) AS parts
+  FROM shifted s JOIN three t USING (id)),
+wrong AS (
+  SELECT *, CASE WHEN c IS NULL OR claim IS NULL OR sign IS NULL OR sign NOT IN ('=', '<', '>') THEN NULL WHEN claim <= 0 THEN true
+    WHEN sign = '=' THEN NOT (round(low, {places.format("coalesce(p_text, claim::VARCHAR)")}::INT) <= claim AND claim <= round(up, {places.format("coalesce(p_text, claim::VARCHAR)")}::INT))
+    WHEN sign = '<' THEN claim < low ELSE claim > up END AS bad,
+    CASE sign WHEN '=' THEN (claim <= {R.ALPHA}) <> (c <= {R.ALPHA}) WHEN '<' THEN claim <= {R.ALPHA} AND c > {R.ALPHA} WHEN '>' THEN claim >= {R.ALPHA} AND c <= {R.ALPHA} END AS flips FROM lost),
+judged AS (
+  SELECT *, CASE WHEN bad IS NULL THEN 'undecidable' WHEN NOT bad THEN 'consistent' WHEN flips THEN 'decision_error' ELSE 'inconsistent' END AS verdict,
+    CASE WHEN bad IS NULL THEN parts ELSE [] END AS missing,
+    CASE WHEN bad IS NULL THEN CASE WHEN len(parts) = 0 THEN CASE WHEN c IS NULL THEN '{R.NO_P}' ELSE '{R.NO_CLAIM}' END
+        ELSE CASE WHEN len(parts) > 1 THEN list_aggregate([names[x] FOR x IN parts[1:len(parts) - 1]], 'string_agg', ', ') || ' and ' ELSE '' END || names[parts[len(parts)]] || ' found beside this result' END
+      WHEN NOT bad THEN '' WHEN flips THEN '{R.DISAGREE_ALPHA}' ELSE '{R.DISAGREE}' END AS reason
+  FROM (SELECT *, MAP {{{', '.join(f"'{k}': '{v}'" for k, v in R.PART_NAMES.items())}}} AS names FROM wrong))
+"""
+
+
+# The whole path, but for the repair: the documents hold no damaged operators; a text with one would differ.
+ONLINE = f"""
+WITH RECURSIVE {_stripped(NORM_LINES)}, {_grown()}{_hits('win', 'doc_id, line')},
+read AS (SELECT *, {_double('statistic')} AS stat FROM best),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, seq) AS id0 FROM read QUALIFY row_number() OVER (PARTITION BY doc_id, round(stat, 3) + 0.0::DOUBLE ORDER BY line, seq) = 1),
+ask AS (
+  SELECT row_number() OVER () AS id, doc_id, line, seq, raw, test_type AS test, stat, {_double('df1')} AS df1, {_double('df2')} AS df2, p_operator AS op, {_double('p_value')} AS p, p_value AS p_text, statistic AS stat_text FROM firsts),
+{_verdicts('ask')}"""
+BASELINE = f"""
+WITH named AS (
+  SELECT row_id AS id, lower(trim(test_type)) AS test, round(test_value, 4) AS stat, CASE WHEN lower(trim(test_type)) = 'f' THEN df1 ELSE coalesce(df1, df2) END AS df1,
+    CASE WHEN lower(trim(test_type)) = 'f' THEN df2 END AS df2, nullif(trim(p_comp), '') AS op, round(reported_p, 4) AS p,
+    [coalesce(list_filter(regexp_extract_all(replace(raw, chr(10), ' '), '\\d*\\.\\d+|\\d+'), lambda x: try_cast(x AS DOUBLE) = v)[1], v::VARCHAR) FOR v IN [reported_p, test_value]] AS texts, error, decision_error
+  FROM statcheck_repaired),
+ask AS (SELECT *, texts[1] AS p_text, texts[2] AS stat_text FROM named),
+{_verdicts('ask')}"""
+
+def _replicates(systems: dict[str, str]) -> str:
+    """CTE reps: weighted sums of tp, fp and fn of systems (suffix -> filter of found rows) per replicate."""
+    out, columns = [], []
+    for k, where in systems.items():
+        out.append(f"""found{k} AS (SELECT DISTINCT window_id, round(test_value, 4) AS value FROM statcheck_repaired {where}),
+counts{k} AS (
+  SELECT coalesce(g.window_id, f.window_id) AS window_id, count(*) FILTER (g.window_id IS NOT NULL AND f.window_id IS NOT NULL) AS tp{k}, count(*) FILTER (g.window_id IS NULL) AS fp{k}, count(*) FILTER (f.window_id IS NULL) AS fn{k}
+  FROM gold g FULL JOIN found{k} f ON g.window_id = f.window_id AND g.value = f.value GROUP BY 1)""" if k else f"""counts{k} AS (
+  SELECT window_id, count(*) FILTER (in_gold AND in_found) AS tp, count(*) FILTER (NOT in_gold) AS fp, count(*) FILTER (NOT in_found) AS fn FROM fact GROUP BY 1)""")
+        columns += [f"{c}{k}" for c in ("tp", "fp", "fn")]
+    union = " UNION ALL BY NAME ".join(f"SELECT * FROM counts{k}" for k in systems)
+    weight = " + ".join(f"(u >= {x})::INT" for x in POISSON)
+    return ",\n".join(out) + f""",
+docs AS (SELECT window_id, arg_min(source_doc, record_id) AS source_doc FROM holdout GROUP BY 1),
+grouped AS (SELECT substr(md5(coalesce(source_doc, '')), 1, {len(f"{GROUPS - 1:x}")}) AS g, {', '.join(f'sum(coalesce({c}, 0)) AS {c}' for c in columns)} FROM ({union}) LEFT JOIN docs USING (window_id) GROUP BY 1),
+drawn AS (SELECT *, {weight} AS w FROM (SELECT *, ('0x' || substr(md5('0|' || rep || '|' || g), 1, 8))::BIGINT AS u FROM grouped, range(2000) t(rep))),
+reps AS (SELECT rep, {', '.join(f'sum({c} * w)::DOUBLE AS {c}' for c in columns)} FROM drawn GROUP BY 1)"""
+
+
+def _rate3(k: str) -> str:
+    tp, fp, fn = (f"{c}{k}" for c in ("tp", "fp", "fn"))
+    return f"CASE WHEN {tp} + {fp} > 0 THEN {tp} / ({tp} + {fp}) ELSE 0 END, CASE WHEN {tp} + {fn} > 0 THEN {tp} / ({tp} + {fn}) ELSE 0 END, CASE WHEN 2 * {tp} + {fp} + {fn} > 0 THEN 2 * {tp} / (2 * {tp} + {fp} + {fn}) ELSE 0 END"
+
+
+# The sampler's patterns in this engine's dialect.
+_STAT = rf"(?i){_B}(?:t|F|r|z|Q|Qw|Qb|chi2|c2|X2|χ2){WS}*\({WS}*[0-9]+(?:{WS}*,{WS}*[0-9.]+)?(?:{WS}*,{WS}*N{WS}*={WS}*[0-9]+)?{WS}*\){WS}*[=<>]{WS}*-?[0-9]*\.?[0-9]+"
+_STAT_N = rf"(?i)\({WS}*[0-9]+{WS}*,{WS}*N{WS}*[=<>]{WS}*[0-9, ]+\)"
+_P = rf"(?i){_B}p{WS}*[=<>]{WS}*\.?[0-9]"
+_TESTISH = rf"{_B}(?:t|F|r|z|Z|Q|chi2|χ2|M|SD|OR|CI){WS}*[\(=]{WS}*[-.0-9]"
+_SAMPLED = "|".join(f"(?:{p})" for p in (
+    rf"\({WS}*(?:19|20)\p{{Nd}}\p{{Nd}}[a-z]?{WS}*\)", rf"{_B}\p{{Nd}}+{WS}*\({WS}*\p{{Nd}}+{WS}*\){WS}*,{WS}*\p{{Nd}}+{WS}*[-–]{WS}*\p{{Nd}}+", rf"(?i:{_B}(?:doi:|https?://|dx\.doi\.org))",
+    rf"{_B}[A-Z]\.{WS}*,?{WS}*[A-Z]\.", rf",{WS}*\p{{Nd}}+{WS}*[-–]{WS}*\p{{Nd}}+{WS}*\.{WS}*$",
+))
+
+_VOTED = (*R.RESULT_FIELDS[:9], "confidence")
+
+
+def _consensus(name: str) -> str:
+    """CTEs members and judged: results that raters let stand, in clusters of equal magnitude per dispute."""
+    numeric = ("statistic", "df1", "df2", "n", "p_value")
+    keys = {f: f"n_{f}" if f in numeric else f"regexp_replace(regexp_replace({f}, '{WS}+', ' ', 'g'), '^ | $', '', 'g')" if f == "quote" else f for f in _VOTED}
+    votes = ",\n  ".join(f"v_{f} AS (SELECT dispute_id, cluster, max(k) AS top_{f}, count(*) FILTER (k = m) AS ties_{f} FROM (SELECT *, max(k) OVER (PARTITION BY dispute_id, cluster) AS m FROM (SELECT dispute_id, cluster, {keys[f]} AS key, count(*) AS k FROM members GROUP BY ALL)) GROUP BY 1, 2)" for f in _VOTED)
+    joins = " ".join(f"JOIN v_{f} USING (dispute_id, cluster)" for f in _VOTED)
+    pending = "CASE " + " ".join(f"WHEN members > 2 AND ties_{f} > 1 THEN '{f}'" for f in _VOTED[:9]) + " END"
+    return f"""dec AS (
+  SELECT dispute_id, decision, decision_id, CAST(decision.provenance.collected_at AS TIMESTAMPTZ) AS t,
+    regexp_replace(regexp_replace(lower(trim(decision.provenance.{name})), '[^a-z0-9]+', '', 'g'), '^([a-z]+)0*', '\\1') AS rater FROM disputes WHERE decision IS NOT NULL),
+panel AS (SELECT DISTINCT rater FROM dec WHERE rater IS NOT NULL),
+last AS (SELECT dispute_id, rater, decision FROM dec WHERE rater IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dispute_id, rater ORDER BY t DESC NULLS LAST, decision_id DESC) = 1),
+held AS (SELECT dispute_id, rater, {', '.join(f'decision.result.{f} AS {f}' for f in R.RESULT_FIELDS)}, {', '.join(f"{_as_number(f'decision.result.{f}')} AS n_{f}" for f in numeric)} FROM last WHERE decision.keep AND decision.result IS NOT NULL),
+members AS (SELECT *, coalesce(abs(n_statistic)::VARCHAR, 'rater ' || rater) AS cluster, count(*) OVER (PARTITION BY dispute_id) AS present FROM held),
+{votes},
+sized AS (SELECT dispute_id, cluster, count(*) AS members, min(rater) AS first, greatest(3, max(present)) AS panel_size FROM members GROUP BY 1, 2),
+judged AS (
+  SELECT dispute_id, cluster, members, first, {pending} AS pending,
+    CASE WHEN ({pending}) IS NULL AND members = panel_size AND least({', '.join(f'top_{f}' for f in _VOTED)}) = panel_size THEN 'unanimous' ELSE 'majority' END AS tier
+  FROM sized {joins})"""
+
+
 SQL: dict[str, str] = {
+    "normalised_texts": f"WITH RECURSIVE {NORMALISED} z AS (SELECT 1) SELECT doc_id, sha256(text) AS sha256, len(string_split(text, chr(10))) AS lines, renamed FROM norm",
+    "online_results": ONLINE + """SELECT doc_id, line, 'pattern' AS source, test AS test_type, stat_text AS statistic_text, df1, df2, op AS p_operator, p_text, verdict, round(c, 8) AS computed_p, reason,
+  coalesce(list_aggregate(missing, 'string_agg', ','), '') AS missing, raw AS quote FROM judged""",
+    "verdict_counts": ONLINE + """SELECT doc_id, count(*) FILTER (verdict = 'consistent') AS consistent, count(*) FILTER (verdict = 'inconsistent') AS inconsistent, count(*) FILTER (verdict = 'decision_error') AS decision_error,
+  count(*) FILTER (verdict = 'undecidable') AS undecidable, count(*) AS results FROM judged GROUP BY 1""",
+    "online_stages": ONLINE + """SELECT doc_id, max(h.n) AS lines, (SELECT count(*) FROM spot w WHERE w.doc_id = h.doc_id) AS windows, 0 AS replacements, 'simple' AS repair_rule,
+  (SELECT count(*) FROM judged j WHERE j.doc_id = h.doc_id) AS by_pattern, 0 AS by_model FROM heads h GROUP BY doc_id""",
+    "result_lines": ONLINE + """SELECT doc_id, line, lpad(line::VARCHAR, 5, ' ') || '  ' || coalesce(test, '?') || CASE WHEN df1 IS NULL THEN '' WHEN df2 IS NULL THEN '(' || d1 || ')' ELSE '(' || d1 || ', ' || d2 || ')' END || ' = ' || st
+  || ', p ' || coalesce(op, '=') || ' ' || pv || '  ' || coalesce(printf('%.4f', c), 'NA') || '  ' || verdict || '  [pattern]' AS text
+FROM (SELECT *, {0} FROM judged)""".replace("{0}", ", ".join(f"coalesce(CASE WHEN {c} = floor({c}) THEN {c}::BIGINT::VARCHAR ELSE regexp_replace(printf('%.12f', {c}), '0+$', '') END, 'NA') AS {n}" for c, n in (("df1", "d1"), ("df2", "d2"), ("stat", "st"), ("p", "pv")))),
+    "baseline_check": BASELINE + "SELECT id AS row_id, verdict, round(c, 9) AS p, error, decision_error FROM judged",
+    "verdict_agreement": BASELINE + """SELECT count(*) FILTER (verdict <> 'undecidable' AND same) AS agree, count(*) FILTER (verdict <> 'undecidable' AND NOT same) AS disagree, count(*) FILTER (verdict = 'undecidable') AS undecidable
+FROM (SELECT *, (verdict <> 'consistent') = error AND (verdict = 'decision_error') = decision_error AS same FROM judged)""",
+    "extract_spans": f"WITH {_hits('holdout', 'record_id')} SELECT record_id, seq, test_type, begin AS start, fin AS \"end\", raw FROM best",
+
     "line_density": f"WITH {LINES} z AS (SELECT 1) SELECT doc_id, line, round({DENSITY}, 6) AS density FROM lines",
     "prefilter_lines": f"WITH {LINES} z AS (SELECT 1) SELECT doc_id, line FROM lines WHERE {KEEPS}",
     "reference_lines": f"WITH {LINES} z AS (SELECT 1) SELECT doc_id, line FROM lines WHERE {IS_REFERENCE}",
@@ -235,9 +465,9 @@ SELECT window_id, round(value, 3) + 0.0::DOUBLE AS key, arg_min(source, rank) AS
     "set_overlap": "SELECT DISTINCT source_doc, \"set\" FROM holdout WHERE \"set\" <> 'train' AND source_doc IN (SELECT source_doc FROM holdout WHERE \"set\" = 'train')",
     "document_pdfs": """SELECT h.source_doc, h.windows, m.pdf, m.pages FROM (SELECT source_doc, count(*) AS windows FROM holdout GROUP BY 1) h
 LEFT JOIN (SELECT txt, min(pdf) AS pdf, max(pages) AS pages FROM conversion_manifest WHERE txt IS NOT NULL GROUP BY 1) m ON h.source_doc = m.txt""",
-    "span_match_lenient": f"""WITH {SPANS}, j AS (
-  SELECT b.record_id AS window_id, b.seq AS i, h.seq AS j, least(b."end", h."end") - greatest(b."start", h."start") AS overlap, least(b."end" - b."start", h."end" - h."start") AS shorter
-  FROM blocks b JOIN hulls h USING (record_id))
+    "span_match_lenient": f"""WITH {SPANS}, {_hits('holdout', 'record_id')}, j AS (
+  SELECT b.record_id AS window_id, b.seq AS i, h.seq AS j, least(b."end", h.fin) - greatest(b."start", h.begin) AS overlap, least(b."end" - b."start", h.fin - h.begin) AS shorter
+  FROM blocks b JOIN best h USING (record_id))
 SELECT window_id, i, j, overlap FROM j WHERE shorter > 0 AND overlap >= 0.5 * shorter AND overlap >= 0""",
     "raw_agreement": f"WITH {RATINGS}, i AS (SELECT item, count(DISTINCT label) AS k FROM ratings GROUP BY 1) SELECT count(*) AS items, round(avg(CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END), 6) AS raw FROM i",
     "cohen_kappa": f"""WITH {RATINGS}, p AS (
@@ -246,9 +476,12 @@ c AS (
   SELECT rater_a, rater_b, count(*) AS n, avg((x = y)::INT) AS po, avg(x::INT) * avg(y::INT) + avg((NOT x)::INT) * avg((NOT y)::INT) AS pe FROM p GROUP BY 1, 2)
 SELECT rater_a, rater_b, n, round(CASE WHEN pe = 1 THEN 1 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM c""",
     "fleiss_kappa": f"""WITH {RATINGS}, i AS (
-  SELECT item, count(*) FILTER (label) AS a, count(*) FILTER (NOT label) AS b FROM ratings GROUP BY 1 HAVING count(*) = 3),
-s AS (SELECT count(*) AS subjects, avg((a*a + b*b - 3) / 6.0) AS p, power(sum(a) / (3.0 * count(*)), 2) + power(sum(b) / (3.0 * count(*)), 2) AS pe FROM i)
-SELECT subjects, round((p - pe) / (1 - pe), 6) AS kappa FROM s""",
+  SELECT item, count(*) AS m, count(*) FILTER (label) AS a, count(*) FILTER (NOT label) AS b FROM ratings GROUP BY 1 HAVING count(*) > 1),
+s AS (SELECT m AS raters, count(*) AS subjects, avg((a*a + b*b - m) / (m * (m - 1))::DOUBLE) AS p, power(sum(a) / (m * count(*))::DOUBLE, 2) + power(sum(b) / (m * count(*))::DOUBLE, 2) AS pe FROM i GROUP BY m)
+SELECT raters, subjects, round(CASE WHEN pe = 1 THEN 1 ELSE (p - pe) / (1 - pe) END, 6) AS kappa FROM s""",
+    "rater_against_final": f"""WITH {RATINGS}, final AS (SELECT item, arg_max(label, (coalesce(t, '-infinity'::TIMESTAMPTZ), decision_id)) AS last FROM named GROUP BY 1)
+SELECT rater, count(*) AS items, count(*) FILTER (label = last) AS same, round(avg((label = last)::INT), 6) AS agreement, count(*) FILTER (label AND NOT last) AS only_rater, count(*) FILTER (NOT label AND last) AS only_final
+FROM ratings JOIN final USING (item) GROUP BY 1""",
     "kripp_alpha": f"""WITH {RATINGS}, u AS (SELECT item, count(*) AS m, count(*) FILTER (label) AS a, count(*) FILTER (NOT label) AS b FROM ratings GROUP BY 1 HAVING count(*) > 1),
 s AS (SELECT sum(m) AS n, sum((a*(a-1) + b*(b-1)) / (m - 1)::DOUBLE) AS o, sum(a) AS ta, sum(b) AS tb FROM u)
 SELECT n::BIGINT AS n, round(1 - (1 - o / n) / (1 - (ta*(ta-1) + tb*(tb-1)) / (n*(n-1))::DOUBLE), 6) AS alpha FROM s""",
@@ -270,7 +503,7 @@ SELECT bucket, tp, fp, fn, {_RATES} FROM c""",
 c AS (SELECT count(*) FILTER (g.record_id IS NOT NULL AND f.record_id IS NOT NULL) AS tp, count(*) FILTER (g.record_id IS NULL) AS fp, count(*) FILTER (f.record_id IS NULL) AS fn
   FROM g FULL JOIN f ON g.record_id = f.record_id AND g."start" = f."start" AND g."end" = f."end")
 SELECT tp, fp, fn, {_RATES} FROM c""",
-    "score_entities": f"""WITH {SPANS}, ok AS (SELECT record_id, seq FROM (SELECT record_id, unnest(results) AS r, generate_subscripts(results, 1) - 1 AS seq FROM holdout) WHERE NOT r.damaged),
+    "score_entities": f"""WITH {SPANS}, ok AS (SELECT record_id, seq FROM (SELECT record_id, unnest(results) AS r, generate_subscripts(results, 1) - 1 AS seq FROM holdout) WHERE list_contains(r.raters, 'mx-small')),
 g AS (SELECT DISTINCT record_id, "start", "end", entity FROM spans), f AS (SELECT DISTINCT s.record_id, s."start", s."end", s.entity FROM spans s JOIN ok USING (record_id, seq)),
 c AS (SELECT coalesce(g.entity, f.entity) AS entity, count(*) FILTER (g.record_id IS NOT NULL AND f.record_id IS NOT NULL) AS tp, count(*) FILTER (g.record_id IS NULL) AS fp, count(*) FILTER (f.record_id IS NULL) AS fn
   FROM g FULL JOIN f ON g.record_id = f.record_id AND g."start" = f."start" AND g."end" = f."end" AND g.entity = f.entity GROUP BY ROLLUP (1))
@@ -282,10 +515,85 @@ SELECT family, k, n, round(p, 6) AS r, round(greatest(0, (p + z*z/(2*n) - z * sq
     "mcnemar": f"""WITH {GOLD}, a AS (SELECT DISTINCT window_id, round(test_value, 4) AS value FROM statcheck_repaired WHERE lower(test_type) IN ('t','r','z')),
 b AS (SELECT DISTINCT window_id, round(test_value, 4) AS value FROM statcheck_repaired WHERE lower(test_type) IN ('f','chi2','q')),
 d AS (SELECT count(*) FILTER (a.value IS NOT NULL AND b.value IS NULL) AS b, count(*) FILTER (a.value IS NULL AND b.value IS NOT NULL) AS c
-  FROM gold g LEFT JOIN a ON g.window_id = a.window_id AND g.value = a.value LEFT JOIN b ON g.window_id = b.window_id AND g.value = b.value),
-n AS (SELECT b, c, least(b, 40) AS x, least(c, 40) AS y FROM d)
-SELECT b, c, round(CASE WHEN x + y = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(x + y + 1) - lgamma(i + 1) - lgamma(x + y - i + 1) - (x + y) * ln(2))) FROM range(0, least(x, y) + 1) t(i))) END, 9) AS p_40 FROM n""",
-    "stratified_sample": """WITH w AS (SELECT source_doc AS doc, record_id AS line, pool, md5('29|' || source_doc || '|' || record_id) AS h FROM holdout WHERE journal IS NOT NULL),
+  FROM gold g LEFT JOIN a ON g.window_id = a.window_id AND g.value = a.value LEFT JOIN b ON g.window_id = b.window_id AND g.value = b.value)
+SELECT b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) FROM range(0, least(b, c) + 1) t(i))) END, 9) AS p FROM d""",
+    "bootstrap_ci": f"""WITH {GOLD}, {_replicates({'': ''})}
+SELECT metric, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM (
+  SELECT unnest(['p', 'r', 'f1']) AS metric, unnest([{_rate3('')}]) AS v FROM reps) GROUP BY 1""",
+    "paired_bootstrap": f"""WITH {GOLD}, {_replicates({'_a': '', '_b': "WHERE lower(test_type) IN ('t', 'f')"})},
+d AS (SELECT unnest(['p', 'r', 'f1']) AS metric, unnest([{_rate3('_a')}]) - unnest([{_rate3('_b')}]) AS v FROM reps)
+SELECT metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high,
+  round(least(1, 2 * least(avg((v <= 0)::INT), avg((v >= 0)::INT))), 6) AS p FROM d GROUP BY 1""",
+    "missing_parts": f"""WITH r AS (SELECT lower(trim(coalesce(r.test_type, ''))) AS t, {_as_number('r.statistic')} AS s, {_as_number('r.df1')} AS d1, {_as_number('r.df2')} AS d2, r.p_operator AS op, {_as_number('r.p_value')} AS p FROM (SELECT unnest(results) AS r FROM holdout)),
+m AS (
+  SELECT unnest(list_filter([CASE WHEN t = '' THEN 'test_type' END, CASE WHEN s IS NULL THEN 'statistic' END, CASE WHEN d1 IS NULL AND t <> 'z' THEN 'df1' END,
+    CASE WHEN d2 IS NULL AND t = 'f' THEN 'df2' END, CASE WHEN p IS NULL THEN 'p_value' WHEN op IS NULL OR op NOT IN ('=', '<', '>') THEN 'p_operator' END], lambda x: x IS NOT NULL)) AS part
+  FROM r WHERE p IS NULL OR op IS NULL OR op NOT IN ('=', '<', '>', 'ns') OR s IS NULL OR d1 <= 0 OR d2 <= 0 OR t NOT IN ('t', 'r', 'z', 'f', 'chi2', 'q')
+    OR (t <> 'z' AND d1 IS NULL) OR (t = 'f' AND d2 IS NULL) OR (t = 'r' AND abs(s) >= 1))
+SELECT part, count(*) AS n FROM m GROUP BY 1""",
+    "pool_counts": f"""WITH RECURSIVE lines0 AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM lines0 GROUP BY 1),
+cut AS (SELECT doc_id, coalesce(min(CASE WHEN line >= floor(n * {R.REFERENCE_TAIL}) AND regexp_matches(value, '{HEADING}') THEN line END), max(n)) AS cut FROM lines0 JOIN n USING (doc_id) GROUP BY 1),
+ls AS (SELECT doc_id, line, CASE WHEN regexp_matches(value, '{_SAMPLED}') THEN '' ELSE value END AS value FROM lines0 JOIN cut USING (doc_id) WHERE line < cut),
+w AS (SELECT doc_id, line, value, regexp_replace(regexp_replace(string_agg(value, chr(10)) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), '{WS}+', ' ', 'g'), '^ | $', '', 'g') AS flat FROM ls),
+p AS (
+  SELECT CASE WHEN NOT (({DENSITY}) >= 0.2 AND regexp_matches(value, '[0-9]')) THEN 'C'
+    WHEN regexp_matches(value, '{_STAT}') THEN CASE WHEN regexp_matches(value, '{_STAT_N}') THEN 'AN' ELSE 'A' END
+    WHEN regexp_matches(value, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') AND regexp_matches(value, '{_TESTISH}') THEN 'B2'
+    WHEN regexp_matches(flat, '{_P}') AND NOT regexp_matches(flat, '{_STAT}') THEN 'B1' WHEN regexp_matches(value, '{_TESTISH}') THEN 'B2' END AS pool
+  FROM w WHERE length(value) >= 20)
+SELECT pool, count(*) AS n FROM p WHERE pool IS NOT NULL GROUP BY 1""",
+    "class_weights": f"""WITH {SPANS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY "start", "end", entity) AS k FROM spans),
+held AS (SELECT r.record_id, greatest(0, "start") AS a, least(length(text), "end") AS b, entity, k FROM ranked r JOIN holdout h USING (record_id) WHERE text IS NOT NULL),
+cells AS (SELECT record_id, unnest(range(a, b)) AS i, a, b, entity, k FROM held WHERE b > a),
+tags AS (SELECT CASE WHEN b - a = 1 THEN 'S' WHEN i = a THEN 'B' WHEN i = b - 1 THEN 'E' ELSE 'I' END || '-' || entity AS tag FROM cells QUALIFY row_number() OVER (PARTITION BY record_id, i ORDER BY k DESC) = 1),
+n AS (SELECT tag, count(*) AS n FROM tags GROUP BY 1 UNION ALL SELECT 'O', (SELECT sum(length(text)) FROM holdout) - (SELECT count(*) FROM tags)),
+every AS (SELECT unnest({list(R.TAGS)!r}) AS tag)
+SELECT e.tag, round(CASE WHEN e.tag = 'O' OR n IS NULL THEN 1.0 ELSE least(40.0, sqrt((SELECT sum(n) FROM n) / ({len(R.TAGS)} * n)::DOUBLE)) END, 6) AS weight FROM every e LEFT JOIN n ON n.tag = e.tag""",
+    "contract_violations": """WITH x AS (SELECT d.*, window_id IN (SELECT window_id FROM holdout) AS there FROM disputes d),
+c AS (SELECT unnest(candidates) AS r FROM x),
+p AS (
+  SELECT unnest(list_filter([CASE WHEN NOT there THEN 'record is not in the batch' END, CASE WHEN NOT there AND window_id IS NOT NULL THEN 'window_id differs' END,
+    CASE WHEN decision.keep IS NULL THEN 'contains_result is not boolean' END, CASE WHEN candidates IS NULL THEN 'results is not a list' END], lambda v: v IS NOT NULL)) AS problem FROM x
+  UNION ALL
+  SELECT unnest(list_filter([CASE WHEN r.p_operator IS NOT NULL AND trim(r.p_operator) NOT IN ('≤', 'le', '≥', 'ge', '=', '<', '>') THEN 'p_operator is not known' END,
+    CASE WHEN r.test_type IS NOT NULL AND lower(trim(r.test_type)) NOT IN ('t', 'r', 'z', 'f', 'q', 'chi2', 'chi²', 'chi-square', 'x2', 'χ2') THEN 'test_type is not known' END,
+    CASE WHEN r.damaged IS NULL THEN 'damaged is not boolean' END, CASE WHEN coalesce(r.confidence, '') NOT IN ('high', 'low') THEN 'confidence is not high or low' END,
+    CASE WHEN coalesce(r.quote, '') = '' THEN 'quote is empty' END], lambda v: v IS NOT NULL)) FROM c)
+SELECT problem, count(*) AS n FROM p GROUP BY 1""",
+    "rater_f1": f"""WITH r AS (SELECT record_id, i, results[i].raters AS raters, coalesce(results[i].block_span[2] > results[i].block_span[1], {_as_number('results[i].statistic')} IS NOT NULL) AS ok
+  FROM (SELECT record_id, results, unnest(range(1, len(results) + 1)) AS i FROM holdout)),
+names AS (SELECT DISTINCT unnest(raters) AS x FROM r),
+c AS (
+  SELECT a.x AS rater_a, b.x AS rater_b, count(*) FILTER (list_contains(raters, a.x) AND list_contains(raters, b.x) AND ok) AS tp,
+    count(*) FILTER (list_contains(raters, a.x)) AS na, count(*) FILTER (list_contains(raters, b.x)) AS nb FROM names a JOIN names b ON a.x < b.x, r GROUP BY 1, 2)
+SELECT rater_a, rater_b, tp, na - tp AS fp, nb - tp AS fn, round(CASE WHEN na + nb = 0 THEN 1 ELSE 2 * tp / (na + nb)::DOUBLE END, 6) AS f1 FROM c""",
+    "consensus_windows": f"""WITH {_consensus('rater')}
+SELECT dispute_id AS window_id, count(*) FILTER (members > 1)::INT AS kept, count(*) FILTER (members = 1 OR pending IS NOT NULL)::INT AS disputes,
+  coalesce(string_agg(tier, ',' ORDER BY first) FILTER (members > 1), '') AS tiers,
+  coalesce(string_agg(CASE WHEN members = 1 THEN 'singleton' ELSE 'field_conflict:' || pending END, ',' ORDER BY first) FILTER (members = 1 OR pending IS NOT NULL), '') AS "open" FROM judged GROUP BY 1""",
+    "settled_records": f"""WITH {_consensus('rater')},
+latest AS (SELECT dispute_id, arg_max(decision, (ingested_at, decision_id)) AS decision FROM disputes WHERE decision IS NOT NULL GROUP BY 1),
+s AS (
+  SELECT tier, dispute_id FROM judged WHERE members > 1 AND pending IS NULL
+  UNION ALL SELECT 'adjudicated', dispute_id FROM latest WHERE decision.keep AND decision.result IS NOT NULL AND dispute_id IN (SELECT dispute_id FROM judged WHERE members = 1 OR pending IS NOT NULL))
+SELECT tier, count(*) AS n, count(DISTINCT dispute_id) AS windows FROM s GROUP BY 1""",
+    "field_agreement": f"""WITH {_consensus('model_alias')},
+full_ AS (SELECT dispute_id, cluster FROM judged WHERE members = (SELECT count(*) FROM panel)),
+g AS (SELECT m.* FROM members m JOIN full_ USING (dispute_id, cluster)),
+l AS (SELECT unnest(['test_type', 'p_operator', 'damaged']) AS field, unnest([test_type, p_operator, damaged::VARCHAR]) AS label, dispute_id, cluster FROM g),
+k AS (SELECT field, dispute_id, cluster, label, count(*) AS k FROM l WHERE label IS NOT NULL GROUP BY ALL),
+u AS (SELECT field, dispute_id, cluster, sum(k) AS m FROM k GROUP BY ALL HAVING sum(k) > 1),
+o AS (SELECT field, sum(k) AS n, sum(k * (k - 1) / (m - 1)::DOUBLE) AS o FROM k JOIN u USING (field, dispute_id, cluster) GROUP BY 1),
+e AS (SELECT field, sum(t * (t - 1)) AS e FROM (SELECT field, label, sum(k) AS t FROM k JOIN u USING (field, dispute_id, cluster) GROUP BY 1, 2) GROUP BY 1),
+v AS (SELECT unnest(['statistic', 'df1', 'df2', 'n', 'p_value']) AS field, unnest([n_statistic, n_df1, n_df2, n_n, n_p_value]) AS value, dispute_id, cluster FROM g),
+w AS (SELECT field, dispute_id, cluster, count(DISTINCT coalesce(value::VARCHAR, '∅')) = 1 AS same FROM v GROUP BY ALL)
+SELECT f.field, NULL::BIGINT AS groups, round(CASE WHEN n > 1 THEN CASE WHEN e = n * (n - 1) THEN 1 ELSE 1 - (1 - o / n) / (1 - e / (n * (n - 1))::DOUBLE) END END, 6) AS agreement
+FROM (SELECT unnest(['test_type', 'p_operator', 'damaged']) AS field) f LEFT JOIN o USING (field) LEFT JOIN e USING (field)
+UNION ALL SELECT f.field, (SELECT count(*) FROM w WHERE w.field = f.field), (SELECT round(avg(same::INT), 6) FROM w WHERE w.field = f.field) FROM (SELECT unnest(['statistic', 'df1', 'df2', 'n', 'p_value']) AS field) f""",
+    "report_rows": ONLINE + """SELECT doc_id, to_json(list(struct_pack(line := line, test_type := test, statistic := stat, verdict := verdict) ORDER BY line, test, stat, verdict))::VARCHAR AS report FROM judged GROUP BY 1""",
+    "stratified_sample": """WITH w AS (SELECT source_doc AS doc, record_id AS line, pool, md5('29|' || source_doc || '|' || record_id) AS h FROM holdout),
 p AS (SELECT *, row_number() OVER (PARTITION BY pool, doc ORDER BY h, line) AS n FROM w QUALIFY n <= 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY h, doc, line) AS r FROM p)
 SELECT doc, line, pool FROM r WHERE r <= CASE pool WHEN 'A' THEN 60 WHEN 'AN' THEN 40 WHEN 'B1' THEN 300 WHEN 'B2' THEN 450 WHEN 'C' THEN 150 END""",
@@ -299,7 +607,7 @@ SELECT doc, line, pool FROM r WHERE r <= CASE pool WHEN 'A' THEN 18 WHEN 'AN' TH
 r AS (SELECT source_doc, row_number() OVER (ORDER BY md5('0|' || source_doc), source_doc) AS r, count(*) OVER () AS n FROM d)
 SELECT source_doc, CASE WHEN r <= round(n * 0.15) THEN 'dev' ELSE 'train' END AS split FROM r""",
     "window_ids": "SELECT record_id, substr(sha1(source_doc || source_line::VARCHAR), 1, 10) AS wid, 'ho' || substr(sha1(source_doc || source_line::VARCHAR), 1, 8) AS hid FROM holdout",
-    "batch_ids": "SELECT decision_id, n // 20 AS batch_id, n % 20 AS pos FROM (SELECT decision_id, row_number() OVER (ORDER BY decision_id) - 1 AS n FROM disputes)",
+    "batch_ids": "SELECT decision_id, dispute_id, candidates, n // 20 AS batch_id, n % 20 AS pos FROM (SELECT decision_id, dispute_id, len(candidates) AS candidates, row_number() OVER (ORDER BY decision_id) - 1 AS n FROM disputes)",
     "char_vocab": """WITH c AS (SELECT unnest([text[i] FOR i IN range(1, length(text) + 1)]) AS ch FROM holdout), k AS (SELECT ch, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 3)
 SELECT hex(ch) AS code, n, row_number() OVER (ORDER BY ch) + 1 AS id FROM k""",
     "dataset_counts": """SELECT "set", count(*) AS windows, count(DISTINCT source_doc) AS documents, sum(len(results))::BIGINT AS results, count(*) FILTER (contains_result) AS with_result FROM holdout GROUP BY 1""",

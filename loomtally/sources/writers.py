@@ -21,7 +21,8 @@ def report_json(results: DataFrame, key: str = "doc_id") -> DataFrame:
 def result_line(r: Column | None = None) -> Column:
     """A result as a line for people: place, test, p, recomputed p, verdict, source."""
     col = (lambda c: r[c]) if r is not None else F.col
-    num = lambda c: F.coalesce(F.when(col(c) == F.floor(col(c)), col(c).cast("long").cast("string")).otherwise(col(c).cast("string")), F.lit("NA"))
+    plain = lambda x: F.regexp_replace(F.format_string("%.12f", x), r"0+$", "")  # noqa: E731 - no exponents
+    num = lambda c: F.coalesce(F.when(col(c) == F.floor(col(c)), col(c).cast("long").cast("string")).when(col(c).isNotNull(), plain(col(c))), F.lit("NA"))
     name = F.coalesce(col("test_type"), F.lit("?"))
     df = F.when(col("df1").isNull(), F.lit("")).when(col("df2").isNull(), F.concat(F.lit("("), num("df1"), F.lit(")"))).otherwise(F.concat(F.lit("("), num("df1"), F.lit(", "), num("df2"), F.lit(")")))
     p = F.when(col("computed_p").isNull(), F.lit("NA")).otherwise(F.format_string("%.4f", col("computed_p")))
@@ -85,8 +86,10 @@ def number(value, style: str | None = None) -> str:
 
 
 def table_markdown(rows: DataFrame, most: int = 1000) -> str:
-    """A small aggregate as a Markdown table: a report's row limit, not a sample."""
-    got = rows.limit(most).collect()
+    """A small aggregate as a Markdown table; more than ``most`` rows are an error, never cut."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a report's table has more than {most} rows")
     if not got:
         return "(no rows)"
     head = rows.columns

@@ -3,11 +3,11 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomtally.operators import annotate, evaluate, sample
-from loomtally.plans import catalog
 
 
 def _ratings(spark, rows):
@@ -102,22 +102,47 @@ def test_wilson_and_mcnemar(spark):
 
 
 def test_resampling(spark):
-    df = spark.createDataFrame([(f"d{i}", 2, 1, i % 3) for i in range(30)], "source_doc string, tp int, fp int, fn int")
-    reps = evaluate.replicates(df, "source_doc", ["tp", "fp", "fn"], 300, 1)
-    assert reps.count() == 300 and reps.agg(F.min("tp"), F.max("tp")).first()[:] == (60.0, 60.0)
-    again = evaluate.replicates(df, "source_doc", ["tp", "fp", "fn"], 300, 1)
+    df = spark.createDataFrame([(f"d{i}", 2, 1, i % 3) for i in range(300)], "source_doc string, tp int, fp int, fn int")
+    reps = evaluate.replicates(df, "source_doc", ["tp", "fp", "fn"], 400, 1)
+    assert reps.count() == 400
+    again = evaluate.replicates(df.repartition(7), "source_doc", ["tp", "fp", "fn"], 400, 1)
     assert sorted(map(tuple, reps.collect())) == sorted(map(tuple, again.collect()))
     d = evaluate.paired_difference(reps, F.col("tp"), F.col("tp")).first()
     assert d["mean"] == 0 and d["p"] == 1
-    i = evaluate.percentile_interval(reps, F.col("fn")).first()
-    assert 15 < i["low"] < 30 < i["high"] < 45
-
-
-def test_poisson_resampling_beyond_the_bound(spark, monkeypatch):
-    monkeypatch.setattr(evaluate, "MOST_UNITS", 5)
-    df = spark.createDataFrame([(f"d{i}", 1) for i in range(400)], "u string, x int")
-    r = evaluate.replicates(df, "u", ["x"], 50).agg(F.avg("x")).first()[0]
-    assert 390 < r < 410
+    r = reps.agg(F.avg("tp"), F.stddev("tp")).first()
+    assert r[0] == pytest.approx(600, rel=0.02) and r[1] == pytest.approx(2 * 300**0.5, rel=0.15)
+    assert evaluate.replicates(df.limit(0), "source_doc", ["tp"], 10).count() == 0
+
+
+def test_intervals_are_those_of_a_brute_bootstrap(spark):
+    """Documents redrawn one by one give the same interval, few documents or many."""
+    rng = np.random.default_rng(5)
+    for n in (120, 9000):
+        rows = [(f"doc{i}", int(rng.poisson(3)), int(rng.poisson(0.4)), int(rng.poisson(0.8))) for i in range(n)]
+        df = spark.createDataFrame(rows, "source_doc string, tp int, fp int, fn int")
+        reps = evaluate.replicates(df, "source_doc", ["tp", "fp", "fn"], 1000).select("rep", *evaluate.rates(F.col("tp"), F.col("fp"), F.col("fn")))
+        low, high = evaluate.percentile_interval(reps, F.col("f1")).first()
+        m = np.array([r[1:] for r in rows])
+        sums = np.array([m[rng.integers(0, n, n)].sum(axis=0) for _ in range(1000)])
+        want = np.quantile(2 * sums[:, 0] / (2 * sums[:, 0] + sums[:, 1] + sums[:, 2]), [0.025, 0.975])
+        assert high - low == pytest.approx(want[1] - want[0], rel=0.2)
+        assert low == pytest.approx(want[0], abs=0.15 * (want[1] - want[0])) and high == pytest.approx(want[1], abs=0.15 * (want[1] - want[0]))
+
+
+def test_false_alarms_belong_to_their_documents(spark):
+    g = spark.createDataFrame([("w1", 1.0, "d1")], "window_id string, value double, source_doc string")
+    f = spark.createDataFrame([("w1", 1.0), ("w1", 2.0), ("w2", 3.0), ("w9", 4.0)], "window_id string, value double")
+    docs = spark.createDataFrame([("w1", "d1"), ("w2", "d2")], "window_id string, source_doc string")
+    got = {r["source_doc"]: (r["tp"], r["fp"], r["fn"]) for r in evaluate.document_counts(evaluate.facts(g, f, docs)).collect()}
+    assert got == {"d1": (1, 1, 0), "d2": (0, 1, 0), None: (0, 1, 0)}
+
+
+def test_paired_scores(spark):
+    docs = spark.createDataFrame([(f"w{i}", f"d{i}") for i in range(200)], "window_id string, source_doc string")
+    g = docs.select("window_id", F.lit(1.0).alias("value"), "source_doc")
+    all_, half = g.select("window_id", "value"), g.where("hash(window_id) % 2 = 0").select("window_id", "value")
+    got = {r["metric"]: r for r in evaluate.paired_f1(evaluate.facts(g, all_, docs), evaluate.facts(g, half, docs), 300).collect()}
+    assert got["r"]["low"] < 0.5 < got["r"]["high"] and got["f1"]["p"] == 0 and got["p"]["mean"] == 0
 
 
 def test_samples_and_splits(spark):
@@ -139,16 +164,43 @@ def test_batches(spark):
     assert [(r["batch_id"], r["pos"]) for r in b] == [(i // 20, i % 20) for i in range(45)]
 
 
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_batches_lose_no_wide_row(spark, parts):
+    n = 30_000
+    wide = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("a"), F.repeat(F.md5(F.col("id").cast("string")), 6).alias("b"))
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = sample.batches(wide, "k").select("k", (F.col("batch_id") * 20 + F.col("pos")).alias("n"), "a", "b")
+        assert got.where("k = n AND length(a) = 256 AND length(b) = 192").select("k").distinct().count() == n == got.count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_batches_of_ties_nulls_and_nothing(spark):
+    df = spark.createDataFrame([(k,) for k in (None, 3, 3, 3, 1, None)], "k int")
+    got = sample.batches(df, "k", 4).orderBy("batch_id", "pos").collect()
+    assert [(r["k"], r["batch_id"], r["pos"]) for r in got] == [(None, 0, 0), (None, 0, 1), (1, 0, 2), (3, 0, 3), (3, 1, 0), (3, 1, 1)]
+    assert sample.batches(df.limit(0), "k").count() == 0
+
+
 def test_augmentation_keeps_labels_aligned(spark):
-    text = "see t(23) = -2.45, p < .05 here"
+    text = "see t(23) = -2.45, p < .05 here, colour of 10 cl"
     spans = [(4, 5, "TEST"), (6, 8, "DF1"), (12, 17, "STAT"), (21, 22, "POP_LT"), (23, 26, "PVAL")]
     e = spark.createDataFrame([("w", text, spans)], "window_id string, text string, spans array<struct<start:int,end:int,entity:string>>")
-    a = sample.augment(e, ("operator", "number", "ocr", "unicode", "break"))
+    h = spark.createDataFrame([("n1", "means were M = 2.10 (SD = 0.4)", []), ("n2", "plain words", None), ("n3", "t(3) = 2, p = .04", ["x"])], "window_id string, text string, results array<string>")
+    a = sample.augment(e, negatives=sample.hard_negatives(h))
     assert sample.misaligned(a).count() == 0
     got = {r["kind"]: r for r in a.collect()}
-    op = next(s for s in got["operator"]["spans"] if s["entity"] == "POP_LT")
-    assert got["operator"]["text"][op["start"] : op["end"]] in sample.OPERATOR_DAMAGE["POP_LT"]
-    assert got["negative"]["spans"] == [] and [r["text"] for r in a.collect()] == [r["text"] for r in sample.augment(e, ("operator", "number", "ocr", "unicode", "break")).collect()]
+    assert set(got) == {*sample.KINDS, "negative"} and got["negative"]["window_id"] == "n1" and got["negative"]["spans"] == []
+    for kind, signs in (("operator", sample.OPERATOR_DAMAGE["POP_LT"]), ("engine", sum(sample.ENGINE_ALPHABETS.values(), ()))):
+        op = next(s for s in got[kind]["spans"] if s["entity"] == "POP_LT")
+        assert got[kind]["text"][op["start"] : op["end"]] in signs
+    import random
+
+    noisy, moved = sample.perturbed(text, [tuple(x) for x in spans], "ocr", random.Random(1), 1.0)
+    assert noisy.endswith("co1our of lO c1") and [noisy[a:b] for a, b, _ in moved] == [text[a:b] for a, b, _ in spans]
+    again = sample.augment(e.repartition(3), negatives=sample.hard_negatives(h)).collect()
+    assert sorted((r["kind"], r["text"]) for r in again) == sorted((r["kind"], r["text"]) for r in a.collect())
 
 
 def test_weights_and_ledger(spark):
@@ -207,10 +259,19 @@ def test_mcnemar_on_whole_counts(spark):
         assert r["p"] == pytest.approx(min(1.0, float(Fraction(whole, 2**n))), rel=1e-9, abs=1e-300)
 
 
-def test_registered_mcnemar_has_no_cap(spark, small):
-    r = catalog.QUERIES["mcnemar_exact"](spark, small).first()
-    n, k = r["b"] + r["c"], min(r["b"], r["c"])
-    assert r["p"] == pytest.approx(min(1.0, float(Fraction(2 * sum(math.comb(n, i) for i in range(k + 1)), 2**n))), rel=1e-9, abs=1e-300)
+def test_fleiss_by_panel(spark):
+    rows = [(i, f"r{k}", "ab"[(i + k) % 2 if i % 3 == 0 else 0]) for i in range(12) for k in range(2 + i % 2)] + [(99, "r0", "a")]
+    got = {r["raters"]: r for r in annotate.fleiss_by_panel(_ratings(spark, rows)).collect()}
+    for m in (2, 3):
+        only = _ratings(spark, [r for r in rows if r[0] != 99 and 2 + r[0] % 2 == m])
+        assert got[m]["kappa"] == pytest.approx(annotate.fleiss_kappa(only).first()["kappa"]) and got[m]["subjects"] == 6
+
+
+def test_against_final(spark):
+    r = spark.createDataFrame([(1, "a", True), (2, "a", False), (3, "a", True), (1, "b", False), (9, "b", True)], "item int, rater string, label boolean")
+    f = spark.createDataFrame([(1, True), (2, True), (3, False)], "item int, label boolean")
+    got = {x["rater"]: (x["items"], x["same"], x["only_rater"], x["only_final"]) for x in annotate.against_final(r, f).collect()}
+    assert got == {"a": (3, 1, 1, 1), "b": (1, 0, 0, 1)}
 
 
 def test_consensus_of_more_than_three():
@@ -220,11 +281,3 @@ def test_consensus_of_more_than_three():
     assert tier(r, r, r, r, x)["tier"] == "majority" and tier(x, r, x, r, r)["df1"] == "20"
     assert tier(r, r, x, x)["pending_field"] == "df1" and tier(r, r, x, x, y)["pending_field"] == "df1" and tier(r, r, x, y)["df1"] == "20"
     assert tier(r, x)["pending_field"] is None and tier(r, x)["df1"] == "20"
-
-
-def test_every_candidate_is_a_rater(spark, small):
-    c = spark.read.parquet(f"{small}/disputes.parquet").groupBy("dispute_id").agg(F.min_by("candidates", "decision_id").alias("cs")).select(F.size("cs").alias("n"))
-    total, most = c.where("n > 0").agg(F.sum("n"), F.max("n")).first()
-    assert most > 3 and catalog._by_rater(spark, small).count() == total
-    pairs = {(r["rater_a"], r["rater_b"]) for r in catalog.QUERIES["rater_f1"](spark, small).collect()}
-    assert ("r0", f"r{most - 1}") in pairs

@@ -64,10 +64,7 @@ def test_extract_order_and_cover():
 def test_native_equals_udf(spark, small):
     h = spark.read.parquet(f"{small}/holdout.parquet").select("record_id", "text")
     udf = extract.iter_extractions(h).select("record_id", "extraction.test_type", "extraction.raw", "extraction.statistic", "extraction.p_value")
-    native = None
-    for f in extract.FAMILIES:
-        part = extract.extract_native(h, f).select("record_id", "test_type", "raw", "statistic", "p_value")
-        native = part if native is None else native.unionByName(part)
+    native = extract.extract_native(h).select("record_id", "test_type", "raw", "statistic", "p_value")
     assert sorted(map(tuple, udf.collect())) == sorted(map(tuple, native.collect()))
 
 
