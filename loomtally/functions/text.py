@@ -6,7 +6,7 @@ projection without a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtally.functions import rules as R
@@ -166,6 +166,22 @@ def fixed_windows(ls: Column, around: int = R.CONTEXT_LINES) -> Column:
     return F.transform(kept, window)
 
 
+def window_spans(df: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, line, start, end): where in the text the grown window around each kept line stands.
+
+    Offsets are running sums over the table of lines, so a long text is no square of its lines. A window's
+    text differs from that stretch only where references in it were blanked.
+    """
+    w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    n = df.select(key, F.posexplode(lines(F.col(body))).alias("i", "value")).select(key, "i", F.length("value").alias("n"))
+    at = n.withColumn("at", F.coalesce(F.sum(F.col("n") + 1).over(w), F.lit(0)))
+    grown = with_grown_windows(df.select(key, body), body).select(key, F.explode("windows").alias("w"))
+    grown = grown.select(key, "w.line", F.col("w.start_line").alias("_a"), F.col("w.end_line").alias("_b"))
+    first = at.select(key, F.col("i").alias("_a"), F.col("at").alias("start"))
+    last = at.select(key, F.col("i").alias("_b"), (F.col("at") + F.col("n")).alias("end"))
+    return grown.join(first, [key, "_a"]).join(last, [key, "_b"]).select(key, "line", "start", "end")
+
+
 # What the sampler's pools look for.
 _EDGE = r"(?<![\p{L}\p{N}_])"
 SAMPLE_STAT = (

@@ -318,6 +318,12 @@ def violations(batch: DataFrame, output: DataFrame) -> DataFrame:
     return first.unionByName(each.select("pos", F.explode(inner).alias("problem")))
 
 
+def key_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, side): keys that only the first ("missing" in the second) or only the second ("extra") has."""
+    missing = a.select(key).distinct().join(b.select(key), key, "left_anti").select(key, F.lit("missing").alias("side"))
+    return missing.unionByName(b.select(key).distinct().join(a.select(key), key, "left_anti").select(key, F.lit("extra").alias("side")))
+
+
 def collected(batch: DataFrame, output: DataFrame, provenance: dict[str, str]) -> DataFrame:
     """Output rows with types and operators in one form, quotes aligned and provenance stamped."""
     from loomtally.operators.extract import align_udf

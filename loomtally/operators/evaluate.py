@@ -52,6 +52,14 @@ def facts(gold_rows: DataFrame, found: DataFrame, documents: DataFrame | None =
     return j.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_gold", "in_found")})
 
 
+def union_of(*systems: DataFrame) -> DataFrame:
+    """(window_id, value) that any of the systems found."""
+    out = systems[0].select("window_id", "value")
+    for s in systems[1:]:
+        out = out.unionByName(s.select("window_id", "value"))
+    return out.distinct()
+
+
 def rates(tp: Column, fp: Column, fn: Column) -> list[Column]:
     """Precision, recall and F1; 0 where undefined."""
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))

@@ -109,12 +109,28 @@ def batches(rows: DataFrame, order: str, size: int = 20) -> DataFrame:
     return d.withColumn("batch_id", F.floor(F.col("_n") / size).cast("long")).withColumn("pos", (F.col("_n") % size).cast("int")).drop("_p", "_i", "_before", "_n")
 
 
-def blind_order(disputes: DataFrame, seed: int = 0) -> DataFrame:
+def blind_order(disputes: DataFrame, seed: int = 0, key: str = "dispute_id") -> DataFrame:
     """Candidates of every dispute in a seeded order, so that a rater cannot tell whose they are."""
-    keyed = F.transform("candidates", lambda c, i: F.struct(F.xxhash64(F.lit(seed), F.col("dispute_id"), i).alias("h"), c.alias("c")))
+    h = lambda i: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string")))
+    keyed = F.transform("candidates", lambda c, i: F.struct(h(i).alias("h"), i.alias("i"), c.alias("c")))
     return disputes.withColumn("candidates", F.transform(F.array_sort(keyed, lambda a, b: F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).otherwise(0)), lambda x: x["c"]))
 
 
+def run_table(runs: DataFrame, export: DataFrame, scores: DataFrame, name: str = "name") -> DataFrame:
+    """Every run with its export record and its scores where it has them; columns met again take the
+    table's prefix."""
+    out = runs
+    for prefix, other in (("export", export), ("score", scores)):
+        out = out.join(other.select(name, *(F.col(c).alias(f"{prefix}_{c}" if c in out.columns else c) for c in other.columns if c != name)), name, "left")
+    return out
+
+
+def first_seeds(runs: DataFrame, score: str = "f1", k: int | None = None) -> DataFrame:
+    """Runs of seed 0, the best score first and names in order; the best ``k`` for curves (a top-k report)."""
+    out = runs.where("seed = 0").orderBy(F.desc_nulls_last(score), "name")
+    return out if k is None else out.limit(k)
+
+
 def vocabulary(texts: DataFrame, body: str = "text", least: int = 3) -> DataFrame:
     """(char, n, id): characters seen ``least`` times, by code point, ids from 2."""
     c = texts.where(F.col(body) != "").select(F.explode(F.split(body, "")).alias("char")).groupBy("char").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)

@@ -114,6 +114,25 @@ class Recurrent:
         return x @ self.out[0].T + self.out[1]
 
 
+class Convolutional:
+    """Stacked dilated convolutions over characters, same length out as in, from a weights artifact
+    (each layer's W is [out, in, width], its dilation beside it)."""
+
+    def __init__(self, artifact: dict):
+        self.embedding = _array(artifact["embedding"])
+        self.layers = [(_array(e["W"]), _array(e["b"]), int(e["dilation"])) for e in artifact["convs"]]
+        self.out = _array(artifact["out"]["W"]), _array(artifact["out"]["b"])
+
+    def logits(self, ids: np.ndarray) -> np.ndarray:
+        x = self.embedding[ids]
+        for w, b, dilation in self.layers:
+            width, n = w.shape[2], x.shape[1]
+            side = dilation * (width // 2)
+            padded = np.pad(x, ((0, 0), (side, side), (0, 0)))
+            x = np.maximum(0, b + sum(padded[:, k * dilation : k * dilation + n] @ w[:, :, k].T for k in range(width)))
+        return x @ self.out[0].T + self.out[1]
+
+
 class Tagger:
     """Windows to tags: a scorer, a character map and a decoder (argmax, or Viterbi with transitions)."""
 
@@ -162,7 +181,8 @@ def load(folder: str) -> Tagger:
     chars = json.loads((at / "charmap.json").read_text(encoding="utf-8"))["chars"]
     if (at / "weights.json").exists():
         artifact = json.loads((at / "weights.json").read_text(encoding="utf-8"))
-        return Tagger(Recurrent(artifact), chars, artifact.get("crf"))
+        scorer = Convolutional if artifact.get("unit") == "cnn" else Recurrent
+        return Tagger(scorer(artifact), chars, artifact.get("crf"))
     if not (at / "tagger.onnx").exists():
         raise FileNotFoundError(f"{folder} holds neither weights.json nor tagger.onnx")
     d = json.loads((at / "decoder.json").read_text(encoding="utf-8"))

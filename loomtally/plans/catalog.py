@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from loomtally.functions import rules as R
 from loomtally.operators import annotate, evaluate, extract, repair, sample
 from loomtally.plans import online
 from loomtally.plans.oracle import SQL  # noqa: F401 - part of this module's interface
-from loomtally.session import spread, table
+from loomtally.session import shared_folder, spread, table
 from loomtally.sources import readers, writers
 
 QUERIES: dict = {}
@@ -651,3 +653,126 @@ def repair_report(spark: SparkSession, d: str) -> DataFrame:
 def result_lines(spark: SparkSession, d: str) -> DataFrame:
     r = online.results(spread(table(spark, d, "documents")))
     return r.select("doc_id", "line", writers.result_line().alias("text"))
+
+
+@query
+def window_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where in its document every window stands."""
+    return text.window_spans(spread(table(spark, d, "documents")).select("doc_id", "text"), "doc_id", "text")
+
+
+@query
+def cascade_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Checker rows before labelled results: per window, what each adds."""
+    a = table(spark, d, "statcheck_repaired").select("window_id", F.col("test_value").alias("value"), F.col("row_id").alias("seq"))
+    h = table(spark, d, "holdout").select("window_id", "record_id", F.posexplode("results").alias("k", "r"))
+    b = h.select("window_id", numbers.as_number(F.col("r.statistic")).alias("value"), (F.col("record_id") * 1000 + F.col("k")).alias("seq"))
+    return online.cascade_counts(online.cascade(a, b))
+
+
+@query
+def score_union(spark: SparkSession, d: str) -> DataFrame:
+    """Three systems together, each for some kinds of test, over all windows any of them knows."""
+    union = evaluate.union_of(*(_found(spark, d, kinds) for kinds in (("t", "r"), ("f",), ("z", "chi2"))))
+    s = evaluate.score(evaluate.facts(_gold(spark, d), union))
+    return s.select("bucket", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("p", "r", "f1")))
+
+
+@query
+def window_differences(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.key_difference(table(spark, d, "disputes"), table(spark, d, "statcheck_repaired"), "window_id")
+
+
+@query
+def open_disputes(spark: SparkSession, d: str) -> DataFrame:
+    """Disputes that the raters' consensus leaves open, with the decisions known so far."""
+    open_ = annotate.disputes(annotate.consensus(*_decided(spark, d, "rater")), "x")
+    x = table(spark, d, "disputes").where("decision IS NOT NULL")
+    latest = x.groupBy(F.concat(F.lit("x-"), "dispute_id", F.lit("-0")).alias("dispute_id")).agg(F.max_by("decision", F.struct("ingested_at", "decision_id")).alias("decision"))
+    return annotate.audit(open_, latest).select("dispute_id", "kind", "field", F.size("candidates").alias("candidates"), F.array_join("raters", ",").alias("raters"), "resolved")
+
+
+@query
+def blind_candidates(spark: SparkSession, d: str) -> DataFrame:
+    b = sample.blind_order(table(spark, d, "disputes"), 5, "decision_id")
+    return b.select("decision_id", F.posexplode("candidates").alias("place", "c")).select("decision_id", "place", "c.statistic", "c.p_value")
+
+
+@query
+def split_rows(spark: SparkSession, d: str) -> DataFrame:
+    h = table(spark, d, "holdout").select("record_id", "source_doc")
+    return sample.apply_splits(h, sample.split_documents(h)).select("record_id", "split")
+
+
+@query
+def ledger_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Decided rows as a ledger, all rows as its additions: the latest per dispute stays."""
+    x = table(spark, d, "disputes").select(F.col("dispute_id").alias("name"), F.struct("ingested_at", "decision_id").alias("started"), "kind", F.col("decision.keep").alias("keep"))
+    u = sample.upserted(x.where("keep IS NOT NULL"), x)
+    return u.select("name", F.col("started.decision_id").alias("decision_id"), "kind", "keep")
+
+
+@query
+def tags_and_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled spans written as character tags and read back."""
+    s = _spans(spark, d).groupBy("record_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "entity"))).alias("spans"))
+    t = table(spark, d, "holdout").select("record_id", "text").join(s, "record_id").select("record_id", extract.spans_udf(sample.tags_udf("text", "spans")).alias("spans"))
+    return t.select("record_id", F.explode("spans").alias("s")).select("record_id", "s.start", "s.end", "s.entity")
+
+
+# ---- files and streams: written to the shared folder and read back --------------------------------
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query
+def jsonl_files(spark: SparkSession, d: str) -> DataFrame:
+    """Windows as ordered JSON lines and back."""
+    at = _folder(spark)
+    writers.write_json_lines(table(spark, d, "holdout").select("record_id", "journal", "text", "source_line"), at, "record_id")
+    r = readers.json_lines(spark, at, schema="record_id long, journal string, text string, source_line int")
+    return r.select("record_id", "journal", F.sha2("text", 256).alias("sha256"), "source_line")
+
+
+@query
+def jsonl_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """JSON lines of which those without a journal were cut in the middle: read rows and bad lines."""
+    at = _folder(spark)
+    line = F.to_json(F.struct("record_id", "journal", "text"))
+    table(spark, d, "holdout").select(F.when(F.col("journal").isNull(), F.substring(line, 1, 30)).otherwise(line).alias("value")).write.text(at)
+    rows, bad = readers.json_quarantined(spark, at, schema="record_id long, journal string, text string")
+    return rows.select("journal").unionByName(bad.select(F.lit("(bad line)").alias("journal"))).groupBy("journal").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def checker_files(spark: SparkSession, d: str) -> DataFrame:
+    """The external checker's rows as CSV and back, with the distinct values of every window."""
+    at = _folder(spark)
+    b = table(spark, d, "statcheck_repaired").drop("row_id")
+    b.write.csv(at, header=True, escape='"', nullValue="NA", emptyValue="")
+    v = readers.checker_values(readers.checker_csv(spark, at))
+    return v.select("window_id", F.size("values").alias("n"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
+
+@query
+def text_files(spark: SparkSession, d: str) -> DataFrame:
+    """Test passages as text files, one each, read as a corpus, hashed and checked against a manifest."""
+    at = _folder(spark)
+    items = table(spark, d, "eval_items").select("text", F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("name"))
+    items.repartition("name").write.partitionBy("name").text(at)
+    texts = readers.text_corpus(spark, at).select(F.regexp_extract("journal", "item-([0-9]+)$", 1).cast("long").alias("item_id"), F.length("text").alias("chars"))
+    m = writers.manifest(spark, at).where("path LIKE '%.txt'").select(F.regexp_extract("path", "item-([0-9]+)", 1).cast("long").alias("item_id"), "sha256")
+    return texts.join(m, "item_id")
+
+
+@query
+def streamed_results(spark: SparkSession, d: str) -> DataFrame:
+    """The online path over the documents as a stream."""
+    from loomtally.streaming import online as streaming
+
+    at = _folder(spark)
+    docs = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents.parquet*").select("doc_id", "text")
+    streaming.write_results(streaming.results_stream(docs), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    r = spark.read.parquet(f"{at}/out")
+    return r.groupBy("test_type", "verdict").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))

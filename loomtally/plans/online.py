@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtally.functions import numbers, tails, text
@@ -102,6 +102,24 @@ def stages(docs: DataFrame, options: Options = Options(), key: str = "doc_id", b
     return f.select(key, "lines", "windows", F.coalesce("repair.replacements", F.lit(0)).alias("replacements"), F.col("repair.rule").alias("repair_rule"), by("pattern").alias("by_pattern"), by("model").alias("by_model"))
 
 
+def cascade(pattern: DataFrame, model: DataFrame, passage: str = "window_id", value: str = "value", order: str = "seq") -> DataFrame:
+    """(passage, value, source, added): findings of two systems put together per passage, the pattern's
+    first. A finding counts once per value (three decimals of four); a pattern's finding without a value
+    counts once, a model's never. ``added`` is false for a model's finding that adds nothing."""
+    both = pattern.select(passage, value, order, F.lit("pattern").alias("source")).unionByName(model.select(passage, value, order, F.lit("model").alias("source")))
+    both = both.withColumn("_k", F.round(F.round(F.col(value), 4), 3) + F.lit(0.0))
+    rank = F.struct((F.col("source") == "model").alias("m"), F.col(order).alias("o"))
+    first = F.row_number().over(Window.partitionBy(passage, "_k").orderBy(rank)) == 1
+    out = both.withColumn("added", first & ((F.col("source") == "pattern") | F.col("_k").isNotNull()))
+    return out.where((F.col("source") == "model") | F.col("added")).select(passage, value, "source", "added")
+
+
+def cascade_counts(found: DataFrame, passage: str = "window_id") -> DataFrame:
+    """(passage, pattern, model_added, model_duplicate) of a cascade."""
+    model = F.col("source") == "model"
+    return found.groupBy(passage).agg(F.count_if(~model).alias("pattern"), F.count_if(model & F.col("added")).alias("model_added"), F.count_if(model & ~F.col("added")).alias("model_duplicate"))
+
+
 def verdict_counts(res: DataFrame, key: str = "doc_id") -> DataFrame:
     kinds = ("consistent", "inconsistent", "decision_error", "undecidable")
     return res.groupBy(key).agg(*(F.count_if(F.col("verdict") == k).alias(k) for k in kinds), F.count(F.lit(1)).alias("results"))

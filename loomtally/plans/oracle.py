@@ -498,6 +498,15 @@ SELECT cluster, CASE WHEN votes > 1 OR n <> 3 THEN raw END AS value, votes FROM
     CASE WHEN in_gold THEN 'test:' || coalesce(nullif(test_type, ''), 'unknown') END, CASE WHEN in_gold AND family IS NOT NULL THEN 'damage:' || family END,
     CASE WHEN in_gold AND checkable THEN 'checkable' END] IF x IS NOT NULL]) AS bucket, in_gold, in_found FROM fact),
 c AS (SELECT bucket, count(*) FILTER (in_gold AND in_found) AS tp, count(*) FILTER (NOT in_gold) AS fp, count(*) FILTER (NOT in_found) AS fn FROM b GROUP BY 1)
+SELECT bucket, tp, fp, fn, {_RATES} FROM c""",
+    "score_union": f"""WITH {GOLD}, parted AS (SELECT DISTINCT window_id, round(test_value, 4) AS value FROM statcheck_repaired WHERE lower(test_type) IN ('t', 'r', 'f', 'z', 'chi2')),
+part AS (
+  SELECT g.window_id IS NOT NULL AS in_gold, f.window_id IS NOT NULL AS in_found, damaged, test_type, checkable, family FROM gold g FULL JOIN parted f ON g.window_id = f.window_id AND g.value = f.value),
+b AS (
+  SELECT unnest([x FOR x IN ['overall', CASE WHEN in_gold THEN CASE WHEN damaged THEN 'damaged' ELSE 'undamaged' END END,
+    CASE WHEN in_gold THEN 'test:' || coalesce(nullif(test_type, ''), 'unknown') END, CASE WHEN in_gold AND family IS NOT NULL THEN 'damage:' || family END,
+    CASE WHEN in_gold AND checkable THEN 'checkable' END] IF x IS NOT NULL]) AS bucket, in_gold, in_found FROM part),
+c AS (SELECT bucket, count(*) FILTER (in_gold AND in_found) AS tp, count(*) FILTER (NOT in_gold) AS fp, count(*) FILTER (NOT in_found) AS fn FROM b GROUP BY 1)
 SELECT bucket, tp, fp, fn, {_RATES} FROM c""",
     "score_spans": f"""WITH {SPANS}, g AS (SELECT DISTINCT record_id, "start", "end" FROM blocks), f AS (SELECT DISTINCT record_id, "start", "end" FROM hulls),
 c AS (SELECT count(*) FILTER (g.record_id IS NOT NULL AND f.record_id IS NOT NULL) AS tp, count(*) FILTER (g.record_id IS NULL) AS fp, count(*) FILTER (f.record_id IS NULL) AS fn
@@ -628,4 +637,29 @@ SELECT "both", missed, "only", round("both" / greatest(1, "both" + missed)::DOUB
   FROM (SELECT record_id, text, unnest(results) AS r, generate_subscripts(results, 1) - 1 AS seq FROM holdout))
 SELECT record_id, seq, coalesce(len(parts) > 0 AND len(list_filter(range(1, length(flat) + 1), lambda i: substr(flat, i, length(parts[1])) = parts[1]
   AND len(list_filter(parts, lambda p: NOT contains(substr(flat, i, 160), p))) = 0)) > 0, false) AS held FROM h""",
+    "window_offsets": STRIPPED + f", {_grown()}ends_at AS (SELECT doc_id, line, sum(length(value) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS e, length(value) AS n FROM lines)"
+    + """ SELECT p.doc_id, p.line, (a.e - a.n - 1)::BIGINT AS start, (b.e - 1)::BIGINT AS "end" FROM spot p JOIN ends_at a ON a.doc_id = p.doc_id AND a.line = p.lo JOIN ends_at b ON b.doc_id = p.doc_id AND b.line = p.hi - 1""",
+    "cascade_counters": f"""WITH u AS (
+  SELECT window_id, round(round(test_value, 4), 3) + 0.0::DOUBLE AS k, 0 AS m, row_id AS o FROM statcheck_repaired
+  UNION ALL SELECT window_id, round({_as_number('r.statistic')}, 3) + 0.0::DOUBLE, 1, record_id * 1000 + seq FROM (SELECT window_id, record_id, unnest(results) AS r, generate_subscripts(results, 1) - 1 AS seq FROM holdout)),
+f AS (SELECT *, row_number() OVER (PARTITION BY window_id, k ORDER BY m, o) = 1 AS first FROM u)
+SELECT window_id, count(*) FILTER (m = 0 AND first) AS pattern, count(*) FILTER (m = 1 AND first AND k IS NOT NULL) AS model_added, count(*) FILTER (m = 1 AND NOT (first AND k IS NOT NULL)) AS model_duplicate FROM f GROUP BY 1""",
+    "window_differences": """SELECT window_id, 'missing' AS side FROM (SELECT window_id FROM disputes EXCEPT SELECT window_id FROM statcheck_repaired)
+UNION ALL SELECT window_id, 'extra' FROM (SELECT window_id FROM statcheck_repaired EXCEPT SELECT window_id FROM disputes)""",
+    "open_disputes": f"""WITH {_consensus('rater')},
+o AS (SELECT *, row_number() OVER (PARTITION BY dispute_id ORDER BY first) - 1 AS k FROM judged WHERE members = 1 OR pending IS NOT NULL)
+SELECT 'x-' || o.dispute_id || '-' || k AS dispute_id, CASE WHEN members = 1 THEN 'singleton' ELSE 'field_conflict' END AS kind, pending AS field, members::INT AS candidates,
+  (SELECT string_agg(rater, ',' ORDER BY rater) FROM members m WHERE m.dispute_id = o.dispute_id AND m.cluster = o.cluster) AS raters, k = 0 AND o.dispute_id IN (SELECT dispute_id FROM disputes WHERE decision IS NOT NULL) AS resolved FROM o""",
+    "blind_candidates": """SELECT decision_id, row_number() OVER (PARTITION BY decision_id ORDER BY md5('5|' || decision_id || '|' || i)) - 1 AS place, c.statistic AS statistic, c.p_value AS p_value
+FROM (SELECT decision_id, unnest(candidates) AS c, generate_subscripts(candidates, 1) - 1 AS i FROM disputes)""",
+    "split_rows": """WITH d AS (SELECT DISTINCT source_doc FROM holdout),
+r AS (SELECT source_doc, row_number() OVER (ORDER BY md5('0|' || source_doc), source_doc) AS r, count(*) OVER () AS n FROM d)
+SELECT record_id, CASE WHEN r <= round(n * 0.15) THEN 'dev' ELSE 'train' END AS split FROM holdout JOIN r USING (source_doc)""",
+    "ledger_upsert": "SELECT dispute_id AS name, decision_id, kind, decision.keep AS keep FROM disputes QUALIFY row_number() OVER (PARTITION BY dispute_id ORDER BY ingested_at DESC, decision_id DESC) = 1",
+    "tags_and_spans": f"""WITH {SPANS} SELECT DISTINCT record_id, "start", "end", entity FROM spans WHERE "end" > "start" """,
+    "jsonl_files": "SELECT record_id, journal, sha256(text) AS sha256, source_line FROM holdout",
+    "jsonl_quarantine": "SELECT coalesce(journal, '(bad line)') AS journal, count(*) AS n FROM holdout GROUP BY 1",
+    "checker_files": "SELECT window_id, len(v)::INT AS n, round(list_sum(v), 3) AS total FROM (SELECT window_id, list(DISTINCT round(test_value, 4)) AS v FROM statcheck_repaired GROUP BY 1)",
+    "text_files": "SELECT item_id, length(text) + 1 AS chars, sha256(text || chr(10)) AS sha256 FROM eval_items",
+    "streamed_results": ONLINE + "SELECT test AS test_type, verdict, count(*) AS n, count(DISTINCT doc_id) AS documents FROM judged GROUP BY 1, 2",
 }

@@ -43,6 +43,14 @@ def json_lines(spark: SparkSession, *paths: str, schema: T.StructType | str) ->
     return spark.read.schema(schema).option("allowUnquotedControlChars", True).option("mode", "FAILFAST").json(list(paths))
 
 
+def json_quarantined(spark: SparkSession, *paths: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad): JSON lines that can be read, and those that cannot as (file, line)."""
+    options = {"allowUnquotedControlChars": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    lines = spark.read.text(list(paths)).where("trim(value) <> ''").select(F.input_file_name().alias("file"), F.col("value").alias("line"))
+    read = lines.withColumn("r", F.from_json("line", f"{schema}, _bad string", options))
+    return read.where("r._bad IS NULL").select("r.*").drop("_bad"), read.where("r._bad IS NOT NULL").select("file", "line")
+
+
 def json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """One JSON array per file, as rows."""
     return spark.read.schema(schema).option("allowUnquotedControlChars", True).option("multiLine", True).json(path)
@@ -138,6 +146,35 @@ def pdf_texts(spark: SparkSession, root: str, engine: str = "pymupdf") -> DataFr
     return f.select(relative(F.col("path"), root).alias("pdf"), "content").mapInPandas(run, _CONVERTED)
 
 
+_FONTS = "pdf string, page int, font string, text string, error string"
+
+
+def pdf_fonts(spark: SparkSession, root: str) -> DataFrame:
+    """(pdf, page, font, text, error) of every span of every PDF below a folder; the engine is optional
+    and a file that it cannot read is a row with its error."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(root)
+
+    def spans(content: bytes):
+        import pymupdf
+
+        with pymupdf.open(stream=content, filetype="pdf") as doc:
+            for n, page in enumerate(doc):
+                for block in page.get_text("dict")["blocks"]:
+                    for line in block.get("lines", ()):
+                        yield from ((n, s["font"], s["text"]) for s in line["spans"])
+
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b["pdf"], b["content"]):
+                try:
+                    rows = [(path, *s, None) for s in spans(bytes(content))]
+                except Exception as e:  # noqa: BLE001 - one bad file must not end the batch
+                    rows = [(path, None, None, None, f"{type(e).__name__}: {e}"[:200])]
+                yield pd.DataFrame(rows, columns=["pdf", "page", "font", "text", "error"])
+
+    return f.select(relative(F.col("path"), root).alias("pdf"), "content").mapInPandas(run, _FONTS)
+
+
 def zip_texts(spark: SparkSession, path: str, engine: str = "pymupdf") -> DataFrame:
     """As ``pdf_texts`` for the PDFs inside zip archives."""
 

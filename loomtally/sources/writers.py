@@ -96,6 +96,20 @@ def table_markdown(rows: DataFrame, most: int = 1000) -> str:
     return "\n".join([f"| {' | '.join(head)} |", f"|{'---|' * len(head)}", *(f"| {' | '.join(number(r[c]) for c in head)} |" for r in got)])
 
 
+def report_values(frames: dict[str, DataFrame], most: int = 10_000) -> dict:
+    """Values for a template: name.column of a frame of one row, name.key.column of frames whose first
+    column is a key. Frames are report tables; more rows than ``most`` are an error."""
+    out: dict = {}
+    for name, frame in frames.items():
+        rows = frame.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{name} has more than {most} rows")
+        for r in rows:
+            head = name if len(rows) == 1 else f"{name}.{r[0]}"
+            out |= {f"{head}.{c}": r[c] for c in frame.columns}
+    return out
+
+
 def render(template: str, values: dict, tables: dict[str, Callable[[], str]] | None = None) -> str:
     """A template with {{key|format}} and {{table:name}} filled in; anything unknown is an error."""
 
