@@ -73,16 +73,24 @@ def _level(n: np.ndarray) -> np.ndarray:
     return np.where(n < ENOUGH, 0, 1 + halved)
 
 
-def _sums(bits: np.ndarray, ids: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signed bit sums [n, bits] and word counts [n] of words put into places."""
-    sums = np.zeros((n, bits.shape[1]), dtype=np.int32)
+def _sums(bits: np.ndarray, ids: np.ndarray, place: np.ndarray, n: int, ordered: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Signed sums [n, bits] of the bits (bytes of 0 and 1) of words put into places, and word counts [n].
+
+    Eight bits are summed at a time in the bytes of one integer where no place holds more words than a
+    byte counts; longer ones are summed bit by bit.
+    """
     counts = np.bincount(place, minlength=n)
-    if len(place):
+    if not ordered:
         order = np.argsort(place, kind="stable")
-        at = place[order]
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        sums[at[starts]] = np.add.reduceat(bits[ids[order]], starts, axis=0, dtype=np.int32)
-    return sums, counts
+        ids, place = ids[order], place[order]
+    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
+    small = not len(counts) or counts.max() < 256
+    lanes, kind = (bits.view(np.uint64), np.uint64) if small else (bits, np.int32)
+    ones = np.zeros((n, lanes.shape[1]), dtype=kind)
+    if len(place):
+        ones[place[starts]] = np.add.reduceat(lanes[ids], starts, axis=0, dtype=kind)
+    wide = np.int16 if small else np.int32
+    return 2 * ones.view(np.uint8 if small else np.int32).astype(wide) - counts[:, None].astype(wide), counts
 
 
 def codes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,12 +108,12 @@ def codes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     is_long = np.array([len(w) >= LONG or w[0].isdigit() for w in uniques], dtype=bool)
     h, more = (pd.util.hash_array(uniques, hash_key=k, categorize=False) for k in ("similarity-word1", "similarity-word2"))
     places = np.arange(64, dtype=np.uint64)
-    bits = np.concatenate([(x[:, None] >> places & np.uint64(1)).astype(np.int8) * 2 - 1 for x in (h, more)], axis=1)
+    bits = np.concatenate([(x[:, None] >> places & np.uint64(1)).astype(np.uint8) for x in (h, more)], axis=1)
     owner = np.repeat(np.arange(n), sizes)
     content = np.bincount(owner, weights=is_long[ids], minlength=n).astype(np.int64)
     level, beyond = _level(content), _level(content / SIMILAR)
     used = is_long[ids] | (content < ENOUGH)[owner]
-    own, _ = _sums(bits, ids[used], owner[used], n)
+    own, _ = _sums(bits, ids[used], owner[used], n, True)
     code = np.packbits(own > 0, axis=1, bitorder="little").view(np.int64)
     views = 1 + (beyond > level)
     of = np.repeat(np.arange(n), views)  # the text of every view
@@ -116,7 +124,7 @@ def codes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     keep = is_long[words] | (at == 0)[view]
     words, view = words[keep], view[keep]
     mask = (np.uint64(1) << np.maximum(at - 1, 0)[view].astype(np.uint64)) - np.uint64(1)
-    bits, blocks = bits[:, :BITS], np.empty((len(of), per), dtype=np.int32)
+    bits, blocks = np.ascontiguousarray(bits[:, :BITS]), np.empty((len(of), per), dtype=np.int32)
     for family, odd in enumerate(PERMUTATIONS):
         mixed = h * np.uint64(odd)
         mixed ^= mixed >> np.uint64(29)
