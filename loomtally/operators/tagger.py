@@ -233,6 +233,16 @@ def tag_udf(folder: str):
     return run
 
 
+def tags_by(tagger: Tagger):
+    """Tags of every character of a text by a tagger at hand, which goes to the workers with the plan."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(tagger.tags([t or "" for t in texts]))
+
+    return run
+
+
 def agreement(a: Column, b: Column) -> Column:
     """Share of equal tags of two tag arrays."""
     same = F.size(F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: x["a"] == x["b"]))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtally.functions import numbers, tails, text
 from loomtally.functions import rules as R
-from loomtally.operators import annotate, evaluate, extract, repair, sample
+from loomtally.operators import annotate, evaluate, extract, repair, sample, tagger
 from loomtally.plans import online
 from loomtally.plans.oracle import SQL  # noqa: F401 - part of this module's interface
 from loomtally.session import shared_folder, spread, table
@@ -195,9 +196,9 @@ def part_labels(spark: SparkSession, d: str) -> DataFrame:
 @query
 def span_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Neighbouring parts of a window that overlap."""
-    w = Window.partitionBy("record_id").orderBy("start", "end", "entity", "seq")
-    s = _spans(spark, d).withColumn("next", F.lead("start").over(w))
-    return s.where(F.col("next") < F.col("end")).select("record_id", "entity", "start", "end", "next")
+    s = _spans(spark, d).groupBy("record_id").agg(F.collect_list(F.struct("start", "end", "entity")).alias("spans"))
+    o = s.select("record_id", F.explode(extract.overlaps(F.col("spans"))).alias("p"))
+    return o.select("record_id", "p.a.entity", "p.a.start", "p.a.end", F.col("p.b.start").alias("next"))
 
 
 @query
@@ -712,6 +713,38 @@ def ledger_upsert(spark: SparkSession, d: str) -> DataFrame:
     return u.select("name", F.col("started.decision_id").alias("decision_id"), "kind", "keep")
 
 
+@query
+def misaligned_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows with a labelled part that does not fit the text."""
+    s = _spans(spark, d).groupBy("record_id").agg(F.collect_list(F.struct("start", "end", "entity")).alias("spans"))
+    return sample.misaligned(table(spark, d, "holdout").select("record_id", "text").join(s, "record_id")).select("record_id")
+
+
+@query
+def collected_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Results as raters sent them, put into one form: quotes aligned, provenance stamped."""
+    h = table(spark, d, "holdout")
+    batch = h.select(F.col("record_id").alias("pos"), "window_id", "text")
+    c = annotate.collected(batch, h.select(F.col("record_id").alias("pos"), "window_id", "results"), {"rater": "r1", "batch_id": "b7"})
+    r = c.select("pos", F.col("provenance.batch_id").alias("batch"), F.posexplode("results").alias("k", "r"))
+    return r.select("pos", "batch", "k", "r.test_type", "r.p_operator", "r.aligned")
+
+
+@query
+def tagged_digits(spark: SparkSession, d: str) -> DataFrame:
+    """A convolutional tagger whose weights know digits only, through scoring, Viterbi and results."""
+    n = len(R.TAGS)
+    eye, weights = np.eye(2, dtype="f4"), np.zeros((n, 2), dtype="f4")
+    weights[R.TAGS.index("S-STAT"), 1] = weights[0, 0] = 5
+    keep = np.zeros((2, 2, 5), dtype="f4")
+    keep[:, :, 2] = eye
+    layers = [{"W": tagger.packed(keep), "b": tagger.packed(np.zeros(2)), "dilation": k} for k in (1, 2, 4, 8)]
+    scorer = tagger.Convolutional({"embedding": tagger.packed(np.array([[0, 0], [1, 0], [0, 1]])), "convs": layers, "out": {"W": tagger.packed(weights), "b": tagger.packed(np.zeros(n))}})
+    digits = tagger.Tagger(scorer, {c: 2 for c in "0123456789"}, {"transitions": tagger.transition_mask(), "start": np.zeros(n), "end": np.zeros(n)})
+    t = spread(table(spark, d, "holdout")).select("record_id", tagger.tags_by(digits)("text").alias("tags"))
+    return t.select("record_id", F.size("tags").alias("chars"), F.size(extract.spans_udf("tags")).alias("digits"), F.array_position("tags", "S-STAT").alias("first"))
+
+
 @query
 def tags_and_spans(spark: SparkSession, d: str) -> DataFrame:
     """Labelled spans written as character tags and read back."""

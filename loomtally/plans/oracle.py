@@ -383,6 +383,20 @@ judged AS (
   FROM sized {joins})"""
 
 
+_FONT = r"\x00-\x08\x0b\x0c\x0e-\x1f¼\\!"
+_AT_STAT = rf"(\){WS}*)([{_FONT}bNp])({WS}*-?\p{{Nd}}*\.?\p{{Nd}})"
+_AT_P = rf"((?:^|[^\p{{L}}\p{{N}}_])p{WS}*)([{_FONT}bN])({WS}*)(-?\p{{Nd}}*\.?\p{{Nd}}+)"
+
+
+def _near(flat: str) -> str:
+    """Whether the numbers in ``parts`` all stand within 160 characters after one place of the first."""
+    return f"coalesce(len(parts) > 0 AND len(list_filter(range(1, length({flat}) + 1), lambda i: substr({flat}, i, length(parts[1])) = parts[1] AND len(list_filter(parts, lambda p: NOT contains(substr({flat}, i, 160), p))) = 0)) > 0, false)"
+
+
+def _flat(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '{WS}+', ' ', 'g'), '^ | $', '', 'g')"
+
+
 SQL: dict[str, str] = {
     "normalised_texts": f"WITH RECURSIVE {NORMALISED} z AS (SELECT 1) SELECT doc_id, sha256(text) AS sha256, len(string_split(text, chr(10))) AS lines, renamed FROM norm",
     "online_results": ONLINE + """SELECT doc_id, line, 'pattern' AS source, test AS test_type, stat_text AS statistic_text, df1, df2, op AS p_operator, p_text, verdict, round(c, 8) AS computed_p, reason,
@@ -443,7 +457,7 @@ FROM g WHERE after_df >= 3 OR after_p >= 3""",
     "quote_found": f"""SELECT record_id, seq, coalesce(contains(regexp_replace(text, '{WS}', '', 'g'), q) AND q <> '', false) AS found
 FROM (SELECT record_id, text, seq, regexp_replace(r.quote, '{WS}', '', 'g') AS q FROM (SELECT record_id, text, unnest(results) AS r, generate_subscripts(results, 1) - 1 AS seq FROM holdout))""",
     "part_labels": f'WITH {SPANS} SELECT entity, count(*) AS n, sum("end" - "start")::BIGINT AS chars FROM spans GROUP BY entity',
-    "span_overlaps": f"""WITH {SPANS}, o AS (SELECT *, lead("start") OVER (PARTITION BY record_id ORDER BY "start", "end", entity, seq) AS next FROM spans)
+    "span_overlaps": f"""WITH {SPANS}, o AS (SELECT *, lead("start") OVER (PARTITION BY record_id ORDER BY "start", "end", entity) AS next FROM spans)
 SELECT record_id, entity, "start", "end", next FROM o WHERE next < "end" """,
     "numbers_read": f"""SELECT decision_id, seq, {_as_number('s')} AS value, {_double("regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '^" + WS + "+|" + WS + "+$', '', 'g'), '[−–]', '-', 'g'), '^[<>=]+', ''), '^" + WS + "+|" + WS + "+$', '', 'g')")} AS printed
 FROM (SELECT decision_id, c.statistic AS s, seq FROM (SELECT decision_id, unnest(candidates) AS c, generate_subscripts(candidates, 1) - 1 AS seq FROM disputes))""",
@@ -662,4 +676,44 @@ SELECT record_id, CASE WHEN r <= round(n * 0.15) THEN 'dev' ELSE 'train' END AS
     "checker_files": "SELECT window_id, len(v)::INT AS n, round(list_sum(v), 3) AS total FROM (SELECT window_id, list(DISTINCT round(test_value, 4)) AS v FROM statcheck_repaired GROUP BY 1)",
     "text_files": "SELECT item_id, length(text) + 1 AS chars, sha256(text || chr(10)) AS sha256 FROM eval_items",
     "streamed_results": ONLINE + "SELECT test AS test_type, verdict, count(*) AS n, count(DISTINCT doc_id) AS documents FROM judged GROUP BY 1, 2",
+    "repair_report": f"""WITH h AS (SELECT record_id, text, regexp_replace(text, '{_AT_STAT}', '\\1=\\3', 'g') AS once, regexp_extract_all(text, '{_AT_STAT}', 2) AS a, regexp_extract_all(text, '{_AT_P}', 2) AS b, regexp_extract_all(text, '{_AT_P}', 4) AS v FROM holdout),
+p AS (SELECT record_id, unnest(b) AS c, unnest(v)::DOUBLE AS v, a FROM h),
+m AS (
+  SELECT record_id, c, CASE WHEN list_contains(any_value(a), c) OR avg((v IN (0.05, 0.01, 0.001, 0.0001, 0.1))::INT) < {R.ROUND_SHARE} THEN '=' ELSE '<' END AS op FROM p GROUP BY 1, 2),
+l AS (SELECT record_id, list(c || op) AS ops FROM m GROUP BY 1),
+f AS (
+  SELECT h.*, coalesce(list_reduce(list_prepend(once, ops), lambda acc, x: regexp_replace(acc, '((?:^|[^\\p{{L}}\\p{{N}}_])p{WS}*)' || regexp_escape(x[1]) || '({WS}*-?\\p{{Nd}}*\\.?\\p{{Nd}}+)', '\\1' || x[2] || '\\2', 'g')), once) AS twice
+  FROM h LEFT JOIN l USING (record_id))
+SELECT record_id, len(list_distinct(list_concat(a, b)))::INT AS mapped, (len(a) + len(regexp_extract_all(once, '{_AT_P}', 2)))::INT AS replacements,
+  length(text) - length(regexp_replace(text, '[{_FONT}]', '', 'g')) AS suspects_before, length(twice) - length(regexp_replace(twice, '[{_FONT}]', '', 'g')) AS suspects_after FROM f""",
+    "span_groups": f"""WITH {SPANS}, s AS (SELECT record_id, entity, substr(text, "start" + 1, "end" - "start") AS v, row_number() OVER (PARTITION BY record_id ORDER BY "start", "end", entity) AS o FROM spans JOIN holdout USING (record_id)),
+t AS (SELECT *, count(*) FILTER (entity = 'TEST') OVER (PARTITION BY record_id ORDER BY o) AS tn FROM s),
+u AS (SELECT *, greatest(0, count(*) FILTER (entity = 'STAT') OVER (PARTITION BY record_id, tn ORDER BY o) - 1) AS sn FROM t),
+g AS (SELECT *, dense_rank() OVER (PARTITION BY record_id ORDER BY tn, sn) - 1 AS k FROM u),
+b AS (
+  SELECT record_id, k, arg_min(v, o) FILTER (entity = 'TEST') AS name, arg_min(v, o) FILTER (entity = 'STAT') AS stat, arg_min(v, o) FILTER (entity = 'DF1') AS d1, arg_min(v, o) FILTER (entity = 'DF2') AS d2,
+    arg_min(v, o) FILTER (entity = 'PVAL') AS pv, arg_min(entity, o) FILTER (entity LIKE 'POP%') AS op FROM g GROUP BY 1, 2)
+SELECT record_id, k, nullif(lower(trim(name)), '') AS test_type, {_as_number('stat')} AS statistic, {_as_number('d1')} AS df1, {_as_number('d2')} AS df2,
+  CASE op WHEN 'POP_EQ' THEN '=' WHEN 'POP_LT' THEN '<' WHEN 'POP_GT' THEN '>' END AS p_operator, {_as_number('pv')} AS p_value FROM b WHERE ({_as_number('stat')}) IS NOT NULL""",
+    "quote_alignment": f"""WITH h AS (
+  SELECT record_id, seq, r, regexp_replace(text, '{WS}', '', 'g') AS flat, regexp_replace(r.quote, '{WS}', '', 'g') AS q, text
+  FROM (SELECT record_id, text, unnest(results) AS r, generate_subscripts(results, 1) - 1 AS seq FROM holdout)),
+p AS (SELECT *, CASE WHEN q <> '' THEN nullif(instr(flat, q), 0) END AS k, list_filter(range(1, length(text) + 1), lambda i: NOT regexp_matches(text[i], '{WS}')) AS spots FROM h)
+SELECT record_id, seq, (spots[k] - 1)::INT AS start, (spots[k + length(q) - 1])::INT AS "end",
+  CASE WHEN k IS NOT NULL THEN len(list_filter([r.test_type, r.df1, r.df2, r.n, r.statistic, r.p_operator, r.p_value], lambda x: coalesce(regexp_replace(x, '{WS}', '', 'g'), '') <> '' AND contains(q, regexp_replace(x, '{WS}', '', 'g'))))::INT END AS parts FROM p""",
+    "engine_gate": "WITH " + _stripped("""lines AS (
+  SELECT record_id AS doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM holdout),
+""") + f""", {_grown()}w AS (SELECT doc_id, {_flat('text')} AS flat FROM win),
+r AS (
+  SELECT record_id, pool, seq, {_flat('text')} AS flat, list_filter([trim(regexp_replace(x, '^[<>=]+', '')) FOR x IN [r.df1, r.df2, r.statistic, r.p_value]], lambda x: x IS NOT NULL AND x <> '') AS parts
+  FROM (SELECT record_id, pool, text, unnest(results) AS r, generate_subscripts(results, 1) AS seq FROM holdout)),
+k AS (SELECT r.record_id, r.seq, any_value(pool) AS engine, any_value({_near('r.flat')}) AS in_text, coalesce(bool_or({_near('w.flat')}) FILTER (w.flat IS NOT NULL), false) AS kept FROM r LEFT JOIN w ON w.doc_id = r.record_id GROUP BY 1, 2),
+g AS (SELECT engine, count(*) AS results, count(*) FILTER (in_text) AS in_text, count(*) FILTER (kept) AS kept, avg(kept::INT) AS rate FROM k GROUP BY 1)
+SELECT engine, results, in_text, kept, round(rate, 6) AS rate, round(max(rate) OVER () - min(rate) OVER (), 6) AS spread, max(rate) OVER () - min(rate) OVER () <= 0.06 AS passes FROM g""",
+    "misaligned_rows": f"""WITH {SPANS} SELECT DISTINCT record_id FROM spans JOIN holdout USING (record_id) WHERE "start" < 0 OR "end" > length(text) OR "end" <= "start" """,
+    "collected_rows": f"""SELECT record_id AS pos, 'b7' AS batch, k, CASE WHEN lower(v) IN ('t','r','z') THEN lower(v) WHEN lower(v) IN ('f','q') THEN upper(v) WHEN lower(v) IN ('chi2','chi²','chi-square','x2','χ2') THEN 'chi2' END AS test_type,
+  CASE WHEN o IN ('≤','le') THEN '<' WHEN o IN ('≥','ge') THEN '>' WHEN o IN ('=','<','>') THEN o END AS p_operator, coalesce(contains(flat, q) AND q <> '', false) AS aligned
+FROM (SELECT record_id, k, trim(r.test_type) AS v, trim(r.p_operator) AS o, regexp_replace(text, '{WS}', '', 'g') AS flat, regexp_replace(r.quote, '{WS}', '', 'g') AS q
+  FROM (SELECT record_id, text, unnest(results) AS r, generate_subscripts(results, 1) - 1 AS k FROM holdout))""",
+    "tagged_digits": "SELECT record_id, length(text)::INT AS chars, length(regexp_replace(text, '[^0-9]', '', 'g'))::INT AS digits, coalesce(list_position(string_split(regexp_replace(text, '[0-9]', '0', 'g'), ''), '0'), 0)::BIGINT AS first FROM holdout",
 }
