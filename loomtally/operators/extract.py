@@ -78,6 +78,11 @@ def _java(pattern: str) -> str:
     return "(?iu)" + p
 
 
+def may_hold(text: Column) -> Column:
+    """Native guard: false only for texts that no family can match, as all end in the same way."""
+    return F.coalesce(text.rlike(_java(_TAIL)), F.lit(False))
+
+
 def extract_native(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per match of a family, as (…, raw, test_type, df1, df2, n, statistic, p_operator, p_value),
     JVM-side and in one scan: the matches of all families are one array, exploded once."""

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtally.functions import numbers, tails, text
-from loomtally.operators.extract import extract_each_udf
+from loomtally.operators.extract import extract_each_udf, may_hold
 from loomtally.operators.repair import with_repaired
 
 
@@ -71,13 +71,14 @@ def prepared(docs: DataFrame, options: Options = Options(), key: str = "doc_id",
 
 def findings(docs: DataFrame, options: Options = Options(), key: str = "doc_id", body: str = "text") -> DataFrame:
     """(key, lines, windows, renamed, repair, found): one row per document, found in order, first wins."""
-    d = text.hold(prepared(docs, options, key, body), _texts=F.transform("windows", lambda w: w["text"]))
+    d = prepared(docs, options, key, body)
     parts = []
-    if options.pattern:
-        d = text.hold(d, _pattern=extract_each_udf("_texts"))
+    if options.pattern:  # windows without an ending that all families share never leave the JVM
+        d = text.hold(d, _likely=F.transform("windows", lambda w: F.when(may_hold(w["text"]), w["text"])))
+        d = text.hold(d, _pattern=extract_each_udf("_likely"))
         parts.append(_found(F.col("windows"), F.col("_pattern"), "pattern", 0))
     if options.model is not None:
-        d = text.hold(d, _model=options.model(F.col("_texts")))
+        d = text.hold(d, _model=options.model(F.transform("windows", lambda w: w["text"])))
         parts.append(_found(F.col("windows"), F.col("_model"), "model", 1))
     if not parts:
         raise ValueError("at least one finder is needed")
