@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +11,7 @@ from loomtally.functions import rules as R
 from loomtally.operators import annotate, evaluate, extract, repair, sample, tagger
 from loomtally.plans import online
 from loomtally.plans.oracle import SQL  # noqa: F401 - part of this module's interface
-from loomtally.session import shared_folder, spread, table
+from loomtally.session import scratch, spread, table
 from loomtally.sources import readers, writers
 
 QUERIES: dict = {}
@@ -755,14 +753,10 @@ def tags_and_spans(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- files and streams: written to the shared folder and read back --------------------------------
 
-def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
-
-
 @query
 def jsonl_files(spark: SparkSession, d: str) -> DataFrame:
     """Windows as ordered JSON lines and back."""
-    at = _folder(spark)
+    at = scratch(spark)
     writers.write_json_lines(table(spark, d, "holdout").select("record_id", "journal", "text", "source_line"), at, "record_id")
     r = readers.json_lines(spark, at, schema="record_id long, journal string, text string, source_line int")
     return r.select("record_id", "journal", F.sha2("text", 256).alias("sha256"), "source_line")
@@ -771,7 +765,7 @@ def jsonl_files(spark: SparkSession, d: str) -> DataFrame:
 @query
 def jsonl_quarantine(spark: SparkSession, d: str) -> DataFrame:
     """JSON lines of which those without a journal were cut in the middle: read rows and bad lines."""
-    at = _folder(spark)
+    at = scratch(spark)
     line = F.to_json(F.struct("record_id", "journal", "text"))
     table(spark, d, "holdout").select(F.when(F.col("journal").isNull(), F.substring(line, 1, 30)).otherwise(line).alias("value")).write.text(at)
     rows, bad = readers.json_quarantined(spark, at, schema="record_id long, journal string, text string")
@@ -781,7 +775,7 @@ def jsonl_quarantine(spark: SparkSession, d: str) -> DataFrame:
 @query
 def checker_files(spark: SparkSession, d: str) -> DataFrame:
     """The external checker's rows as CSV and back, with the distinct values of every window."""
-    at = _folder(spark)
+    at = scratch(spark)
     b = table(spark, d, "statcheck_repaired").drop("row_id")
     b.write.csv(at, header=True, escape='"', nullValue="NA", emptyValue="")
     v = readers.checker_values(readers.checker_csv(spark, at))
@@ -791,7 +785,7 @@ def checker_files(spark: SparkSession, d: str) -> DataFrame:
 @query
 def text_files(spark: SparkSession, d: str) -> DataFrame:
     """Test passages as text files, one each, read as a corpus, hashed and checked against a manifest."""
-    at = _folder(spark)
+    at = scratch(spark)
     items = table(spark, d, "eval_items").select("text", F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("name"))
     items.repartition("name").write.partitionBy("name").text(at)
     texts = readers.text_corpus(spark, at).select(F.regexp_extract("journal", "item-([0-9]+)$", 1).cast("long").alias("item_id"), F.length("text").alias("chars"))
@@ -804,7 +798,7 @@ def streamed_results(spark: SparkSession, d: str) -> DataFrame:
     """The online path over the documents as a stream."""
     from loomtally.streaming import online as streaming
 
-    at = _folder(spark)
+    at = scratch(spark)
     docs = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents.parquet*").select("doc_id", "text")
     streaming.write_results(streaming.results_stream(docs), f"{at}/out", f"{at}/checkpoint").awaitTermination()
     r = spark.read.parquet(f"{at}/out")

@@ -203,8 +203,27 @@ slots AS (
 renaming AS (SELECT doc_id, string_agg(c, '' ORDER BY k) AS a, string_agg(s, '' ORDER BY k) AS b, count(*) AS n FROM odd JOIN slots USING (doc_id, k) GROUP BY doc_id),
 norm AS (SELECT doc_id, CASE WHEN a IS NULL THEN text ELSE translate(text, a, b) END AS text, coalesce(n, 0) AS renamed FROM flowed LEFT JOIN renaming USING (doc_id)),
 """
-NORM_LINES = NORMALISED + """lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM norm),
+_FONT = r"\x00-\x08\x0b\x0c\x0e-\x1f¼\\!"
+_AT_STAT = rf"(\){WS}*)([{_FONT}bNp])({WS}*-?\p{{Nd}}*\.?\p{{Nd}})"
+_AT_P = rf"((?:^|[^\p{{L}}\p{{N}}_])p{WS}*)([{_FONT}bN])({WS}*)(-?\p{{Nd}}*\.?\p{{Nd}}+)"
+
+
+
+
+def _repaired(source: str, key: str) -> str:
+    """CTE mended (key, text, twice, a, b, once): damaged operators put back by where they stand."""
+    return f"""sites AS (SELECT {key}, text, regexp_replace(text, '{_AT_STAT}', '\\1=\\3', 'g') AS once, regexp_extract_all(text, '{_AT_STAT}', 2) AS a, regexp_extract_all(text, '{_AT_P}', 2) AS b, regexp_extract_all(text, '{_AT_P}', 4) AS v FROM {source}),
+marks AS (SELECT {key}, c, CASE WHEN list_contains(any_value(a), c) OR avg(coalesce(try_cast(translate(v, '０１２３４５６７８９', '0123456789') AS DOUBLE) IN (0.05, 0.01, 0.001, 0.0001, 0.1), false)::INT) < {R.ROUND_SHARE} THEN '=' ELSE '<' END AS op
+  FROM (SELECT {key}, unnest(b) AS c, unnest(v) AS v, a FROM sites) GROUP BY 1, 2),
+mended AS (
+  SELECT s.*, coalesce(list_reduce(list_prepend(once, ops), lambda acc, x: regexp_replace(acc, '((?:^|[^\\p{{L}}\\p{{N}}_])p{WS}*)' || regexp_escape(x[1]) || '({WS}*-?\\p{{Nd}}*\\.?\\p{{Nd}}+)', '\\1' || x[2] || '\\2', 'g')), once) AS twice,
+    (len(a) + len(regexp_extract_all(once, '{_AT_P}', 2)))::INT AS replacements
+  FROM sites s LEFT JOIN (SELECT {key}, list(c || op) AS ops FROM marks GROUP BY 1) USING ({key}))"""
+
+
+NORM_LINES = NORMALISED + _repaired("norm", "doc_id") + """,
+lines AS (
+  SELECT doc_id, unnest(string_split(twice, chr(10))) AS value, generate_subscripts(string_split(twice, chr(10)), 1) - 1 AS line FROM mended),
 """
 
 
@@ -307,7 +326,8 @@ judged AS (
 """
 
 
-# The whole path, but for the repair: the documents hold no damaged operators; a text with one would differ.
+# The whole path, with the repair by place; the search over maps needs three damaged results in a document, which
+# the documents do not hold.
 ONLINE = f"""
 WITH RECURSIVE {_stripped(NORM_LINES)}, {_grown()}{_hits('win', 'doc_id, line')},
 read AS (SELECT *, {_double('statistic')} AS stat FROM best),
@@ -383,11 +403,6 @@ judged AS (
   FROM sized {joins})"""
 
 
-_FONT = r"\x00-\x08\x0b\x0c\x0e-\x1f¼\\!"
-_AT_STAT = rf"(\){WS}*)([{_FONT}bNp])({WS}*-?\p{{Nd}}*\.?\p{{Nd}})"
-_AT_P = rf"((?:^|[^\p{{L}}\p{{N}}_])p{WS}*)([{_FONT}bN])({WS}*)(-?\p{{Nd}}*\.?\p{{Nd}}+)"
-
-
 def _near(flat: str) -> str:
     """Whether the numbers in ``parts`` all stand within 160 characters after one place of the first."""
     return f"coalesce(len(parts) > 0 AND len(list_filter(range(1, length({flat}) + 1), lambda i: substr({flat}, i, length(parts[1])) = parts[1] AND len(list_filter(parts, lambda p: NOT contains(substr({flat}, i, 160), p))) = 0)) > 0, false)"
@@ -403,7 +418,7 @@ SQL: dict[str, str] = {
   coalesce(list_aggregate(missing, 'string_agg', ','), '') AS missing, raw AS quote FROM judged""",
     "verdict_counts": ONLINE + """SELECT doc_id, count(*) FILTER (verdict = 'consistent') AS consistent, count(*) FILTER (verdict = 'inconsistent') AS inconsistent, count(*) FILTER (verdict = 'decision_error') AS decision_error,
   count(*) FILTER (verdict = 'undecidable') AS undecidable, count(*) AS results FROM judged GROUP BY 1""",
-    "online_stages": ONLINE + """SELECT doc_id, max(h.n) AS lines, (SELECT count(*) FROM spot w WHERE w.doc_id = h.doc_id) AS windows, 0 AS replacements, 'simple' AS repair_rule,
+    "online_stages": ONLINE + """SELECT doc_id, max(h.n) AS lines, (SELECT count(*) FROM spot w WHERE w.doc_id = h.doc_id) AS windows, (SELECT replacements FROM mended m WHERE m.doc_id = h.doc_id) AS replacements, 'simple' AS repair_rule,
   (SELECT count(*) FROM judged j WHERE j.doc_id = h.doc_id) AS by_pattern, 0 AS by_model FROM heads h GROUP BY doc_id""",
     "result_lines": ONLINE + """SELECT doc_id, line, lpad(line::VARCHAR, 5, ' ') || '  ' || coalesce(test, '?') || CASE WHEN df1 IS NULL THEN '' WHEN df2 IS NULL THEN '(' || d1 || ')' ELSE '(' || d1 || ', ' || d2 || ')' END || ' = ' || st
   || ', p ' || coalesce(op, '=') || ' ' || pv || '  ' || coalesce(printf('%.4f', c), 'NA') || '  ' || verdict || '  [pattern]' AS text
@@ -676,16 +691,9 @@ SELECT record_id, CASE WHEN r <= round(n * 0.15) THEN 'dev' ELSE 'train' END AS
     "checker_files": "SELECT window_id, len(v)::INT AS n, round(list_sum(v), 3) AS total FROM (SELECT window_id, list(DISTINCT round(test_value, 4)) AS v FROM statcheck_repaired GROUP BY 1)",
     "text_files": "SELECT item_id, length(text) + 1 AS chars, sha256(text || chr(10)) AS sha256 FROM eval_items",
     "streamed_results": ONLINE + "SELECT test AS test_type, verdict, count(*) AS n, count(DISTINCT doc_id) AS documents FROM judged GROUP BY 1, 2",
-    "repair_report": f"""WITH h AS (SELECT record_id, text, regexp_replace(text, '{_AT_STAT}', '\\1=\\3', 'g') AS once, regexp_extract_all(text, '{_AT_STAT}', 2) AS a, regexp_extract_all(text, '{_AT_P}', 2) AS b, regexp_extract_all(text, '{_AT_P}', 4) AS v FROM holdout),
-p AS (SELECT record_id, unnest(b) AS c, unnest(v)::DOUBLE AS v, a FROM h),
-m AS (
-  SELECT record_id, c, CASE WHEN list_contains(any_value(a), c) OR avg((v IN (0.05, 0.01, 0.001, 0.0001, 0.1))::INT) < {R.ROUND_SHARE} THEN '=' ELSE '<' END AS op FROM p GROUP BY 1, 2),
-l AS (SELECT record_id, list(c || op) AS ops FROM m GROUP BY 1),
-f AS (
-  SELECT h.*, coalesce(list_reduce(list_prepend(once, ops), lambda acc, x: regexp_replace(acc, '((?:^|[^\\p{{L}}\\p{{N}}_])p{WS}*)' || regexp_escape(x[1]) || '({WS}*-?\\p{{Nd}}*\\.?\\p{{Nd}}+)', '\\1' || x[2] || '\\2', 'g')), once) AS twice
-  FROM h LEFT JOIN l USING (record_id))
-SELECT record_id, len(list_distinct(list_concat(a, b)))::INT AS mapped, (len(a) + len(regexp_extract_all(once, '{_AT_P}', 2)))::INT AS replacements,
-  length(text) - length(regexp_replace(text, '[{_FONT}]', '', 'g')) AS suspects_before, length(twice) - length(regexp_replace(twice, '[{_FONT}]', '', 'g')) AS suspects_after FROM f""",
+    "repair_report": f"""WITH {_repaired('holdout', 'record_id')}
+SELECT record_id, len(list_distinct(list_concat(a, b)))::INT AS mapped, replacements,
+  length(text) - length(regexp_replace(text, '[{_FONT}]', '', 'g')) AS suspects_before, length(twice) - length(regexp_replace(twice, '[{_FONT}]', '', 'g')) AS suspects_after FROM mended""",
     "span_groups": f"""WITH {SPANS}, s AS (SELECT record_id, entity, substr(text, "start" + 1, "end" - "start") AS v, row_number() OVER (PARTITION BY record_id ORDER BY "start", "end", entity) AS o FROM spans JOIN holdout USING (record_id)),
 t AS (SELECT *, count(*) FILTER (entity = 'TEST') OVER (PARTITION BY record_id ORDER BY o) AS tn FROM s),
 u AS (SELECT *, greatest(0, count(*) FILTER (entity = 'STAT') OVER (PARTITION BY record_id, tn ORDER BY o) - 1) AS sn FROM t),

@@ -99,6 +99,15 @@ def cut(df: DataFrame) -> DataFrame:
 _CUTS: dict[str, list[str]] = {}
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path in the shared folder, which goes when a cut table would."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    if spark.sparkContext.applicationId not in _CUTS:
+        atexit.register(_drop_cuts, spark.sparkContext.applicationId, spark)
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete cut tables that no later plan reads: those a loop has replaced by newer ones."""
     for t in tables:

@@ -15,7 +15,7 @@ TEXT_SUFFIXES = ("txt", "json", "jsonl", "csv", "md", "py", "tsv")
 def report_json(results: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, report): the results of a document as one JSON text."""
     row = F.struct(*(c for c in results.columns if c != key))
-    return results.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("report"))
+    return results.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(row)), {"ignoreNullFields": "false"}).alias("report"))
 
 
 def result_line(r: Column | None = None) -> Column:
