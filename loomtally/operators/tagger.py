@@ -53,6 +53,23 @@ def viterbi(emissions: np.ndarray, transitions: np.ndarray, start: np.ndarray, e
     return path[::-1]
 
 
+def viterbi_batch(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Best paths [texts, steps] of padded texts side by side, each as ``viterbi`` gives it; what lies beyond
+    a text's length repeats its last tag."""
+    n = emissions.shape[2]
+    score, back = start + emissions[:, 0], []
+    for t in range(1, emissions.shape[1]):
+        step = score[:, :, None] + transitions
+        going = (t < lengths)[:, None]
+        back.append(np.where(going, step.argmax(axis=1), np.arange(n)))
+        score = np.where(going, step.max(axis=1) + emissions[:, t], score)
+    rows = np.arange(len(emissions))
+    path = [(score + end).argmax(axis=1)]
+    for b in reversed(back):
+        path.append(b[rows, path[-1]])
+    return np.stack(path[::-1], axis=1)
+
+
 def _array(x: dict) -> np.ndarray:
     return np.frombuffer(base64.b64decode(x["data"]), "<f4").astype(np.float64).reshape(x["shape"])
 
@@ -152,10 +169,13 @@ class Tagger:
             for r, i in enumerate(part):
                 ids[r, : len(texts[i])] = self.encode(texts[i])
             scores = self.scorer.logits(ids)
+            if self.crf:
+                lengths = np.array([len(texts[i]) for i in part])
+                best = viterbi_batch(np.asarray(scores, dtype=float), lengths, self.crf["transitions"], self.crf["start"], self.crf["end"])
+            else:
+                best = scores.argmax(axis=2)
             for r, i in enumerate(part):
-                e = scores[r, : len(texts[i])]
-                best = viterbi(e, self.crf["transitions"], self.crf["start"], self.crf["end"]) if self.crf else e.argmax(axis=1)
-                out[i] = [R.TAGS[k] for k in best]
+                out[i] = [R.TAGS[k] for k in best[r, : len(texts[i])].tolist()]
         return out
 
 

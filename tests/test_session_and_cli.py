@@ -203,3 +203,13 @@ def test_convolutions_against_plain_sums():
                 y[i, t] = np.maximum(0, y[i, t] + b)
         x = y
     assert np.allclose(tagger.Convolutional(artifact).logits(ids), x @ out[0].T + out[1])
+
+
+def test_viterbi_of_many_texts_is_that_of_each():
+    rng = np.random.default_rng(8)
+    n = 9
+    lengths = np.array([1, 5, 12, 12, 2])
+    emissions, transitions, start, end = rng.integers(0, 3, (5, 12, n)).astype(float), rng.integers(-2, 2, (n, n)).astype(float), rng.normal(size=n), rng.normal(size=n)
+    best = tagger.viterbi_batch(emissions, lengths, transitions, start, end)
+    for k, length in enumerate(lengths):
+        assert best[k, :length].tolist() == tagger.viterbi(emissions[k, :length], transitions, start, end)
