@@ -96,7 +96,20 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_by(df: DataFrame, column: str) -> DataFrame:
+    """As ``cut``, laid out by ``column``: later sums and joins on it need no shuffle."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"cut_{uuid.uuid4().hex}", scratch(spark)
+    df.repartition(n, column).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, column).saveAsTable(name)
+    _NAMES[path] = name
+    out = spark.table(name)
+    out._loomtally_cut = path
+    return out
+
+
 _CUTS: dict[str, list[str]] = {}
+_NAMES: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
@@ -132,6 +145,8 @@ def scope(spark: SparkSession) -> Iterator[None]:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _NAMES:
+        spark.sql(f"DROP TABLE IF EXISTS {_NAMES.pop(path)}")
     if path.startswith(("/", "file:")):
         shutil.rmtree(re.sub("^file:/+", "/", path), ignore_errors=True)
         return

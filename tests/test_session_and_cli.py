@@ -34,6 +34,19 @@ def test_cut_tables_are_released(spark):
     assert not os.path.isdir(_path(a))
 
 
+def test_a_layout_saves_the_shuffle(spark):
+    t = session.cut_by(spark.range(1000).select((F.col("id") % 50).alias("k"), "id"), "k")
+    sums = t.groupBy("k").agg(F.sum("id").alias("s"))
+    back = t.join(sums.hint("merge"), "k")
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 0 and back.count() == 1000
+    with session.scope(spark):
+        u = session.cut_by(spark.range(0).select("id"), "id")
+        assert u.count() == 0
+    assert not os.path.isdir(_path(u))
+    session.release(t)
+
+
 def test_a_cluster_needs_a_shared_folder():
     nothing = MagicMock(master="spark://host:7077")
     nothing.getConf.return_value.get.return_value = None
