@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtally.session import beside, cut, release, small_side
+from loomtally.session import beside, cut, cut_by, release, small_side
 
 #: Up to so many raters are broadcast to the labels (a few MB); more are joined by shuffle.
 BROADCAST_RATERS = 20_000
@@ -77,7 +77,8 @@ def reliability(labels: DataFrame, item: str, rater: str, label: str, steps: int
     centre = 2 * share - 1
     x = base.select("item", "rater", (F.when(F.col("y") > 0, 1.0).otherwise(-1.0) - F.lit(centre)).alias("x"))
     n = x.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    x = cut(x.join(n, "item", "left").select("item", "rater", "x", F.coalesce(1 / (F.col("n") - 1), F.lit(0.0)).alias("w")))
+    # laid out by item once: in every step only the raters' row of q moves, and sums per rater
+    x = cut_by(x.join(n, "item", "left").select("item", "rater", "x", F.coalesce(1 / (F.col("n") - 1), F.lit(0.0)).alias("w")), "item")
     raters = cut(x.groupBy("rater").agg(F.count(F.lit(1)).alias("labels")))
     many = raters.count()
     spread = x.agg(F.avg(F.col("x") * F.col("x"))).first()[0] or 1.0  # variance of a centred label
