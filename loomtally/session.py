@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,11 +98,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_by(df: DataFrame, column: str) -> DataFrame:
-    """As ``cut``, laid out by ``column``: later sums and joins on it need no shuffle."""
+    """As ``cut``, laid out by ``column``: later sums and joins on it need no shuffle.
+
+    Where the session's catalog takes no tables the rows are the same without the layout.
+    """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"cut_{uuid.uuid4().hex}", scratch(spark)
-    df.repartition(n, column).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, column).saveAsTable(name)
+    rows = df.repartition(n, column)
+    try:
+        rows.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, column).saveAsTable(name)
+    except PySparkException:  # a failure of the rows themselves comes again with the plain table
+        return cut(rows)
     _NAMES[path] = name
     out = spark.table(name)
     out._loomtally_cut = path

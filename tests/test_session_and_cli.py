@@ -47,6 +47,19 @@ def test_a_layout_saves_the_shuffle(spark):
     session.release(t)
 
 
+def test_without_a_catalog_the_rows_stay(spark, monkeypatch):
+    from pyspark.errors import AnalysisException
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    def refuse(self, name, *args, **kwargs):
+        raise AnalysisException("no tables here")
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", refuse)
+    t = session.cut_by(spark.range(30), "id")
+    assert sorted(r["id"] for r in t.collect()) == list(range(30))
+    session.release(t)
+
+
 def test_a_cluster_needs_a_shared_folder():
     nothing = MagicMock(master="spark://host:7077")
     nothing.getConf.return_value.get.return_value = None
