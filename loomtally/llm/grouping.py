@@ -9,7 +9,7 @@ documents take part, never all records.
 
 Components then get splits: sizes with their multiplicities (at most sqrt(2 n) distinct sizes) go to
 a subset sum over the sets of totals that each size and its multiplicity make reachable; it picks how
-many components of each size bring the split's total closest to its target.
+many components of each size bring the split's total closest to its target, exactly at every size.
 
 Null or empty documents or windows relate to nothing; a record with neither is its own component.
 Empty tables give empty results. Repeated rows count as rows. Other columns are ignored.
@@ -17,6 +17,8 @@ Empty tables give empty results. Repeated rows count as rows. Other columns are
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,47 +101,126 @@ def broken(records: DataFrame) -> DataFrame:
     return join_hot(r.select("record_id", "node"), bad, "node", hot_keys(r, "node")).select("record_id")
 
 
-#: Totals kept at once by the subset sum (8 bytes each and distinct size).
+#: Totals kept as a sorted array; from there on the smaller of array and bit set is kept, with the same totals.
 TOTALS = 1 << 16
 
 
+def _greedy(parts: list[int], target: int) -> list[int]:
+    """Places of the parts that still fit, from the largest down."""
+    taken = []
+    for i, v in enumerate(parts):
+        if v <= target:
+            taken.append(i)
+            target -= v
+    return taken
+
+
+def _bits(at: np.ndarray) -> int:
+    """The bit set of a sorted array; memory goes with its largest element / 8."""
+    held = np.zeros(int(at[-1]) // 8 + 1 if len(at) else 1, dtype=np.uint8)
+    np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return int.from_bytes(held.tobytes(), "little")
+
+
+def _sums(parts: list[int], low: int, high: int, most: int) -> np.ndarray | int:
+    """All sums of ``parts`` from ``low`` to ``high``, less ``low``: a sorted array or, where denser, a bit set.
+
+    Only sums too small for the rest to bring them to ``low``, and those beyond ``high``, are left out on the way.
+    """
+    rest, start = sum(parts), 0
+    totals: np.ndarray | int = np.zeros(1, dtype=np.int64)
+    for v in parts:
+        rest -= v
+        begin = max(0, low - rest)
+        if isinstance(totals, int):
+            totals = (totals | totals << v) >> begin - start
+            if totals.bit_length() > high - begin + 1:
+                totals &= (1 << high - begin + 1) - 1
+        else:
+            totals = np.union1d(totals, totals + v)
+            totals = totals[np.searchsorted(totals, begin) : np.searchsorted(totals, high, "right")]
+            if len(totals) > most and 64 * len(totals) > high - begin:
+                totals = _bits(totals - begin)
+        start = begin
+    return totals if isinstance(totals, int) else totals - low
+
+
+def _exactly(parts: list[int], target: int, most: int) -> list[int]:
+    """Places of parts whose sum is ``target``, which they reach: by halves, so no sums of earlier steps are kept."""
+    taken = _greedy(parts, target)
+    if sum(parts[i] for i in taken) == target:
+        return taken
+    half = len(parts) // 2
+    front, back = parts[:half], parts[half:]
+    # f of the front and target - f of the back; sums of the back lie as its total less they do
+    shift = target - sum(back)
+    low, high = max(0, shift), min(target, sum(front))
+    a, b = _sums(front, low, high, most), _sums(back, low - shift, high - shift, most)
+    if isinstance(a, int) or isinstance(b, int):
+        f = low + ((a if isinstance(a, int) else _bits(a)) & (b if isinstance(b, int) else _bits(b))).bit_length() - 1
+    else:
+        f = low + int(np.intersect1d(a, b, assume_unique=True)[-1])
+    del a, b
+    return _exactly(front, f, most) + [half + i for i in _exactly(back, target - f, most)]
+
+
+def _closest(parts: list[int], target: int, off: int, most: int) -> int | None:
+    """The sum of parts closest to ``target``, none if all are further from it than ``off``."""
+    low = max(0, target - off)
+    totals = _sums(parts, low, target + off, most)
+    if isinstance(totals, int):  # the highest bit up to the target, the lowest beyond
+        up_to, beyond = totals & (1 << target - low + 1) - 1, totals >> target - low + 1
+        ends = ([low + up_to.bit_length() - 1] if up_to else []) + ([target + (beyond & -beyond).bit_length()] if beyond else [])
+    else:
+        at = int(np.searchsorted(totals, target - low, "right"))
+        ends = [low + int(t) for t in totals[max(0, at - 1) : at + 1]]
+    return min(ends, key=lambda t: (abs(t - target), t), default=None)
+
+
 def pick(sizes: list[tuple[int, int]], target: int, most: int = TOTALS) -> dict[int, int]:
-    """How many components of each size come closest to ``target`` in total.
-
-    ``sizes`` are (size, multiplicity), taken from the largest down, multiplicities in powers of two;
-    after each part the set of totals that the rest may still lead to the target is known. Exact while
-    no more than ``most`` totals are reachable, as always where the target is below it. Beyond, of
-    totals within a cell of rest / most one is kept, so a part may cost so much at most; as the rest
-    shrinks, cells do, and from a rest of ``most`` records on nothing is merged. Of two totals equally
-    close the smaller is taken.
+    """How many components of each size come closest to ``target`` in total; of two totals equally close the smaller.
+
+    ``sizes`` are (size, multiplicity), taken from the largest down, multiplicities in powers of two. Parts taken
+    as they fit settle it where they meet the closest total that the sizes' common divisor allows, as nothing is
+    closer. Else the smallest parts are picked anew beside the larger ones, more of them each time and all at
+    last: of those, every total no further from the target than the best known is found, and the closest traced
+    by halves. Always exact: ``most`` only says from when on totals may be kept as a bit set, which takes
+    (target + distance) / 8 bytes at most.
     """
-    target = max(0, target)
-    left = sorted(((s, m) for s, m in sizes if s > 0 and m > 0), reverse=True)
-    rest = sum(s * m for s, m in left)
-    totals, before = np.zeros(1, dtype=np.int64), []
-    for s, m in left:
-        before.append(totals)
-        parts, k = [], 1
-        while m > 0:
-            parts.append(min(k, m))
-            m, k = m - parts[-1], k * 2
-        for use in sorted(parts, reverse=True):
-            rest -= s * use
-            totals = np.union1d(totals, totals + s * use)
-            # beyond the target only the least can be best, and below what the rest fills only the largest
-            lo, hi = np.searchsorted(totals, target - rest), np.searchsorted(totals, target, "right")
-            totals = totals[max(0, lo - 1) : hi + 1]
-            if len(totals) > most:
-                totals = totals[np.unique(totals // max(1, -(-rest // most)), return_index=True)[1]]
-    at = int(min(totals.tolist(), key=lambda t: (abs(t - target), t)))
-    taken: dict[int, int] = {}
-    for (s, m), known in zip(reversed(left), reversed(before)):
-        want = at - s * np.arange(min(m, at // s) + 1, dtype=np.int64)
-        place = np.minimum(np.searchsorted(known, want), len(known) - 1)
-        k = int(np.flatnonzero(known[place] == want)[0])  # as few of this size as do
-        if k:
-            taken[s], at = k, at - s * k
-    return taken
+    parts = []
+    for s, m in sizes:
+        k = 1
+        while s > 0 and m > 0:
+            parts.append((s * min(k, m), s, min(k, m)))
+            m, k = m - k, k * 2
+    parts.sort(reverse=True)
+    values = [v for v, _, _ in parts]
+    target = min(max(0, target), sum(values))
+    step = math.gcd(*values) or 1
+
+    def far(total: int) -> tuple[int, int]:
+        return abs(total - target), total
+
+    def sum_of(places: list[int]) -> int:
+        return sum(values[i] for i in places)
+
+    near = sorted({target // step * step, -(-target // step) * step}, key=far)
+    taken = min((_greedy(values, t) for t in near), key=lambda p: far(sum_of(p)))
+    free = 64
+    while sum_of(taken) != near[0]:
+        at = max(0, len(values) - free)
+        fixed = _greedy(values[:at], target - sum(values[at:]) // 2)
+        beside = sum_of(fixed)
+        t = _closest(values[at:], target - beside, far(sum_of(taken))[0], most)
+        if t is not None and far(beside + t) < far(sum_of(taken)):
+            taken = fixed + [at + i for i in _exactly(values[at:], t, most)]
+        if at == 0:
+            break
+        free *= 8
+    counts: dict[int, int] = {}
+    for _, s, k in map(parts.__getitem__, taken):
+        counts[s] = counts.get(s, 0) + k
+    return counts
 
 
 def assign(records: DataFrame, proportions: dict[str, float] | None = None) -> DataFrame:

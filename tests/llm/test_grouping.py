@@ -116,6 +116,36 @@ def test_pick_with_many_sizes_stays_small():
     assert sum(s * k for s, k in got.items()) == target and all(k <= dict(sizes)[s] for s, k in got.items())
 
 
+def test_pick_is_exact_whatever_is_kept():
+    for seed in range(300):
+        rng = random.Random(seed)
+        by, most = rng.choice([1, 2, 6]), rng.choice([1, 16])
+        sizes = sorted({rng.randint(1, 300) * by: rng.randint(0, 5) for _ in range(rng.randint(0, 9))}.items())
+        totals = {0}
+        for s, m in sizes:
+            totals = {t + s * k for t in totals for k in range(m + 1)}
+        target = rng.randint(0, max(totals) + 5)
+        got = grouping.pick(sizes, target, most=most)
+        assert all(0 < k <= dict(sizes)[s] for s, k in got.items())
+        assert sum(s * k for s, k in got.items()) == min(totals, key=lambda t: (abs(t - target), t)), seed
+
+
+@pytest.mark.parametrize("seed", range(1, 4))
+def test_pick_meets_a_target_among_millions_of_totals(seed):
+    rng = random.Random(seed)
+    sizes = [(s, 1) for s in sorted(rng.sample(range(10**6, 10**7), 24))]
+    target = sum(s for s, _ in rng.sample(sizes, 10))
+    got = grouping.pick(sizes, target)
+    assert sum(s * k for s, k in got.items()) == target and all(k == 1 for k in got.values())
+
+
+def test_pick_finds_the_one_odd_size_among_thousands():
+    sizes = [(2 * s, 3) for s in range(100, 400)] + [(801, 1)]
+    target = 801 + 2 * 60_003
+    got = grouping.pick(sizes, target)
+    assert sum(s * k for s, k in got.items()) == target and all(k <= dict(sizes)[s] for s, k in got.items())
+
+
 def test_splits(spark, small):
     h = spark.read.parquet(f"{small}/holdout.parquet")
     a = grouping.assign(h, {"train": 0.7, "validation": 0.2, "test": 0.1})
