@@ -106,7 +106,7 @@ TOTALS = 1 << 16
 
 
 def _greedy(parts: list[int], target: int) -> list[int]:
-    """Places of the parts that still fit, from the largest down."""
+    """Places of the parts that still fit, in their order."""
     taken = []
     for i, v in enumerate(parts):
         if v <= target:
@@ -182,7 +182,7 @@ def pick(sizes: list[tuple[int, int]], target: int, most: int = TOTALS) -> dict[
 
     ``sizes`` are (size, multiplicity), taken from the largest down, multiplicities in powers of two. Parts taken
     as they fit settle it where they meet the closest total that the sizes' common divisor allows, as nothing is
-    closer. Else the smallest parts are picked anew beside the larger ones, more of them each time and all at
+    closer. Else the last parts, of the smallest sizes, are picked anew beside the rest, more each time and all at
     last: of those, every total no further from the target than the best known is found, and the closest traced
     by halves. Always exact: ``most`` only says from when on totals may be kept as a bit set, which takes
     (target + distance) / 8 bytes at most.
@@ -191,10 +191,10 @@ def pick(sizes: list[tuple[int, int]], target: int, most: int = TOTALS) -> dict[
     for s, m in sizes:
         k = 1
         while s > 0 and m > 0:
-            parts.append((s * min(k, m), s, min(k, m)))
+            parts.append((s, min(k, m)))
             m, k = m - k, k * 2
     parts.sort(reverse=True)
-    values = [v for v, _, _ in parts]
+    values = [s * k for s, k in parts]
     target = min(max(0, target), sum(values))
     step = math.gcd(*values) or 1
 
@@ -218,7 +218,7 @@ def pick(sizes: list[tuple[int, int]], target: int, most: int = TOTALS) -> dict[
             break
         free *= 8
     counts: dict[int, int] = {}
-    for _, s, k in map(parts.__getitem__, taken):
+    for s, k in map(parts.__getitem__, taken):
         counts[s] = counts.get(s, 0) + k
     return counts
 
